@@ -1 +1 @@
-
+"""Column functions: sounds, harmony, tokens."""

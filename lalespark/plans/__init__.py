@@ -1,2 +1 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries and their SQL."""
