@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,13 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Rows of an Arrow batch at most: with long texts Spark's 10,000 are much memory, twice over.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(spark.conf.get(_BATCH)))))
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
@@ -31,17 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """Meanwhile a query's shuffle files go once it has ended: what it made lies in the shared folder by then."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later jobs read the shared folder, so lost executors cost nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _cleaned(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Like cut(), as a compressed Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaned(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -85,6 +108,13 @@ def groups(batches, keys: list[str], flush_rows: int = 50_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def slices(batches, rows: int = 256):
+    """The batches in slices of a few rows, so that Python objects are made for those only."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def changes(t: pa.Table, keys: list[str]) -> np.ndarray:
     """Row numbers at which a new group starts."""
     new = np.zeros(t.num_rows, dtype=bool)

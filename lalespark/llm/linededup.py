@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, keyed
+from .common import id_back, keyed, slices
 
 WINDOW = 3
 
@@ -54,7 +54,7 @@ def left(lines: list[str], starts: list[int] | None, width: int = WINDOW) -> lis
 
 def _remove(width: int):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, n, gone = [], [], []
             for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
                 lines = text.split("\n")
@@ -85,7 +85,7 @@ def stage(docs: DataFrame) -> DataFrame:
     schema = hit.select(*names).schema
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at, cols = b.schema.names.index("text"), [b.column(n) for n in names]
             texts = b.column(at).to_pylist()
             for k, starts_ in enumerate(b.column("_starts").to_pylist()):

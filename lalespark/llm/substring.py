@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as scan
 from .automaton import SuffixAutomaton
-from .common import changes, groups, id_back, keyed, written
+from .common import changes, groups, id_back, keyed, slices, written
 
 WIDTH, GRAM = 20, 6
 #: Places of an anchor from which on it is dealt to several shards.
@@ -66,16 +66,16 @@ def segments(data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
 
 
 def _anchors(width: int, gram: int):
+    """(h, d, p): p holds the first window and, in its low 8 bits, the number of windows."""
+
     def run(batches):
         for b in batches:
-            d, t1, t2 = (b.column(k).to_numpy() for k in ("d", "t1", "t2"))
+            d = b.column("d").to_numpy()
             for lo, _, data, offsets in scan.texts(b):
                 got = segments(data, offsets, width, gram)
-                if got is None:
-                    continue
-                doc, first, count, h = got
-                cols = [h, d[lo + doc], t1[lo + doc], t2[lo + doc], first.astype(np.int32), count.astype(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "d", "t1", "t2", "s", "n"])
+                if got is not None:
+                    doc, first, count, h = got
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d[lo + doc]), pa.array(first << 8 | count)], names=["h", "d", "p"])
 
     return run
 
@@ -84,40 +84,34 @@ def _cut_out(width: int):
     """From documents with the places of their shared segments: a row for each segment, with its words."""
 
     def run(batches):
-        for b in batches:
-            rows = {k: [] for k in ("g", "salt", "t1", "t2", "d", "s", "words")}
-            for d, t1, t2, text, places in zip(*(b.column(k).to_pylist() for k in ("d", "t1", "t2", "text", "places")), strict=True):
+        for b in slices(batches):
+            rows = {k: [] for k in _KINDS}
+            for d, t1, text, places in zip(*(b.column(k).to_pylist() for k in ("d", "t1", "text", "places")), strict=True):
                 words = text.encode("utf-8").split()
                 for p in places:
-                    rows["g"].append(p["h"])
-                    rows["salt"].append(p["salt"])
-                    rows["d"].append(d)
-                    rows["t1"].append(t1)
-                    rows["t2"].append(t2)
-                    rows["s"].append(p["s"])
-                    rows["words"].append(b" ".join(words[p["s"] : p["s"] + p["n"] + width - 1]))
-                if len(rows["g"]) > 20_000:
-                    yield _segment_batch(rows)
+                    at, n = p["p"] >> 8, p["p"] & 255
+                    if at + n + width - 1 > len(words):  # of another text of this id
+                        continue
+                    for k, v in zip(_KINDS, (p["h"], p["salt"], d, t1, at, b" ".join(words[at : at + n + width - 1])), strict=True):
+                        rows[k].append(v)
+                if len(rows["g"]) > 5_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in _KINDS.items()], names=list(_KINDS))
                     rows = {k: [] for k in rows}
             if rows["g"]:
-                yield _segment_batch(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in _KINDS.items()], names=list(_KINDS))
 
     return run
 
 
-_SEGMENT = "g long, salt int, d long, t1 long, t2 long, s int, words binary"
-
-
-def _segment_batch(rows) -> pa.RecordBatch:
-    kinds = {"g": pa.int64(), "salt": pa.int32(), "d": pa.int64(), "t1": pa.int64(), "t2": pa.int64(), "s": pa.int32(), "words": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(rows[k], t) for k, t in kinds.items()], names=list(kinds))
+_SEGMENT = "g long, salt int, d long, t1 long, s int, words binary"
+_KINDS = {"g": pa.int64(), "salt": pa.int32(), "d": pa.int64(), "t1": pa.int64(), "s": pa.int32(), "words": pa.binary()}
 
 
 def _match(width: int):
     """Streams each group's segments, in order, through an automaton of the earlier ones."""
 
     def run(batches):
-        for t in groups(batches, ["g", "salt"], 20_000):
+        for t in groups(batches, ["g", "salt"], 5_000):
             start = changes(t, ["g", "salt"])
             ends = np.append(start[1:], t.num_rows)
             words = t.column("words").to_pylist()
@@ -150,23 +144,23 @@ def _match(width: int):
                         fresh[k] = [i for i in range(total) if i not in seen]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(pa.array(t.column(c).to_numpy()) for c in ("d", "t1", "t2", "s")),
+                    *(pa.array(t.column(c).to_numpy()) for c in ("d", "t1", "s")),
                     pa.array(gone, pa.list_(pa.int32())),
                     pa.array([[b" ".join(w.split(b" ")[i : i + width]) for i in f] if f else [] for w, f in zip(words, fresh, strict=True)], pa.list_(pa.binary())),
                     pa.array(fresh, pa.list_(pa.int32())),
                 ],
-                names=["d", "t1", "t2", "s", "gone", "fresh", "at"],
+                names=["d", "t1", "s", "gone", "fresh", "at"],
             )
 
     return run
 
 
-_MATCHED = "d long, t1 long, t2 long, s int, gone array<int>, fresh array<binary>, at array<int>"
+_MATCHED = "d long, t1 long, s int, gone array<int>, fresh array<binary>, at array<int>"
 
 
 def _stream(rows: DataFrame, width: int) -> DataFrame:
     keys = ["g", "salt"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "d", "t1", "t2", "s").mapInArrow(_match(width), _MATCHED)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "d", "t1", "s").mapInArrow(_match(width), _MATCHED)
 
 
 def copies(keys: DataFrame) -> DataFrame:
@@ -179,26 +173,30 @@ def copies(keys: DataFrame) -> DataFrame:
 def marked(keys: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """keys with `copy` (a smaller id has the same text) and `gone` (starts of windows that start earlier too)."""
     copy = written(copies(keys).withColumn("copy", F.lit(True)), "substring-copies")
-    anchors = written(keys.mapInArrow(_anchors(width, gram), "h long, d long, t1 long, t2 long, s int, n short"), "substring-anchors")
+    anchors = written(keys.mapInArrow(_anchors(width, gram), "h long, d long, p long"), "substring-anchors")
     shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     # The count decides on salting: -1 for the one shard of an anchor, else one of several.
-    salt = F.when(F.col("c") > HOT, F.pmod(F.xxhash64("d", "t1"), F.ceil(F.col("c") / F.lit(HOT / 2)))).otherwise(F.lit(-1)).cast("int")
-    places = anchors.join(shared, "h").select("d", "t1", "t2", F.struct("h", "s", "n", salt.alias("salt")).alias("p"))
-    places = places.groupBy("d", "t1", "t2").agg(F.collect_set("p").alias("places")).join(copy, ["d", "t1", "t2"], "left_anti")
-    cut_out = keys.join(places, ["d", "t1", "t2"]).select("d", "t1", "t2", "text", "places").mapInArrow(_cut_out(width), _SEGMENT)
+    salt = F.when(F.col("c") > HOT, F.pmod(F.xxhash64("d"), F.ceil(F.col("c") / F.lit(HOT / 2)))).otherwise(F.lit(-1)).cast("int")
+    places = anchors.join(shared, "h").select("d", F.struct("h", "p", salt.alias("salt")).alias("p"))
+    places = written(places.groupBy("d").agg(F.collect_set("p").alias("places")), "substring-places")
+    whole = copy.groupBy("d").agg(F.collect_set(F.struct("t1", "t2")).alias("whole"))
+    cut_out = keys.join(places, "d").join(whole, "d", "left")
+    cut_out = cut_out.filter(~F.coalesce(F.array_contains("whole", F.struct("t1", "t2")), F.lit(False)))
+    cut_out = cut_out.select("d", "t1", "text", "places").mapInArrow(_cut_out(width), _SEGMENT)
     one = written(_stream(cut_out, width), "substring-matched")
     # What salted shards kept, one window a row, by its own hash: each is compared with its equals only.
-    again = one.filter(F.size("fresh") > 0).select("d", "t1", "t2", "s", F.explode(F.arrays_zip("fresh", "at")).alias("w"))
-    again = again.select(F.xxhash64("w.fresh").alias("g"), F.lit(-1).alias("salt"), "d", "t1", "t2", (F.col("s") + F.col("w.at")).alias("s"), F.col("w.fresh").alias("words"))
+    again = one.filter(F.size("fresh") > 0).select("d", "t1", "s", F.explode(F.arrays_zip("fresh", "at")).alias("w"))
+    again = again.select(F.xxhash64("w.fresh").alias("g"), F.lit(-1).alias("salt"), "d", "t1", (F.col("s") + F.col("w.at")).alias("s"), F.col("w.fresh").alias("words"))
     two = _stream(again, width)
-    gone = one.select("d", "t1", "t2", "gone").unionByName(two.select("d", "t1", "t2", "gone")).filter(F.size("gone") > 0)
-    gone = gone.groupBy("d", "t1", "t2").agg(F.flatten(F.collect_list("gone")).alias("gone"))
-    return keys.join(gone, ["d", "t1", "t2"], "left").join(copy, ["d", "t1", "t2"], "left")
+    gone = one.select("d", "t1", "gone").unionByName(two.select("d", "t1", "gone")).filter(F.size("gone") > 0)
+    gone = gone.groupBy("d", "t1").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    copy = copy.select("d", "t1", "copy").distinct()
+    return keys.join(gone, ["d", "t1"], "left").join(copy, ["d", "t1"], "left")
 
 
 def _kept(width: int, digest: bool):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             n, removed, texts = [], [], []
             for text, gone, copy in zip(*(b.column(k).to_pylist() for k in ("text", "gone", "copy")), strict=True):
                 words = text.encode("utf-8").split()
