@@ -81,7 +81,7 @@ FROM m
 """
 
 _SUBSTRING = r"""
-WITH base AS (SELECT doc_id AS d, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH base AS (SELECT doc_id AS d, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT d, i AS s, array_to_string(w[i + 1 : i + 20], ' ') AS x FROM base, unnest(range(0, greatest(len(w) - 19, 0))) AS u(i)),
 dup AS (SELECT d, s FROM (SELECT d, s, row_number() OVER (PARTITION BY x ORDER BY d, s) AS r FROM win) WHERE r > 1),
 gone AS (SELECT DISTINCT d, s + k AS i FROM dup, unnest(range(0, 20)) AS u(k)),
