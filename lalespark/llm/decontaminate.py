@@ -1,10 +1,11 @@
 """Benchmark decontamination with BM25 and block-max WAND.
 
-Test items are indexed by word: a posting holds the item and the word's share of the item's own BM25 score, so a passage
-that holds all of an item scores 1. Postings are in item order, in blocks that keep their largest share. Every passage of
+Test items are indexed by pairs of neighbouring words (an item of one word by that): a posting holds the item and the pair's
+share of the item's own BM25 score, so a passage that holds all of an item scores 1. Single words would not do: a passage's
+common words alone reach the bounds of short items, and nine passages in ten could not be skipped. Postings are in item order, in blocks that keep their largest share. Every passage of
 every document is a query: overlapping runs of words, long enough that an item lies whole in one. All items that score
 `least` or more are retrieved; retrieval skips by upper bounds only, so none is lost. First the bounds of the passage's
-words are summed for many passages at once; what could reach `least` goes through block-max WAND.
+pairs are summed for many passages at once; what could reach `least` goes through block-max WAND.
 
 What is retrieved is verified: question and answer (an item's last sentence; none in an item of one sentence) must each have
 `overlap` of their five-word shingles in the passage, or all words in a row if they have fewer than five.
@@ -42,6 +43,16 @@ def words(text: str) -> tuple[list[bytes], np.ndarray]:
     return [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], scan.word_hashes(data, start, end, scan.LOWER_BYTES)
 
 
+def grams(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each word and the next one."""
+    return scan.gram_hashes(hashes, 2)
+
+
+def single(hashes: np.ndarray) -> np.ndarray:
+    """Words as terms of their own, apart from pairs."""
+    return scan.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+
+
 def parts(text: str) -> tuple[str, str]:
     """Question and answer: the last sentence is the answer, if there is one before it."""
     found = re.fullmatch(r"(.*[.!?:])\s+(\S.*?)\s*", text, re.S)
@@ -56,13 +67,15 @@ class Index:
         for item, text in items:
             tokens, hashes = words(text)
             if len(tokens) > LONGEST:
-                for lo in range(0, len(tokens), LONGEST // 2):
+                for lo in range(0, len(tokens) - LONGEST // 2, LONGEST // 2):
                     self.items.append((item, tokens[lo : lo + LONGEST], []))
-                    lists.append(hashes[lo : lo + LONGEST])
+                    lists.append(grams(hashes[lo : lo + LONGEST]))
             elif tokens:
                 q, a = parts(text)
                 self.items.append((item, words(q)[0], words(a)[0]))
-                lists.append(hashes)
+                lists.append(grams(hashes) if len(tokens) > 1 else single(hashes))
+        self.length = max((len(q) + len(a) for _, q, a in self.items), default=1)
+        self.singles = any(len(q) + len(a) == 1 for _, q, a in self.items)
         n, mean = len(lists), float(np.mean([len(x) for x in lists])) if lists else 1.0
         df = Counter(h for x in lists for h in set(x.tolist()))
         self.terms = {h: k for k, h in enumerate(sorted(df))}
@@ -84,11 +97,10 @@ class Index:
         while self.size < 64 * len(self.terms):
             self.size *= 2
         self.hashes = np.array(sorted(df) or [0], dtype=np.uint64)
-        self.length = max([len(x) for x in lists], default=1)
-        # Words in many items count little: those whose bounds sum up to a third of `least` are only looked at later.
+        # Pairs in many items count little: those whose bounds sum up to a sixth of `least` are only looked at later.
         order = np.argsort(self.bound)
         rare = np.ones(len(self.bound), dtype=bool)
-        rare[order[np.cumsum(self.bound[order]) <= LEAST / 3]] = False
+        rare[order[np.cumsum(self.bound[order]) <= LEAST / 6]] = False
         self.rare = np.append(np.where(rare, self.bound, 0.0), 0.0)
         self.common = float(self.bound[~rare].sum())
         self._slots()
@@ -196,13 +208,19 @@ def _scan(shared, least: float, overlap: float):
                 if not len(start):
                     continue
                 doc = np.searchsorted(offsets, start, "right") - 1
-                term = index.find(scan.word_hashes(data, start, end, scan.LOWER_BYTES))
+                hashes = scan.word_hashes(data, start, end, scan.LOWER_BYTES)
+                term = np.append(index.find(grams(hashes)), none)  # the pair that starts at each word
+                alone = index.find(single(hashes)) if index.singles else None
                 first, last = _passages(doc, stride, length)
                 total = np.append(0.0, np.cumsum(index.rare[term]))
-                could = np.flatnonzero(total[last] - total[first] + index.common >= least - 1e-6)
+                bound = total[last - 1] - total[first] + index.common
+                if alone is not None:
+                    total = np.append(0.0, np.cumsum(index.rare[alone]))
+                    bound += total[last] - total[first]
+                could = np.flatnonzero(bound >= least - 1e-6)
                 for p in could.tolist():
                     s, e = int(first[p]), int(last[p])
-                    terms = np.unique(term[s:e])
+                    terms = np.unique(term[s : e - 1] if alone is None else np.concatenate([term[s : e - 1], alone[s:e]]))
                     terms = terms[terms != none]
                     if index.bound[terms].sum() < least - 1e-9:
                         continue
