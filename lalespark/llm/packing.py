@@ -10,15 +10,22 @@ Needs no shuffle; a lost executor costs the tasks it ran. Sequence ids are uniqu
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 LONGEST, END, BUCKETS = 4096, 2, 13
-_CACHE = 300_000
+#: Distinct words that each of two generations of a worker's cache holds.
+_CACHE = 800_000
+_MARKS = b".,;:!?"
 
 
 def cuts(n: int, longest: int = LONGEST) -> list[int]:
@@ -28,37 +35,102 @@ def cuts(n: int, longest: int = LONGEST) -> list[int]:
 
 
 class WordEncoder:
-    """Ids of whole texts with a tokenizer that never looks across white space; each distinct word is encoded once."""
+    """Ids of whole texts with a tokenizer that never looks across white space and lowers case.
+
+    Each distinct word is encoded once while a cache holds it; words of many texts are encoded in one call. Marks at the end
+    of a word are words of their own to the tokenizer, so word and mark are looked up apart. Texts that may hold one of the
+    tokenizer's special strings are encoded as they are.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8").split() if text else []
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        ending = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that close a word
+        if ending:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(ending)]] = True
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of letters only are one word to the tokenizer too: many go in one text, whose ids are parted at word ends."""
+        known, apart = self.known, []
+        texts = [w.decode("utf-8") for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        for lo in range(0, len(plain), 2048):
+            at = plain[lo : lo + 2048]
+            raw = array("I", self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in at])], add_special_tokens=False)[0].ids)
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(raw, dtype=np.uint32)]) + 1) * 4
+            if len(cuts) != len(at):
+                apart += at
+                continue
+            ids, start = raw.tobytes(), 0
+            for k, stop in zip(at, cuts.tolist(), strict=True):
+                known[words[k]] = ids[start:stop]
+                start = stop
+        apart += [k for k, t in enumerate(texts) if not t.isalpha()]
+        for k, e in zip(apart, self.tokenizer.encode_batch_fast([texts[k] for k in apart], add_special_tokens=False), strict=True):
+            known[words[k]] = array("I", e.ids).tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, old, new = self.known, self.old, []
+        ends: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+                continue
+            base = w.rstrip(_MARKS)
+            if base and base != w and (base[-1] in _LETTERS):
+                ends[w] = base, w[len(base) :]
+            else:
+                new.append(w)
+        needed = {x for pair in ends.values() for x in pair if x not in known}
+        for x in needed:
+            if (ids := old.get(x)) is not None:
+                known[x] = ids
+        new = list({*new, *(x for x in needed if x not in known)})
+        self._encode(new)
+        for w, (base, mark) in ends.items():
+            known[w] = known[base] + known[mark]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > _CACHE:
+            self.known, self.old = {}, self.known
         known = self.known
-        parts = list(map(known.get, words))
-        if None in parts:
-            if len(known) > _CACHE:
-                known.clear()
-            new = list({w for w, p in zip(words, parts, strict=True) if p is None})
-            for w, ids in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(ids.ids, dtype="<u4").tobytes()
-            parts = [known.get(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-            if None in parts:  # the cache was cleared in between
-                return self(text)
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        split = [None if t and "<|" in t else t.encode("utf-8").lower().split() if t else [] for t in texts]
+        asked: set[bytes] = set()
+        for words in split:
+            if words:
+                asked.update(words)
+        self._learn(asked.difference(known))
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+            else:
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4"))
+        return out
+
+
+_LETTERS = frozenset(range(97, 123))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One a worker process, so that later tasks find its cache filled."""
+    return WordEncoder(path)
 
 
 def _pieces(path: str, longest: int, end: int, with_ids: bool):
     def run(batches):
-        encode = WordEncoder(path)
-        for b in batches:
+        encode = encoder(path)
+        for b in slices(batches):
             cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.append(encode(text.as_py()), np.array([end], dtype="<u4")).astype("<u4")
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+                ids = np.append(ids, np.array([end], dtype="<u4")).astype("<u4")
                 at = 0
                 for n in cuts(len(ids), longest):
                     piece = ids[at : at + n]
