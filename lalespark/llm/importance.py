@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import textscan as scan
 from .common import NULL_ID, id_back, written
 
-BUCKETS, SHARE = 10_000, 0.5
+BUCKETS = 1 << 16
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +105,15 @@ def top(keys: DataFrame, k: int, steps: int = 1024) -> tuple[float, int | None]:
     return lo, a
 
 
-def select(docs: DataFrame, labels: DataFrame, share: float = SHARE) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, selected) of every row; share of the rows is selected."""
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+    """(doc_id, log_weight, gumbel_key, selected) of every row; share of the rows is selected.
+
+    By default that is the share of target rows among labelled ones, so as many rows stay as are expected to be good.
+    """
+    if share is None:
+        is_good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+        share = labels.filter(F.col("quality").isNotNull()).agg(F.avg(is_good.cast("double"))).first()[0]
+        share = 1.0 if share is None else share
     good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("d")).distinct().withColumn("target", F.lit(True))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), text.alias("text"))

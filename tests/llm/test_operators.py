@@ -297,7 +297,7 @@ def test_wand():
     for _ in range(40):
         base = items[r.randrange(120)][1].split()
         q = base[: r.randint(1, len(base))] + words(r, 30, 500).split()
-        terms = np.unique(index.find(decontaminate.words(" ".join(q))[1]))
+        terms = np.unique(index.find(decontaminate.grams(decontaminate.words(" ".join(q))[1])))
         terms = terms[terms != len(index.bound)].tolist()
         for least in (0.3, 0.6):
             score = Counter()
@@ -309,6 +309,14 @@ def test_wand():
             assert set(have) == set(want) and all(abs(have[i] - want[i]) < 1e-9 for i in want)
 
 
+def test_decontaminate_items(spark):
+    r = random.Random(12)
+    items = [(1, "lonely"), (2, "two words"), (3, words(r, 700, 10**6)), (4, "What is it about then, in short? It is about nothing at all."), (5, "!?")]
+    rows = [(k, f"{words(r, 50)} {t} {words(r, 50)}") for k, t in items] + [(6, "two other words"), (7, "What is it about then, in short? It is something else."), (8, None)]
+    out = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_decontaminate_edges(spark, odd):
     none = spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id long, text string")
     assert decontaminate.contaminated(odd, none).count() == 0
@@ -321,9 +329,11 @@ def test_importance(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = importance.select(docs, labels).collect()
     assert len(rows) == docs.count()
-    k = round(importance.SHARE * len(rows))
+    target = labels.selectExpr("avg(cast(quality = 1 and toxic = 0 as double))").first()[0]
+    k = round(target * len(rows))
     chosen = sorted(r["gumbel_key"] for r in rows if r["selected"])
     assert len(chosen) == k and chosen[0] >= max(r["gumbel_key"] for r in rows if not r["selected"])
+    assert sum(r["selected"] for r in importance.select(docs, labels, 0.25).collect()) == round(0.25 * len(rows))
 
 
 def test_importance_top(spark):
