@@ -174,7 +174,8 @@ def marked(keys: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """keys with `copy` (a smaller id has the same text) and `gone` (starts of windows that start earlier too)."""
     copy = written(copies(keys).withColumn("copy", F.lit(True)), "substring-copies")
     anchors = written(keys.mapInArrow(_anchors(width, gram), "h long, d long, p long"), "substring-anchors")
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # A table of its own, so that a skew join can split the anchors of a frequent hash.
+    shared = written(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "substring-shared")
     # The count decides on salting: -1 for the one shard of an anchor, else one of several.
     salt = F.when(F.col("c") > HOT, F.pmod(F.xxhash64("d"), F.ceil(F.col("c") / F.lit(HOT / 2)))).otherwise(F.lit(-1)).cast("int")
     places = anchors.join(shared, "h").select("d", F.struct("h", "p", salt.alias("salt")).alias("p"))
