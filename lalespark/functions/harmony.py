@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phonology import BACK, CLOSE, ROUNDED, UNROUNDED, VOICELESS, first_vowel, is_in, last_vowel, nuclei
+from .phonology import BACK, CLOSE, ROUNDED, UNROUNDED, VOICELESS, first_vowel, is_in, last_vowel, nuclei, vowels
 
 
 def major(v1: Column, v2: Column) -> Column:
@@ -64,7 +64,9 @@ def internal(word: Column) -> Column:
 
 
 def report(word: Column) -> Column:
-    """A line a vowel pair: back (kalın) or front (ince), unrounded (düz) or rounded (yuvarlak), and whether it agrees."""
-    kind = lambda v: F.concat(F.when(is_in(v, BACK), "kalın").otherwise("ince"), F.lit(" "), F.when(is_in(v, UNROUNDED), "düz").otherwise("yuvarlak"))
-    line = lambda a, b: F.concat(a, F.lit("→"), b, F.lit(": "), kind(a), F.lit(" → "), kind(b), F.lit(" "), F.when(major(a, b) & minor(a, b), "✓").otherwise("✗"))
-    return F.array_join(_neighbours(nuclei(word), line), "\n")
+    """A line for each two neighbouring vowels: their kinds, and whether major (BÜU) and minor (KÜU) harmony hold."""
+    kind = lambda v: F.concat(v, F.lit(" ("), F.when(is_in(v, BACK), "kalın").otherwise("ince"), F.lit(", "), F.when(is_in(v, UNROUNDED), "düz").otherwise("yuvarlak"), F.lit(")"))
+    mark = lambda ok: F.when(ok, "✓").otherwise("✗")
+    line = lambda a, b: F.concat(F.lit("  "), kind(a), F.lit(" → "), kind(b), F.lit("  BÜU:"), mark(major(a, b)), F.lit("  KÜU:"), mark(minor(a, b)))
+    v = vowels(word)
+    return F.when(F.size(v) < 2, "  (tek ünlülü sözcük – uyum kontrolü gerekmez)").otherwise(F.array_join(_neighbours(v, line), "\n"))

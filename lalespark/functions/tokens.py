@@ -26,8 +26,8 @@ def comma_flags(text: Column) -> Column:
 
 
 def clean_words(text: Column) -> Column:
-    """Words by white space, without punctuation around them; empty ones go."""
-    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"^[.,!?;:()\"'…–—-]+|[.,!?;:()\"'…–—-]+$", "")), lambda w: w != "")
+    """Words by white space, without punctuation marks; empty ones go."""
+    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"[.,;:!?\"()\[\]…—–']", "")), lambda w: w != "")
 
 
 def token_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

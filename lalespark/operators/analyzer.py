@@ -369,7 +369,9 @@ def analyze(words: DataFrame, dictionary: DataFrame | None = None, most: int = 5
         held = [r["word"] for r in dictionary.select("word").collect() if r["word"] is not None]
     shared = spark.sparkContext.broadcast((held, forms, strategies))
     rows = words if "upos" in words.columns else words.withColumn("upos", F.lit(None).cast("string"))
-    rows = rows.select("word", "upos").filter(F.col("word").isNotNull()).distinct()
+    # Distinct words are few bytes but much work: adaptive execution would put them in one task.
+    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = rows.select("word", "upos").filter(F.col("word").isNotNull()).distinct().repartition(many, "word", "upos")
 
     def run(batches):
         own = Analyzer(*shared.value)

@@ -117,10 +117,20 @@ def internal_harmony(spark, sf_dir):
 
 
 def _kind(v: str) -> str:
-    return f"CASE WHEN contains('{P.BACK}', {v}) THEN 'kalın' ELSE 'ince' END || ' ' || CASE WHEN contains('{P.UNROUNDED}', {v}) THEN 'düz' ELSE 'yuvarlak' END"
+    return f"{v} || ' (' || CASE WHEN contains('{P.BACK}', {v}) THEN 'kalın' ELSE 'ince' END || ', ' || CASE WHEN contains('{P.UNROUNDED}', {v}) THEN 'düz' ELSE 'yuvarlak' END || ')'"
 
 
-@_query("harmony_report", _PAIRS + f" SELECT word, array_to_string(list_transform(p, lambda x: x.v1 || '→' || x.v2 || ': ' || {_kind('x.v1')} || ' → ' || {_kind('x.v2')} || ' ' || CASE WHEN x.buu AND x.kuu THEN '✓' ELSE '✗' END), chr(10)) AS report FROM pr")
+def _mark(ok: str) -> str:
+    return f"CASE WHEN {ok} THEN '✓' ELSE '✗' END"
+
+
+_LINE = f"'  ' || {_kind('v[i]')} || ' → ' || {_kind('v[i + 1]')} || '  BÜU:' || {_mark(sql_major('v[i]', 'v[i + 1]'))} || '  KÜU:' || {_mark(sql_minor('v[i]', 'v[i + 1]'))}"
+
+
+@_query(
+    "harmony_report",
+    f"WITH {SQL_LOWER}, vs AS (SELECT word, {SQL_VOWELS.format(w='word')} AS v FROM low) SELECT word, CASE WHEN len(v) < 2 THEN '  (tek ünlülü sözcük – uyum kontrolü gerekmez)' ELSE array_to_string(list_transform(range(1, len(v)), lambda i: {_LINE}), chr(10)) END AS report FROM vs",
+)
 def harmony_report(spark, sf_dir):
     return lowered(spark, sf_dir).select("word", H.report(F.col("word")).alias("report"))
 
@@ -130,6 +140,12 @@ def tokenize(spark, sf_dir):
     return T.token_rows(table(spark, sf_dir, "documents"))
 
 
+@_query("clean_words", "WITH w AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')), '[.,;:!?\"()\\[\\]…—–'']', '', 'g') AS x FROM documents) SELECT doc_id, count(*) AS n FROM w WHERE x <> '' GROUP BY doc_id")
+def clean_words(spark, sf_dir):
+    words_ = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.clean_words(F.col("text"))).alias("w"))
+    return words_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("sentence_split", "SELECT doc_id, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1␞', 'g'), '␞') AS s FROM documents)")
 def sentence_split(spark, sf_dir):
     s = T.sentences(F.col("text"))
