@@ -119,7 +119,9 @@ def test_analyses():
     assert a.analyses("Türkiye'den")[0] == ("türkiye", None, None, (("den", "AYRILMA"),))
     assert a.analyses("gidiyor", "VERB")[0][1] == "git"
     assert a.analyses("istiyor")[0][0] in ("iste", "isti")
-    assert a.analyses("yazdırdı", "VERB")[0][1] == "yaz"
+    assert a.analyses("yazdırdı", "VERB")[0][0] == "yaz"
+    derived = Analyzer([*WORDS, "yazdırmak"])
+    assert derived.underived("yazdır") == "yaz" and ("yaz", "yazdır") in [x[1:3] for x in derived.analyses("yazdırdı", "VERB")]
     assert a.analyses("") == [("", None, None, ())] and len(a.analyses("kitapların")) <= 5
     h = Analyzer()
     assert all(root is None and lemma is None for w in ("evlerinden", "kitaplar", "geliyor") for _, root, lemma, _ in h.analyses(w))
