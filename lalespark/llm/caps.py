@@ -24,7 +24,7 @@ from .common import NULL_ID, changes, groups, id_back, tiled, written
 from .components import connected_components, local_labels
 
 LEAST, BLOCKS, FILTERS, BUCKET, SEED = 0.9, 2, 40, 150, 5
-MOST_GROUP = 3000
+MOST_GROUP = 1500
 
 
 def codebook(dim: int, blocks: int, words: int) -> list[tuple[slice, np.ndarray]]:
@@ -96,16 +96,25 @@ def _filters(plans: dict[int, tuple[int, float]]):
 
 def smallest_shared(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray, code: int) -> np.ndarray:
     """Whether `code` is the smallest filter that rows a[i] and b[i] share."""
-    width = max(len(c) for c in codes)
-    grid = np.full((len(codes), width), -1, dtype=np.int64)
-    for i, c in enumerate(codes):
-        grid[i, : len(c)] = c
-    out = np.ones(len(a), dtype=bool)
-    for lo in range(0, len(a), 4096):
-        x, y = grid[a[lo : lo + 4096]], grid[b[lo : lo + 4096]]
-        same = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0) & (x < code)
-        out[lo : lo + 4096] = ~same.any(axis=1)
-    return out
+    small = [c[c < code] for c in codes]
+    n, of, filters = len(codes), np.repeat(np.arange(len(codes)), [len(c) for c in small]), np.concatenate(small)
+    _, column, count = np.unique(filters, return_inverse=True, return_counts=True)
+    twice = count[column] > 1  # a filter of one row here is shared with none
+    of, column = of[twice], np.unique(column[twice], return_inverse=True)[1]
+    if not len(of):
+        return np.ones(len(a), dtype=bool)
+    if len(a) > 2 * n:  # many pairs: which rows share a filter is a product of incidence matrices
+        shared = np.zeros((n, n), dtype=bool)
+        for lo in range(0, int(column.max()) + 1, 1024):
+            part = (column >= lo) & (column < lo + 1024)
+            has = np.zeros((n, 1024), dtype=np.float32)
+            has[of[part], column[part] - lo] = 1
+            shared |= has @ has.T > 0.5
+        return ~shared[a, b]
+    held: list[set] = [set() for _ in codes]
+    for i, c in zip(of.tolist(), column.tolist(), strict=True):
+        held[i].add(c)
+    return np.array([held[i].isdisjoint(held[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
 
 
 def _verify(least: float):
