@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lalespark.llm import decontaminate, langid, linededup, packing, simhash
-from lalespark.llm.common import table, written
+from lalespark.llm.common import small_batches, table, written
 from lalespark.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language isn't found go."""
+    small_batches(spark)
     return langid.stage(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in repeated windows of three go, and documents of which nothing is left."""
+    small_batches(spark)
     return linededup.stage(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
+    small_batches(spark)
     return simhash.stage(docs)
 
 
@@ -31,6 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of power-of-two lengths with their token ids."""
+    small_batches(spark)
     return packing.stage(docs, tokenizer_path())
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,12 @@ BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(spark.conf.get(_BATCH)))))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
@@ -108,6 +114,19 @@ def groups(batches, keys: list[str], flush_rows: int = 50_000):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def trimmed(run):
+    """run, after which a task gives free memory back: workers live on and serve other steps, two beside each JVM."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batches, rows: int = 256):
     """The batches in slices of a few rows, so that Python objects are made for those only."""
     for b in batches:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 16
-_FRONT = 1 << 20
+#: Words of fingerprints that a search compares at once, about.
+_FRONT = 1 << 18
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ class GrayIndex:
 
     def search(self, queries: np.ndarray, most: int):
         """Yields (query rows, code rows) at a distance of at most `most`, in blocks of bounded size."""
-        step = max(1, _FRONT // max(len(self.codes), 1))
+        step = max(1, _FRONT // max(self.codes.size, 1))
         for lo in range(0, len(queries), step):
             q = queries[lo : lo + step]
             mask, pattern = self.levels[-1]

@@ -21,10 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed, written
+
 UND = "und"
 #: Expected number of sampled documents a language, their words, and kept entries of each kind a language.
 SAMPLE_DOCS, SAMPLE_CHARS, KEPT_WORDS, KEPT_GRAMS = 1500, 20_000, 30_000, 8_000
 LONGEST = 5
+#: Entries of each kind that all languages together keep, whatever their number.
+KEPT_ALL = 120_000
 #: Languages that are learned at most, the most frequent ones.
 MOST_LANGS = 200
 _WORD = re.compile(r"[^\W\d_]+")
@@ -97,18 +101,19 @@ def train(docs: DataFrame, id_col: str = "doc_id") -> Model:
 
     # Texts of the sample are cut for learning only; predictions read whole texts.
     learn = sample(docs, id_col).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    counts = learn.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = written(learn.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-counts")
     langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("s")).orderBy("lang").collect()]
     if not langs:
         return Model([], {}, {}, np.zeros((1, 0)), np.zeros(0))
+    most_words, most_grams = min(KEPT_WORDS, KEPT_ALL // len(langs)), min(KEPT_GRAMS, KEPT_ALL // len(langs))
     words: dict[str, Counter] = {}
     for lang in langs:
-        top = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(4 * KEPT_WORDS).select("word", "n").toPandas()
+        top = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(4 * most_words).select("word", "n").toPandas()
         words[lang] = Counter(dict(zip(top["word"], map(int, top["n"]), strict=True)))
     sums = np.array([max(1, sum(words[x].values())) for x in langs], dtype=float)
-    kept = sorted({w for x in langs for w, n in words[x].most_common(KEPT_WORDS) if n >= 2 or len(words[x]) < 2000})
+    kept = sorted({w for x in langs for w, n in words[x].most_common(most_words) if n >= 2 or len(words[x]) < 2000})
     grams = {x: _grams(words[x]) for x in langs}
-    kept_grams = sorted({g for x in langs for n in range(1, LONGEST + 1) for g, _ in sorted(((g, c) for g, c in grams[x].items() if len(g) == n), key=lambda t: (-t[1], t[0]))[:KEPT_GRAMS]})
+    kept_grams = sorted({g for x in langs for n in range(1, LONGEST + 1) for g, _ in sorted(((g, c) for g, c in grams[x].items() if len(g) == n), key=lambda t: (-t[1], t[0]))[:most_grams]})
     by_len = np.array([[sum(c for g, c in grams[x].items() if len(g) == n) or 1 for x in langs] for n in range(1, LONGEST + 1)], dtype=float)
     rows = np.zeros((len(kept) + len(kept_grams), len(langs)))
     for i, w in enumerate(kept):
@@ -159,7 +164,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by KEPT_WORDS and KEPT_GRAMS
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(lambda it: predict_batches(shared.value, it), schema)
+    return docs.mapInArrow(trimmed(lambda it: predict_batches(shared.value, it)), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, keyed, slices
+from .common import id_back, keyed, slices, trimmed
 
 WINDOW = 3
 
@@ -94,7 +94,7 @@ def stage(docs: DataFrame) -> DataFrame:
             cols[names.index("text")] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = hit.select(*names, "_starts").mapInArrow(run, schema)
+    out = hit.select(*names, "_starts").mapInArrow(trimmed(run), schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.filter(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0).select(*names)

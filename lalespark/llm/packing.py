@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from . import textscan as scan
+from .common import trimmed
 
 LONGEST, END, BUCKETS = 4096, 2, 13
 #: Distinct words that each of two generations of a worker's cache holds.
-_CACHE = 800_000
+_CACHE = 600_000
 _MARKS = b".,;:!?"
 
 
@@ -55,6 +56,9 @@ class WordEncoder:
         if ending:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(ending)]] = True
 
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+
     def _encode(self, words: list[bytes]) -> None:
         """Words of letters only are one word to the tokenizer too: many go in one text, whose ids are parted at word ends."""
         known, apart = self.known, []
@@ -96,25 +100,41 @@ class WordEncoder:
         for w, (base, mark) in ends.items():
             known[w] = known[base] + known[mark]
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.known) > _CACHE:
             self.known, self.old = {}, self.known
-        known = self.known
-        split = [None if t and "<|" in t else t.encode("utf-8").lower().split() if t else [] for t in texts]
-        asked: set[bytes] = set()
-        for words in split:
-            if words:
-                asked.update(words)
-        self._learn(asked.difference(known))
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), dtype="<u4"))
-        return out
-
-
+        self._learn(set(words).difference(self.known))
+        return list(map(self.known.__getitem__, words))
+
+    def documents(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each document in data. Each distinct word of the lot is looked up once, the rest is array work."""
+        raw = data.tobytes()
+        if b"<|" in raw:
+            texts = [raw[i:j].decode("utf-8") for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data = _LOWER[data]
+        start, end = scan.spans(data, offsets, scan.BLANKS)
+        if not len(start):
+            return [np.zeros(0, dtype="<u4")] * (len(offsets) - 1)
+        _, first, of = np.unique(scan.word_hashes(data, start, end), return_index=True, return_inverse=True)
+        size = end - start
+        if (size[first][of] != size).any():  # words of unequal length share a hash
+            first, of = np.arange(len(start)), np.arange(len(start))
+        raw = data.tobytes()
+        parts = self._ids([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(parts), dtype="<u4")
+        count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        at = (np.cumsum(count) - count)[of]
+        count = count[of]
+        upto = np.cumsum(count)
+        ids = flat[np.repeat(at - (upto - count), count) + np.arange(upto[-1])]
+        doc = np.searchsorted(start, offsets[1:], "left")  # words up to the end of each document
+        cut = np.append(0, upto)[doc]
+        return np.split(ids, cut[:-1])
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _LETTERS = frozenset(range(97, 123))
 
 
@@ -124,43 +144,51 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _pieces(path: str, longest: int, end: int, with_ids: bool):
+def _pieces(path: str, longest: int, end: int, with_ids: bool, keep: bool = True):
+    """keep: whether a worker keeps the words it knows for its next task."""
+
     def run(batches):
-        encode = encoder(path)
-        for b in slices(batches):
-            cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
-                ids = np.append(ids, np.array([end], dtype="<u4")).astype("<u4")
-                at = 0
-                for n in cuts(len(ids), longest):
-                    piece = ids[at : at + n]
-                    cols["doc_id"].append(doc_id)
-                    cols["start"].append(at)
-                    cols["length"].append(n)
-                    cols["ids_crc32"].append(zlib.crc32(piece.tobytes()))
-                    cols["doc_tokens"].append(len(ids))
-                    if with_ids:
-                        cols["ids"].append(piece.astype(np.int32))
-                    at += n
-            arrays = [pa.array(cols[k], pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                arrays.append(pa.array(cols["ids"], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        own = encoder(path)
+        for b in batches:
+            for lo, hi, data, offsets in scan.texts(b):
+                yield batch(b.column("doc_id").slice(lo, hi - lo).to_pylist(), own.documents(data, offsets))
+        if not keep:
+            own.forget()
+
+    def batch(doc_ids, documents):
+        cols: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+        for doc_id, ids in zip(doc_ids, documents, strict=True):
+            ids = np.append(ids, np.array([end], dtype="<u4")).astype("<u4", copy=False)
+            at = 0
+            for n in cuts(len(ids), longest):
+                piece = ids[at : at + n]
+                cols["doc_id"].append(doc_id)
+                cols["start"].append(at)
+                cols["length"].append(n)
+                cols["ids_crc32"].append(zlib.crc32(piece))
+                cols["doc_tokens"].append(len(ids))
+                if with_ids:
+                    cols["ids"].append(piece.view(np.int32))
+                at += n
+        arrays = [pa.array(cols[k], pa.int64()) for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:
+            arrays.append(pa.array(cols["ids"], pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end: int = END, with_ids: bool = False, keep: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_pieces(tokenizer, longest, end, with_ids), schema)
+    out = rows.mapInArrow(trimmed(_pieces(tokenizer, longest, end, with_ids, keep)), schema)
     bucket = F.log2("length").cast("long")
     return out.withColumn("sequence_id", F.monotonically_increasing_id() * BUCKETS + bucket).withColumn("offset", F.lit(0).cast("long"))
 
 
 def stage(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """All documents, packed, with their ids."""
-    return pack(docs, tokenizer, with_ids=True)
+    """All documents, packed, with their ids. Workers serve other stages too, so none keeps its words."""
+    return pack(docs, tokenizer, with_ids=True, keep=False)

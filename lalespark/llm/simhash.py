@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, changes, groups, id_back, tiled, written
+from .common import NULL_ID, changes, groups, id_back, tiled, trimmed, written
 from .components import connected_components, local_labels
 from .hamming import GrayIndex, distance, gray_order
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, width: int, wide: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("d"), *(pa.array(np.ascontiguousarray(codes[:, k])) for k in range(n))], names=["d", *(f"f{k}" for k in range(n))])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def bands(wide: bool) -> list[tuple[int, int]]:
@@ -169,7 +169,7 @@ def links(distinct: DataFrame, wide: bool, most: int) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 3, most: int = 3, wide: bool = False) -> DataFrame:
