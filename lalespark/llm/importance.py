@@ -5,7 +5,8 @@ all raw text. A row's weight is the logarithm of the ratio of the two likelihood
 adding Gumbel noise and taking the k largest samples k rows without replacement in proportion to their ratios. The noise
 comes from a hash of the id and the text, so a rerun draws the same.
 
-Counts cover all rows; a model is BUCKETS numbers at any size. The k-th largest key is found by narrowing a histogram, with
+Counts of raw text cover all rows; the target model is fitted on a sample of TARGET_ROWS labelled rows, drawn by a hash. A
+model is BUCKETS numbers at any size. The k-th largest key is found by narrowing a histogram, with
 no global sort. Null or empty text has weight 0. Rows without a usable label train the raw model only. Ties at the k-th key
 are broken by id. Repeated rows draw the same key. Extra columns are ignored.
 """
@@ -21,6 +22,8 @@ from . import textscan as scan
 from .common import NULL_ID, id_back, written
 
 BUCKETS = 1 << 16
+#: Rows of target text at most that the target model is fitted on; their ids are broadcast, so no text is shuffled.
+TARGET_ROWS = 20_000
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +117,11 @@ def select(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
         is_good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
         share = labels.filter(F.col("quality").isNotNull()).agg(F.avg(is_good.cast("double"))).first()[0]
         share = 1.0 if share is None else share
-    good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("d")).distinct().withColumn("target", F.lit(True))
+    good = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").cast("long").alias("d")).distinct()
+    good = good.orderBy(F.xxhash64("d", F.lit(3)), "d").limit(TARGET_ROWS).withColumn("target", F.lit(True))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), text.alias("text"))
-    ratios = fit(rows.join(good, "d", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
+    ratios = fit(rows.join(F.broadcast(good), "d", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
     weighed = rows.withColumn("t", F.xxhash64("text")).mapInArrow(_weigh(ratios), "d long, t long, log_weight double, n_features long")
     u = (F.xxhash64(F.col("d"), F.col("t"), F.lit(77)).cast("double") / F.lit(2.0**64) + 0.5) * (1 - 2e-16) + 1e-16
     # The mean over n-grams, scaled to a typical document, keeps long rows from drowning the noise.
