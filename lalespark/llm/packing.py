@@ -150,7 +150,7 @@ def _pieces(path: str, longest: int, end: int, with_ids: bool, keep: bool = True
     def run(batches):
         own = encoder(path)
         for b in batches:
-            for lo, hi, data, offsets in scan.texts(b):
+            for lo, hi, data, offsets in scan.texts(b, most=8 << 20):
                 yield batch(b.column("doc_id").slice(lo, hi - lo).to_pylist(), own.documents(data, offsets))
         if not keep:
             own.forget()
