@@ -48,7 +48,9 @@ def annotate(sents: DataFrame, dictionary: DataFrame | None = None, parser_words
     dictionary is the analyzer's, parser_words the parser's own; either may be missing. A sentence is read by one task, and a
     task keeps the analyses of words it has met. With trace, what each rule changed comes instead. Null text has no words.
     """
-    shared = sents.sparkSession.sparkContext.broadcast((words_of(dictionary), words_of(parser_words) or [], list(adjectives)))
+    known = words_of(dictionary)
+    own = known if parser_words is dictionary else words_of(parser_words)
+    shared = sents.sparkSession.sparkContext.broadcast((known, own or [], list(adjectives)))
 
     def run(batches):
         known, verbs, adj = shared.value
@@ -84,7 +86,9 @@ def annotate(sents: DataFrame, dictionary: DataFrame | None = None, parser_words
 
 def trees(sents: DataFrame, dictionary: DataFrame | None = None, parser_words: DataFrame | None = None) -> DataFrame:
     """(sent_id, tree) of each sentence, as text."""
-    shared = sents.sparkSession.sparkContext.broadcast((words_of(dictionary), words_of(parser_words) or []))
+    known = words_of(dictionary)
+    own = known if parser_words is dictionary else words_of(parser_words)
+    shared = sents.sparkSession.sparkContext.broadcast((known, own or []))
 
     def run(batches):
         known, verbs = shared.value
