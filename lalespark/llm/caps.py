@@ -1,9 +1,11 @@
 """Embedding near-dedup with spherical-cap filters.
 
-The dimensions are parted into blocks, each with its own random unit directions; a filter is one direction of every block
-(a structured product code), so few directions give very many filters. Each vector is list-decoded to all filters that it
-exceeds the threshold on: prefixes are extended block by block and dropped once even the best rest can't reach it. Vectors
-that share a filter are compared exactly, in double precision, and a pair counts at its smallest shared filter only.
+There are two books of random unit directions over all dimensions; a filter is one direction of each (a product code), so
+few directions give very many filters. The directions have no preferred axes, so a pair's chance to share a filter depends on
+its angle only, however uneven the vectors are. Each vector is list-decoded to its FILTERS filters of highest score, whatever
+the score, so none is left without. The books get as large as n allows while random pairs at the least cosine still share a
+filter in GOAL of the cases, which is measured for each dimension and n; at worst all vectors share one filter. Vectors that
+share a filter are compared exactly, in double precision, and a pair counts at its smallest shared filter only.
 
 Equal vectors are collapsed first, by an aggregation; links are found between classes, with multiplicity. A filter of more
 than MOST_GROUP vectors is cut into tiles that meet pairwise. Vectors that are null, empty, zero or hold null or non-finite
@@ -13,7 +15,6 @@ components link with nothing; vectors of different lengths don't either. A null
 from __future__ import annotations
 
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,42 +26,68 @@ from .components import connected_components, local_labels
 
 LEAST, BLOCKS, FILTERS, BUCKET, SEED = 0.9, 2, 40, 150, 5
 MOST_GROUP = 1500
+#: The share of pairs at the least cosine that have to share a filter, and the pairs it is measured on.
+GOAL, PAIRS = 0.97, 1000
 
 
-def codebook(dim: int, blocks: int, words: int) -> list[tuple[slice, np.ndarray]]:
-    """(dimensions, directions) of each block; a filter's direction has length 1."""
-    edges = np.linspace(0, dim, blocks + 1).astype(int)
+def codebook(dim: int, words: int) -> list[np.ndarray]:
+    """Unit directions of each book."""
     out = []
-    for k in range(blocks):
-        part = np.random.default_rng([SEED, dim, k]).standard_normal((words, edges[k + 1] - edges[k]))
+    for k in range(BLOCKS):
+        part = np.random.default_rng([SEED, dim, k]).standard_normal((words, dim))
         norm = np.linalg.norm(part, axis=1, keepdims=True)
-        out.append((slice(edges[k], edges[k + 1]), part / np.where(norm > 0, norm, 1) / math.sqrt(blocks)))
+        out.append(part / np.where(norm > 0, norm, 1))
     return out
 
 
-def decode(x: np.ndarray, book, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter that a row exceeds the threshold on, in order."""
-    scores = [x[:, part] @ words.T for part, words in book]
-    best = [s.max(axis=1) for s in scores]
-    row, code, total = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
-    for k, s in enumerate(scores):
-        rest = sum(best[k + 1 :], np.zeros(len(x)))
-        grown = total[:, None] + s[row]
-        at, word = np.nonzero(grown + rest[row][:, None] >= least)
-        total = grown[at, word]
-        row, code = row[at], code[at] * s.shape[1] + word
-    return row, code
+def decode(x: np.ndarray, book: list[np.ndarray], filters: int = FILTERS) -> np.ndarray:
+    """The filters of highest score of each row, in order.
 
-
-def plan(n: int, dim: int) -> tuple[int, float]:
-    """Directions a block and the threshold: FILTERS filters a vector, BUCKET vectors a filter, at any n.
+    The best sums are among the ranks (i, j) of the two books with (i + 1)(j + 1) <= filters: the others have that many above.
+    """
+    words = len(book[0])
+    most = min(filters, words)
+    ranked = []
+    for directions in book:
+        score = x @ directions.T
+        top = np.argpartition(-score, most - 1, axis=1)[:, :most] if most < words else np.tile(np.arange(words), (len(x), 1))
+        order = np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable")
+        top = np.take_along_axis(top, order, 1)
+        ranked.append((top, np.take_along_axis(score, top, 1)))
+    i, j = np.array([(i, j) for i in range(most) for j in range(min(most, filters // (i + 1)))]).T
+    (first, a), (second, b) = ranked
+    best = np.argsort(-(a[:, i] + b[:, j]), axis=1, kind="stable")[:, :filters]
+    return np.sort(np.take_along_axis(first[:, i] * words + second[:, j], best, 1), axis=1)
+
+
+def recall(dim: int, words: int, least: float) -> float:
+    """The share of random pairs at cosine `least` that share a filter."""
+    if dim == 1:
+        return 1.0
+    r = np.random.default_rng([SEED, dim, BLOCKS])
+    x, y = r.standard_normal((2, PAIRS, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    book = codebook(dim, words)
+    shared = 0
+    for lo in range(0, PAIRS, 200):
+        both = np.sort(np.concatenate([decode(x[lo : lo + 200], book), decode(y[lo : lo + 200], book)], axis=1), axis=1)
+        shared += int((both[:, 1:] == both[:, :-1]).any(axis=1).sum())
+    return shared / PAIRS
+
+
+def plan(n: int, dim: int, least: float = LEAST) -> int:
+    """Directions a book: BUCKET vectors a filter if vectors are spread evenly, more where GOAL needs fewer filters.
 
     So few vectors that one filter may hold them all share one.
     """
     if n <= BUCKET:
-        return 1, -math.inf
+        return 1
     words = min(46_000, max(16, math.ceil((n * FILTERS / BUCKET) ** (1 / BLOCKS))))  # codes fit 32 bits
-    return words, NormalDist().inv_cdf(1 - min(0.5, FILTERS / words**BLOCKS)) / math.sqrt(dim)
+    while words > 1 and recall(dim, words, least) < GOAL:
+        words = words * 4 // 5
+    return words
 
 
 def valid(col: str):
@@ -70,9 +97,9 @@ def valid(col: str):
     return F.coalesce(good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _filters(plans: dict[int, tuple[int, float]]):
+def _filters(plans: dict[int, int]):
     def run(batches):
-        books: dict[int, list] = {}
+        books: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
@@ -80,14 +107,12 @@ def _filters(plans: dict[int, tuple[int, float]]):
                 lengths = np.array([len(v) for v in vectors])
                 for dim in np.unique(lengths).tolist():
                     at = np.flatnonzero(lengths == dim)
-                    words, least = plans[dim]
-                    book = books.setdefault(dim, codebook(dim, BLOCKS, words))
+                    if dim not in books:
+                        books[dim] = codebook(dim, plans[dim])
                     x = np.array([vectors[i] for i in at], dtype=np.float64)
                     x /= np.abs(x).max(axis=1, keepdims=True)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    row, code = decode(x, book, least)
-                    ends = np.searchsorted(row, np.arange(len(at) + 1))
-                    lists = [code[ends[i] : ends[i + 1]] for i in range(len(at))]
+                    lists = list(decode(x, books[dim]))
                     take = part.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([take.column("rep"), take.column("n"), take.column("v"), pa.array(np.full(len(at), dim), pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "n", "v", "dim", "codes"])
 
@@ -167,7 +192,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     good = rows.filter(F.col("v").isNotNull())
     distinct = written(good.groupBy("v").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n")), "caps-distinct")
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plans = {dim: plan(n, dim) for dim, n in sizes.items()}
+    plans = {dim: plan(n, dim, least) for dim, n in sizes.items()}
     item = vectors.schema["embedding"].dataType.elementType.simpleString()
     coded = distinct.select("rep", "n", "v").mapInArrow(_filters(plans), f"rep long, n long, v array<{item}>, dim int, codes array<int>")
     spread = written(coded, "caps-coded").select("*", F.explode("codes").alias("code"))

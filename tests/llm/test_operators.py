@@ -262,6 +262,36 @@ def test_caps_table(spark, sf_dir):
     assert sum(v[0] for v in have.values()) >= 0.97 * sum(v[0] for v in want.values())
 
 
+def test_caps_uneven(spark):
+    """Vectors with nearly all of their length in a few first dimensions, and vectors of few dimensions."""
+    r = np.random.default_rng(8)
+    rows = []
+    for _ in range(300):
+        c = r.standard_normal(64) * 0.6 ** np.arange(64)
+        rows += [(c + 0.3 * r.standard_normal(64) * 0.6 ** np.arange(64)).tolist() for _ in range(4)]
+    rows += r.standard_normal((600, 4)).tolist()
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    want, have = brute_caps(rows, 0.9), got(caps.near_duplicates(df), "vec_id", "n_links", "component_id", "kept")
+    for part in (range(1200), range(1200, 1800)):
+        assert sum(have[i][0] for i in part) >= 0.97 * sum(want[i][0] for i in part)
+
+
+@pytest.mark.parametrize("dim", [2, 4, 16, 64, 256])
+def test_caps_recall(dim):
+    """Pairs at the least cosine share a filter at any n, and no vector is left without filters."""
+    r = np.random.default_rng([9, dim])
+    x, y = r.standard_normal((2, 300, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + 0.19**0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    for n in (2_000, 51_282, 1_000_000, 10_000_000):
+        words = caps.plan(n, dim)
+        a, b = (caps.decode(v, caps.codebook(dim, words)) for v in (x, y))
+        assert a.shape[1] == b.shape[1] == min(caps.FILTERS, words**2)
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b, strict=True)]) >= 0.94
+
+
 def test_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs)
