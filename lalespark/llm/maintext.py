@@ -1,9 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into text blocks, each with its root-to-leaf tag path. Per path, text length and punctuation are
-aggregated over its nodes; the two ratios are smoothed along the page, fused, and paths above the threshold are content.
-The main container is the deepest element that holds nearly all content; its blocks make the text, so that short headings
-and list items between long paragraphs stay. Elements that are boilerplate by tag, role, or class and id words never count.
+aggregated over its nodes and fused; paths above the threshold are content. Both are bounded for each block, so that one
+very long block doesn't outweigh all others. The container is the <article> elements or <main> if they hold most content, or
+else the deepest element that holds nearly all; a block in it makes part of the text if its path is content. Of the others
+only short nodes between content stay: headings that content follows, and list items, table cells and the like beside content,
+or near it by ratios smoothed along the page; not what is mostly links, nor what has a wrapper of its own. Elements that are
+boilerplate by tag, role, or class and id words never count.
 
 Null or empty html, and pages without text, give an empty string. Extra columns are ignored; repeated rows repeat.
 """
@@ -26,6 +29,12 @@ _TOKEN = re.compile(
 #: Fixed values of the HTML standard: elements without content, elements within a line, and what a new block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var img wbr".split())
+#: Elements that structure a text: short blocks in them may stand between content.
+STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Length and marks of a block count up to these; a block of which more than LINKED is links is no short node of a text;
+#: a heading stays if a kept block follows within HEADING_REACH blocks.
+MOST_LENGTH, MOST_MARKS, LINKED, HEADING_REACH = 300, 4, 0.5, 3
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements and class, id or role words of boilerplate.
 BOILERPLATE = frozenset("nav footer aside form head menu dialog header".split())
@@ -49,20 +58,30 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
     return bool(re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", attributes)) if attributes else False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...]]]:
-    """(text, path) of each block outside boilerplate, in page order; path entries are (tag, element number)."""
+def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...], float]]:
+    """(text, path, share of links) of each block outside boilerplate, in page order; path entries are (tag, element number)."""
     out, stack, text = [], [], []
     number, hidden = 0, 0  # hidden: depth from which on the stack is boilerplate, 0 for none
+    links = linked = 0  # open links, and characters in links of this block
+
+    def add(s: str):
+        nonlocal linked
+        text.append(s)
+        if links:
+            linked += len(_BLANK.sub(" ", unescape(s)).strip())
 
     def flush():
+        nonlocal linked
         if text:
             s = _BLANK.sub(" ", unescape("".join(text))).strip()
             if s:
-                out.append((s, tuple(x for x in stack if x[0] not in INLINE)))
+                out.append((s, tuple(x for x in stack if x[0] not in INLINE), linked / len(s)))
             text.clear()
+            linked = 0
 
     def pop(to: int):
-        nonlocal hidden
+        nonlocal hidden, links
+        links -= sum(x[0] == "a" for x in stack[to:])
         del stack[to:]
         if hidden > to:
             hidden = 0
@@ -70,7 +89,7 @@ def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...]]]:
     at = 0
     for m in _TOKEN.finditer(html):
         if m.start() > at and not hidden:
-            text.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -101,10 +120,11 @@ def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...]]]:
                     break
         number += 1
         stack.append((tag, number))
+        links += tag == "a"
         if not hidden and _is_boilerplate(tag, m[4] or "") and not (tag == "header" and any(x[0] in ("article", "main") for x in stack[:-1])):
             hidden = len(stack)
     if at < len(html) and not hidden:
-        text.append(html[at:])
+        add(html[at:])
     flush()
     return out
 
@@ -116,34 +136,67 @@ def smooth(x: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.convolve(x, kernel, "full")[reach : reach + len(x)] / weight
 
 
-def main_text(html: str | None) -> str:
-    found = blocks(html) if html else []
-    if not found:
-        return ""
-    names = [tuple(t for t, _ in path) for _, path in found]
-    length = np.array([len(t) for t, _ in found], dtype=float)
-    marks = np.array([len(_MARKS.findall(t)) for t, _ in found], dtype=float)
-    number = {p: k for k, p in enumerate(dict.fromkeys(names))}
-    of = np.array([number[p] for p in names])
-    nodes = np.bincount(of)
-    text_ratio = smooth((np.bincount(of, length) / nodes)[of])
-    mark_ratio = smooth((np.bincount(of, marks) / nodes)[of])
-    fused = np.bincount(of, text_ratio * (1 + mark_ratio)) / nodes
-    content = fused[of] >= 0.5 * (fused * nodes).sum() / nodes.sum()
-    weight = np.where(content, length, 0.0)
+def _container(paths: list, weight: np.ndarray) -> list[bool]:
+    """Whether each block lies in the container: articles or main with most of the weight, or else the deepest element with nearly all."""
     inside: dict[tuple[str, int], float] = {}
-    for (_, path), w in zip(found, weight, strict=True):
+    for path, w in zip(paths, weight.tolist(), strict=True):
         for x in path:
             inside[x] = inside.get(x, 0.0) + w
-    best = None
+    total = float(weight.sum())
     for name in ("article", "main"):
-        named = [x for x in inside if x[0] == name]
-        if named and (top := max(named, key=lambda x: (inside[x], -x[1]))) and inside[top] > 0.3 * weight.sum():
-            best = top
-            break
-    if best is None:  # elements are numbered from the outside in
-        best = max((x for x in inside if x[0] not in ("p", "li") and inside[x] >= 0.8 * weight.sum()), key=lambda x: x[1], default=None)
-    return " ".join(t for t, path in found if best is None or best in path)
+        outer = [next((x for x in path if x[0] == name), None) for path in paths]
+        if sum(inside[x] for x in set(outer) if x) > 0.5 * total:
+            return [x is not None for x in outer]
+    # Elements are numbered from the outside in.
+    best = max((x for x in inside if x[0] not in ("p", "li") and inside[x] >= 0.8 * total), key=lambda x: x[1], default=None)
+    return [best is None or best in path for path in paths]
+
+
+def _ratios(texts: list[str], paths: list) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each block is content, and whether it would be by ratios that are smoothed along the page."""
+    names = [tuple(t for t, _ in path) for path in paths]
+    number = {p: k for k, p in enumerate(dict.fromkeys(names))}
+    of = np.array([number[p] for p in names])
+    nodes = np.bincount(of)
+    length = np.array([min(len(t), MOST_LENGTH) for t in texts], dtype=float)
+    marks = np.array([min(len(_MARKS.findall(t)), MOST_MARKS) for t in texts], dtype=float)
+    text_ratio, mark_ratio = (np.bincount(of, length) / nodes)[of], (np.bincount(of, marks) / nodes)[of]
+    fused = text_ratio * (1 + mark_ratio)
+    least = 0.5 * fused.mean()
+    near = np.bincount(of, smooth(text_ratio) * (1 + smooth(mark_ratio))) / nodes
+    return fused >= least, near[of] >= least
+
+
+def main_text(html: str | None) -> str:
+    found = blocks(html) if html else []
+    if not found:
+        return ""
+    texts, paths, linked = (list(x) for x in zip(*found, strict=True))
+    content, near = _ratios(texts, paths)
+    length = np.array([len(t) for t in texts], dtype=float)
+    inside = _container(paths, np.where(content, length, 0.0))
+    at = [k for k, i in enumerate(inside) if i]
+    main = [k for k in at if content[k]]
+    if not main:
+        return ""
+    around = {x for k in main for x in paths[k]}  # elements that hold content
+    keep = set(main)
+    follows = len(texts) + HEADING_REACH  # the next content block, walking back
+    for n in range(len(at) - 1, -1, -1):
+        k = at[n]
+        if content[k]:
+            follows = n
+            continue
+        own = [x[0] for x in paths[k] if x not in around]
+        if not STRUCTURE.issuperset(own):
+            continue
+        if own and own[-1] in HEADINGS:
+            if follows - n <= HEADING_REACH and (linked[k] <= LINKED or own[-1] == "h1"):
+                keep.add(k)
+        elif linked[k] <= LINKED and (main[0] < k < main[-1] or near[k]):
+            keep.add(k)
+            follows = n
+    return " ".join(texts[k] for k in sorted(keep))
 
 
 def _run(batches):

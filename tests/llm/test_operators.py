@@ -450,6 +450,26 @@ def test_maintext_table(spark, sf_dir):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+LONG = "A long sentence, with commas, that tells the reader what happened; and another one, which says why it did. And then some more, of course."
+
+
+def test_maintext_paths():
+    """Inside the container, blocks of paths below the threshold go; short nodes between content stay."""
+    inner = f"""<h1>Title</h1><div class="zq1"><a href="/s">Share</a> <a href="/t">Post it</a></div><p>{LONG}</p><div class="zq2">Buy cheap shoes</div>
+<h2>Part</h2><p>{LONG}</p><ul><li>one thing</li><li>two things</li></ul><p>{LONG}</p><ul class="zq3"><li><a href="/x">Other story</a></li><li><a href="/y">One more</a></li></ul>
+<h2>What you say</h2><div class="zq4"><div><b>joe</b><p>Nice one</p></div><div><b>ann</b><p>So true</p></div></div>"""
+    want = f"Title {LONG} Part {LONG} one thing two things {LONG}"
+    outside = '<div class="zq5"><div><p>Hot now</p></div></div>'
+    for tag in ("article", "main", "div"):
+        assert maintext.main_text(f"<html><body>{outside}<{tag}>{inner}</{tag}>{outside}</body></html>") == want, tag
+    # An article with little of the content isn't the container, and several articles are one.
+    teaser = f"<html><body><article><p>{LONG}</p></article><div>" + f"<p>{LONG} More.</p>" * 2 + "</div></body></html>"
+    assert maintext.main_text(teaser).count("More.") == 2
+    assert maintext.main_text(f"<body><article><p>{LONG} 1</p></article><article><p>{LONG} 2</p></article></body>") == f"{LONG} 1 {LONG} 2"
+    # One huge block doesn't make the others boilerplate.
+    assert maintext.main_text(f"<body><article><p>{LONG}</p><pre>{LONG * 500}</pre><p>{LONG}</p></article></body>").count(LONG) == 502
+
+
 def test_odd_rows(odd):
     n = odd.count()
     for out in (linededup.dedup_lines(odd), substring.dedup_substrings(odd, 2, 2), simhash.near_duplicates(odd), importance.select(odd, odd.selectExpr("doc_id", "1 as quality", "0 as toxic"))):
