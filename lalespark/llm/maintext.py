@@ -6,7 +6,8 @@ very long block doesn't outweigh all others. The container is the <article> elem
 else the deepest element that holds nearly all; a block in it makes part of the text if its path is content. Of the others
 only short nodes between content stay: headings that content follows, and list items, table cells and the like beside content,
 or near it by ratios smoothed along the page; not what is mostly links, nor what has a wrapper of its own. Elements that are
-boilerplate by tag, role, or class and id words never count.
+hidden (by the attribute or display:none) or boilerplate by tag never count, nor those with a class, id or role that is one
+of WORDS as a whole, unless they hold <main>, or all articles and no small part of the page, or nearly all content.
 
 Null or empty html, and pages without text, give an empty string. Extra columns are ignored; repeated rows repeat.
 """
@@ -32,34 +33,47 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that structure a text: short blocks in them may stand between content.
 STRUCTURE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption details summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element named like boilerplate stays with this share of the page's content, or with an article of that share in it.
 #: Length and marks of a block count up to these; a block of which more than LINKED is links is no short node of a text;
 #: a heading stays if a kept block follows within HEADING_REACH blocks.
+MOST_NAMED, LEAST_ARTICLE = 0.8, 0.3
 MOST_LENGTH, MOST_MARKS, LINKED, HEADING_REACH = 300, 4, 0.5, 3
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-#: Elements and class, id or role words of boilerplate.
-BOILERPLATE = frozenset("nav footer aside form head menu dialog header".split())
+#: Elements, and classes, ids or roles of boilerplate.
+BOILERPLATE = frozenset("nav footer aside head menu dialog header".split())
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies consent copyright "
     "disqus footer footnav gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination paywall popup "
     "promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe syndication toolbar widget".split()
 )
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _BLANK = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    for m in _NAMED.finditer(attributes):
-        if not WORDS.isdisjoint(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return bool(re.search(r"\bhidden\b(?!\s*=)|display\s*:\s*none", attributes)) if attributes else False
+def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether it is named like boilerplate."""
+    hidden = named = False
+    if attributes and tag not in ("html", "body"):
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "hidden":
+                hidden = hidden or value.lower() != "until-found"
+            elif name == "style":
+                hidden = hidden or _NONE.search(value) is not None
+            elif name in ("class", "id", "role"):
+                named = named or not WORDS.isdisjoint(value.lower().split())
+    return hidden, named and tag not in ("main", "article")
 
 
-def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...], float]]:
-    """(text, path, share of links) of each block outside boilerplate, in page order; path entries are (tag, element number)."""
+def blocks(html: str) -> tuple[list[tuple[str, tuple[tuple[str, int], ...], float]], set[tuple[str, int]]]:
+    """(text, path, share of links) of each block not hidden nor boilerplate by tag, in page order; and elements named like it.
+
+    Path entries are (tag, element number). An inline element is in the path only if it is named like boilerplate. A form
+    counts as named, as some sites have all of a page in one.
+    """
+    named: set[tuple[str, int]] = set()
     out, stack, text = [], [], []
     number, hidden = 0, 0  # hidden: depth from which on the stack is boilerplate, 0 for none
     links = linked = 0  # open links, and characters in links of this block
@@ -75,12 +89,14 @@ def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...], float]]:
         if text:
             s = _BLANK.sub(" ", unescape("".join(text))).strip()
             if s:
-                out.append((s, tuple(x for x in stack if x[0] not in INLINE), linked / len(s)))
+                out.append((s, tuple(x for x in stack if x[0] not in INLINE or x in named), linked / len(s)))
             text.clear()
             linked = 0
 
     def pop(to: int):
         nonlocal hidden, links
+        if not named.isdisjoint(stack[to:]):
+            flush()
         links -= sum(x[0] == "a" for x in stack[to:])
         del stack[to:]
         if hidden > to:
@@ -119,14 +135,18 @@ def blocks(html: str) -> list[tuple[str, tuple[tuple[str, int], ...], float]]:
                 elif name not in INLINE and not (tag == "tr" and name in ("td", "th")):
                     break
         number += 1
+        unseen, like = _signs(tag, m[4] or "")
+        if not hidden and (like or tag == "form"):
+            flush()
+            named.add((tag, number))
         stack.append((tag, number))
         links += tag == "a"
-        if not hidden and _is_boilerplate(tag, m[4] or "") and not (tag == "header" and any(x[0] in ("article", "main") for x in stack[:-1])):
+        if not hidden and (unseen or tag in BOILERPLATE and not (tag == "header" and any(x[0] in ("article", "main") for x in stack[:-1]))):
             hidden = len(stack)
     if at < len(html) and not hidden:
         add(html[at:])
     flush()
-    return out
+    return out, named
 
 
 def smooth(x: np.ndarray, reach: int = 2) -> np.ndarray:
@@ -167,8 +187,33 @@ def _ratios(texts: list[str], paths: list) -> tuple[np.ndarray, np.ndarray]:
     return fused >= least, near[of] >= least
 
 
+def _without(found: list, named: set) -> list:
+    """The blocks outside elements that are named like boilerplate, where the ratios don't say that the name misleads."""
+    paths = [path for _, path, _ in found]
+    if named.isdisjoint(x for path in paths for x in path):
+        return found
+    content, _ = _ratios([t for t, _, _ in found], paths)
+    inside: dict[tuple[str, int], float] = {}
+    holds: dict[tuple[str, int], set] = {}  # named elements with main or articles in them
+    for (text, path, _), c in zip(found, content.tolist(), strict=True):
+        for n, x in enumerate(path):
+            inside[x] = inside.get(x, 0.0) + (len(text) if c else 0)
+            if x in named:
+                holds.setdefault(x, set()).update(y for y in path[n + 1 :] if y[0] in ("main", "article"))
+    marked = {x for path in paths for x in path if x[0] in ("main", "article")}
+    total = sum(len(text) for (text, _, _), c in zip(found, content.tolist(), strict=True) if c)
+    gone = set()
+    for x, inner in holds.items():
+        around = {y for path in paths if x in path for y in path[: path.index(x)]}
+        alone = marked <= inner  # no other main or article, be it around it or elsewhere
+        most = inside[x] >= MOST_NAMED * total and not marked - inner - around
+        if not (any(y[0] == "main" for y in inner) or most or (alone and any(inside[y] >= LEAST_ARTICLE * total for y in inner))):
+            gone.add(x)
+    return [b for b in found if gone.isdisjoint(b[1])]
+
+
 def main_text(html: str | None) -> str:
-    found = blocks(html) if html else []
+    found = _without(*blocks(html)) if html else []
     if not found:
         return ""
     texts, paths, linked = (list(x) for x in zip(*found, strict=True))

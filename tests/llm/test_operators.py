@@ -470,6 +470,26 @@ def test_maintext_paths():
     assert maintext.main_text(f"<body><article><p>{LONG}</p><pre>{LONG * 500}</pre><p>{LONG}</p></article></body>").count(LONG) == 502
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body style="overflow:hidden"><article>{}</article></body>',
+        '<body class="has-sidebar"><article class="with-comments">{}</article></body>',
+        '<body class="search"><main class="search-results">{}</main></body>',
+        '<body><div class="no-sidebar"><div class="legal-content">{}</div></div></body>',
+        '<body><div class="legal"><div>{}</div></div><div class="ad">Cheap, cheap</div></body>',
+        '<body><div id="modal"><main>{}</main></div></body>',
+        '<body><form class="x"><article>{}</article></form><form><p>Your name, please.</p></form></body>',
+        '<body><div data-x="display:none" title="hidden">{}</div></body>',
+        '<body><article>{}<p hidden>Not this, and not that.</p><p style="color:red; display: none">Nor this.</p><p hidden="">Nor that.</p></article></body>',
+        '<body><article><div class="Comments x"><p>I say this, and that.</p></div>{}<span class="ad">Buy, buy.</span></article></body>',
+    ],
+)
+def test_maintext_names(page):
+    inner = f'<h1>Title</h1><p>{LONG} <a href="/hidden-gems">Gems</a>.</p><p>{LONG}</p>'
+    assert maintext.main_text(page.format(inner)) == f"Title {LONG} Gems. {LONG}"
+
+
 def test_odd_rows(odd):
     n = odd.count()
     for out in (linededup.dedup_lines(odd), substring.dedup_substrings(odd, 2, 2), simhash.near_duplicates(odd), importance.select(odd, odd.selectExpr("doc_id", "1 as quality", "0 as toxic"))):
