@@ -12,8 +12,9 @@ What is retrieved is verified: question and answer (an item's last sentence; non
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case. Null or empty text has none and
 nothing is found; items without words are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded;
-items longer than LONGEST words are cut into parts, each an item, and their part found stands for the item. Repeated rows
-give repeated results; extra columns are ignored.
+items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
+whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
+results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,10 +65,16 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items, lists = [], []
+        self.whole: dict[int, tuple[int, list[bytes], list[bytes]]] = {}  # by part: number, question and answer of its long item
+        longs = 0
         for item, text in items:
             tokens, hashes = words(text)
             if len(tokens) > LONGEST:
+                q, a = parts(text)
+                whole = (longs, words(q)[0], words(a)[0])
+                longs += 1
                 for lo in range(0, len(tokens) - LONGEST // 2, LONGEST // 2):
+                    self.whole[len(self.items)] = whole
                     self.items.append((item, tokens[lo : lo + LONGEST], []))
                     lists.append(grams(hashes[lo : lo + LONGEST]))
             elif tokens:
@@ -169,18 +176,21 @@ class Index:
 
     def verify(self, item: int, passage: list[bytes], overlap: float) -> tuple[float, float] | None:
         """The shares of question and answer shingles that the passage holds, if both are enough."""
-        _, question, answer = self.items[item]
-        got = []
-        for part in (question, answer):
-            if not part:
-                got.append(1.0)
-                continue
-            k = min(SHINGLE, len(part))
-            want = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
-            first = {w[0] for w in want}
-            have = {tuple(passage[i : i + k]) for i, w in enumerate(passage) if w in first} & want
-            got.append(len(have) / len(want))
-        return (got[0], got[1]) if min(got) >= overlap else None
+        return _overlaps(*self.items[item][1:], passage, overlap)
+
+
+def _overlaps(question: list[bytes], answer: list[bytes], passage: list[bytes], overlap: float) -> tuple[float, float] | None:
+    got = []
+    for part in (question, answer):
+        if not part:
+            got.append(1.0)
+            continue
+        k = min(SHINGLE, len(part))
+        want = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)}
+        first = {w[0] for w in want}
+        have = {tuple(passage[i : i + k]) for i, w in enumerate(passage) if w in first} & want
+        got.append(len(have) / len(want))
+    return (got[0], got[1]) if min(got) >= overlap else None
 
 
 def _passages(doc: np.ndarray, stride: int, length: int):
@@ -217,6 +227,7 @@ def _scan(shared, least: float, overlap: float):
                 if alone is not None:
                     total = np.append(0.0, np.cumsum(index.rare[alone]))
                     bound += total[last] - total[first]
+                parted: dict = {}  # by document and long item: a part found in it, with the best score
                 could = np.flatnonzero(bound >= least - 1e-6)
                 for p in could.tolist():
                     s, e = int(first[p]), int(last[p])
@@ -230,8 +241,18 @@ def _scan(shared, least: float, overlap: float):
                     raw = data[start[s] : end[e - 1]].tobytes().lower()
                     passage = [raw[x - start[s] : y - start[s]] for x, y in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True)]
                     for item, score in hits:
-                        if got := index.verify(item, passage, overlap):
+                        if item in index.whole:
+                            key = int(doc[s]), index.whole[item][0]
+                            parted[key] = max(parted.get(key, (0.0, 0)), (score, item))
+                        elif got := index.verify(item, passage, overlap):
                             rows.append((int(ids[lo + doc[s]]), lo + int(doc[s]), index.items[item][0], score, *got))
+                for d in sorted({d for d, _ in parted}):
+                    s, e = np.searchsorted(doc, [d, d + 1]).tolist()
+                    raw = data[start[s] : end[e - 1]].tobytes().lower()
+                    text = [raw[x - start[s] : y - start[s]] for x, y in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True)]
+                    for score, item in [v for k, v in parted.items() if k[0] == d]:
+                        if got := _overlaps(*index.whole[item][1:], text, overlap):
+                            rows.append((int(ids[lo + d]), lo + d, index.items[item][0], score, *got))
             best: dict = {}
             for d, row, item, score, q, a in rows:
                 if (row, item) not in best or best[row, item][2] < score:

@@ -347,6 +347,16 @@ def test_decontaminate_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_decontaminate_long(spark):
+    """A long item lies in a document only as a whole, with its answer."""
+    r = random.Random(13)
+    source, answer = words(r, 600, 10**6) + ".", "the answer is that nothing of it is known for sure"
+    rows = [(1, f"{words(r, 50)} {source} {answer} {words(r, 50)}"), (2, f"{words(r, 50)} {source} {words(r, 50)}"), (3, f"{' '.join(source.split()[:256])} {answer}"), (4, answer)]
+    items = spark.createDataFrame([(1, f"{source} {answer}")], "item_id long, text string")
+    out = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert [(r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in out] == [(1, 1, 1.0, 1.0)]
+
+
 def test_decontaminate_edges(spark, odd):
     none = spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id long, text string")
     assert decontaminate.contaminated(odd, none).count() == 0
