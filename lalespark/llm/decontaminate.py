@@ -11,7 +11,8 @@ What is retrieved is verified: question and answer (an item's last sentence; non
 `overlap` of their five-word shingles in the passage, or all words in a row if they have fewer than five.
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case. Null or empty text has none and
-nothing is found; items without words are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded;
+nothing is found; items without words are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded, by
+statistics of all items, so shares don't depend on shards;
 items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
 whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
 results; extra columns are ignored.
@@ -23,6 +24,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as scan
-from .common import NULL_ID, id_back
+from .common import NULL_ID, id_back, written
 
 LEAST, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK, SHARD, LONGEST = 16, 20_000, 256
@@ -60,10 +62,52 @@ def parts(text: str) -> tuple[str, str]:
     return (found[1], found[2]) if found else (text, "")
 
 
+def cuts(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of an item of n words; one of at most LONGEST words is its only part."""
+    if n <= LONGEST:
+        return [(0, n)] if n else []
+    return [(lo, min(n, lo + LONGEST)) for lo in range(0, n - LONGEST // 2, LONGEST // 2)]
+
+
+def terms_of(hashes: np.ndarray) -> np.ndarray:
+    """The terms of a part: its pairs, or its only word."""
+    return grams(hashes) if len(hashes) > 1 else single(hashes)
+
+
+@dataclass
+class Stats:
+    """Statistics of all items: parts, their mean length in terms, the most words of one, and in how many parts each term is."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int]
+
+
+def _count(batches):
+    """(shard, term, parts with it, parts, terms, most words): a row for each term, and one of null term for the shard's parts."""
+    for b in batches:
+        df: Counter = Counter()
+        total: dict[int, list[int]] = {}
+        for k, text in zip(b.column("shard").to_pylist(), b.column("text").to_pylist(), strict=True):
+            hashes = words(text)[1]
+            for lo, hi in cuts(len(hashes)):
+                terms = terms_of(hashes[lo:hi])
+                df.update((k, t) for t in np.unique(terms).view(np.int64).tolist())
+                got = total.setdefault(k, [0, 0, 0])
+                got[0] += 1
+                got[1] += len(terms)
+                got[2] = max(got[2], hi - lo)
+        rows = [(k, t, c, 0, 0, 0) for (k, t), c in df.items()] + [(k, None, 0, *v) for k, v in total.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.int32(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["shard", "term", "df", "n", "length", "longest"])
+
+
 class Index:
-    """Postings of up to SHARD items."""
+    """Postings of up to SHARD items, by statistics of these or of all items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
         self.items, lists = [], []
         self.whole: dict[int, tuple[int, list[bytes], list[bytes]]] = {}  # by part: number, question and answer of its long item
         longs = 0
@@ -73,18 +117,21 @@ class Index:
                 q, a = parts(text)
                 whole = (longs, words(q)[0], words(a)[0])
                 longs += 1
-                for lo in range(0, len(tokens) - LONGEST // 2, LONGEST // 2):
+                for lo, hi in cuts(len(tokens)):
                     self.whole[len(self.items)] = whole
-                    self.items.append((item, tokens[lo : lo + LONGEST], []))
-                    lists.append(grams(hashes[lo : lo + LONGEST]))
+                    self.items.append((item, tokens[lo:hi], []))
+                    lists.append(terms_of(hashes[lo:hi]))
             elif tokens:
                 q, a = parts(text)
                 self.items.append((item, words(q)[0], words(a)[0]))
-                lists.append(grams(hashes) if len(tokens) > 1 else single(hashes))
-        self.length = max((len(q) + len(a) for _, q, a in self.items), default=1)
+                lists.append(terms_of(hashes))
+        self.length = stats.longest if stats else max((len(q) + len(a) for _, q, a in self.items), default=1)
         self.singles = any(len(q) + len(a) == 1 for _, q, a in self.items)
-        n, mean = len(lists), float(np.mean([len(x) for x in lists])) if lists else 1.0
-        df = Counter(h for x in lists for h in set(x.tolist()))
+        if stats:
+            n, mean, df = stats.n, stats.mean, stats.df
+        else:
+            n, mean = len(lists), float(np.mean([len(x) for x in lists])) if lists else 1.0
+            df = Counter(h for x in lists for h in set(x.tolist()))
         self.terms = {h: k for k, h in enumerate(sorted(df))}
         self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.terms]
         for i, x in enumerate(lists):
@@ -270,12 +317,23 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overla
     spark = docs.sparkSession
     good = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = good.count()
-    shards = max(1, -(-n // SHARD))
-    out = None
+    shards = max(1, -(-good.count() // SHARD))
+    out = counts = None
+    if shards > 1:
+        good = good.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+        counts = good.select("shard", "text").mapInArrow(_count, "shard int, term long, df long, n long, length long, longest long")
+        counts = written(counts.groupBy("shard", "term").agg(*[F.sum(c).alias(c) for c in ("df", "n", "length")], F.max("longest").alias("longest")), "decontaminate-terms")
+        every = counts.filter(F.col("term").isNull()).agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.max("longest").alias("longest")).first()
+        df = counts.filter(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("all"))
     for k in range(shards):  # the items are few; each shard is a pass of its own
-        part = good if shards == 1 else good.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        index = Index(sorted((r["item_id"], r["text"]) for r in part.collect()))
+        part, stats = good, None
+        if counts is not None:
+            part = good.filter(F.col("shard") == k)
+            own = counts.filter(F.col("shard") == k).select("term").join(df, "term").select("term", "all").toArrow()
+            keys = own.column("term").to_numpy().view(np.uint64).tolist()
+            n, length, longest = every if every["n"] else (0, 1, 1)
+            stats = Stats(n, length / max(1, n), longest, dict(zip(keys, own.column("all").to_pylist(), strict=True)))
+        index = Index(sorted((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()), stats)
         found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index), least, overlap), "d long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
     return out.select(id_back().alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap")

@@ -357,6 +357,19 @@ def test_decontaminate_long(spark):
     assert [(r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in out] == [(1, 1, 1.0, 1.0)]
 
 
+def test_decontaminate_shards(spark, monkeypatch):
+    """Results, scores included, don't depend on the number of shards."""
+    r = random.Random(14)
+    items = [(i, words(r, r.choice([1, 2, 5, 12, 30, 300]))) for i in range(90)] + [(90, "?!")]
+    rows = [(k, f"{words(r, 40)} {t if k % 2 else ' '.join(t.split()[: max(1, len(t.split()) * 17 // 20)])} {words(r, 40)}") for k, t in items]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for shard in (1000, 8):
+        monkeypatch.setattr(decontaminate, "SHARD", shard)
+        found.append({(x["doc_id"], x["item_id"]): (round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in decontaminate.contaminated(docs, tests).collect()})
+    assert len(found[0]) > 40 and found[0] == found[1]
+
+
 def test_decontaminate_edges(spark, odd):
     none = spark.createDataFrame([(1, None), (None, "a b"), (2, "")], "item_id long, text string")
     assert decontaminate.contaminated(odd, none).count() == 0
