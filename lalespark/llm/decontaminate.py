@@ -11,7 +11,7 @@ What is retrieved is verified: question and answer (an item's last sentence; non
 `overlap` of their five-word shingles in the passage, or all words in a row if they have fewer than five.
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case. Null or empty text has none and
-nothing is found; items without words are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded, by
+nothing is found; items without words or of null id are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded, by
 statistics of all items, so shares don't depend on shards;
 items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
 whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
