@@ -2,7 +2,8 @@
 
 A known word scores by its log frequency in each language. An unseen word falls back to its longest character n-grams
 that are known, then to shorter ones, with a penalty for each step. The model is learned from a bounded sample of
-labelled rows and holds a bounded number of words and n-grams, so its broadcast has a fixed size.
+labelled rows, of which it reads whole texts, and holds a bounded number of words and n-grams, so its broadcast has a fixed
+size. At most MOST_LANGS languages are learned; documents of rarer ones get a wrong lang_pred.
 
 Null text, empty text and text without a letter give `und` and score 0. Rows of null id are never learned from and count
 as held out. Repeated rows are predicted alike; extra columns pass through, those named like a result are replaced.
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from .common import trimmed, written
 
 UND = "und"
-#: Expected number of sampled documents a language, their words, and kept entries of each kind a language.
-SAMPLE_DOCS, SAMPLE_CHARS, KEPT_WORDS, KEPT_GRAMS = 1500, 20_000, 30_000, 8_000
+#: Expected number of sampled documents a language, and kept entries of each kind a language.
+SAMPLE_DOCS, KEPT_WORDS, KEPT_GRAMS = 1500, 30_000, 8_000
 LONGEST = 5
 #: Entries of each kind that all languages together keep, whatever their number.
 KEPT_ALL = 120_000
@@ -99,9 +100,7 @@ def train(docs: DataFrame, id_col: str = "doc_id") -> Model:
         for lang, c in total.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(c), pa.string()), "word": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
 
-    # Texts of the sample are cut for learning only; predictions read whole texts.
-    learn = sample(docs, id_col).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    counts = written(learn.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-counts")
+    counts = written(sample(docs, id_col).mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-counts")
     langs = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("s")).orderBy("lang").collect()]
     if not langs:
         return Model([], {}, {}, np.zeros((1, 0)), np.zeros(0))

@@ -311,6 +311,17 @@ def test_langid_edges(docs, odd):
     assert set(langid.stage(docs).columns) == set(docs.columns)
 
 
+def test_langid_long_texts(spark):
+    """All of a long labelled text is learned from: here two languages differ beyond the first 30,000 characters only."""
+    same = "lorem ipsum " * 2_500
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, same + ("vorrei sapere quando " if k % 2 else "ndifuna ukwazi ") * 200, "it" if k % 2 else "xh") for k, i in enumerate(ids[:8])]
+    held = [i for i in range(200) if i not in ids][:2]
+    rows += [(held[0], "quando vorrei sapere", None), (held[1], "ukwazi ndifuna", None)]
+    have = got(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")), "doc_id", "lang_pred")
+    assert have[held[0]] == ("it",) and have[held[1]] == ("xh",)
+
+
 def test_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     norm = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + " "
