@@ -2,7 +2,8 @@
 
 Each document is tokenised, closed by an end id and cut into pieces whose lengths are powers of two: as many of the longest
 as fit, then the binary digits of the rest from high to low. Each piece is a sequence of its own, so no sequence crosses
-documents and none is padded. Equal lengths form a bucket; sequence_id modulo BUCKETS names it.
+documents and none is padded. Equal lengths form a bucket, the column `bucket` (log2 of the length); write() puts each into a
+folder of its own, and sequence_id modulo BUCKETS names it too.
 
 Null text is empty: its only id is the end id. Repeated rows are packed as often as they come. Extra columns are ignored.
 Needs no shuffle; a lost executor costs the tasks it ran. Sequence ids are unique within a result.
@@ -116,12 +117,11 @@ class WordEncoder:
         start, end = scan.spans(data, offsets, scan.BLANKS)
         if not len(start):
             return [np.zeros(0, dtype="<u4")] * (len(offsets) - 1)
-        _, first, of = np.unique(scan.word_hashes(data, start, end), return_index=True, return_inverse=True)
-        size = end - start
-        if (size[first][of] != size).any():  # words of unequal length share a hash
-            first, of = np.arange(len(start)), np.arange(len(start))
-        raw = data.tobytes()
-        parts = self._ids([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+        size = np.append(0, np.cumsum(end - start))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(size), pa.py_buffer(data[~scan.BLANKS[data]])])
+        words = words.dictionary_encode()  # by the bytes themselves
+        of = words.indices.to_numpy()
+        parts = self._ids(words.dictionary.to_pylist())
         flat = np.frombuffer(b"".join(parts), dtype="<u4")
         count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         at = (np.cumsum(count) - count)[of]
@@ -181,12 +181,17 @@ def _pieces(path: str, longest: int, end: int, with_ids: bool, keep: bool = True
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end: int = END, with_ids: bool = False, keep: bool = True) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids if asked for, bucket, sequence_id, offset."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(trimmed(_pieces(tokenizer, longest, end, with_ids, keep)), schema)
-    bucket = F.log2("length").cast("long")
-    return out.withColumn("sequence_id", F.monotonically_increasing_id() * BUCKETS + bucket).withColumn("offset", F.lit(0).cast("long"))
+    out = out.withColumn("bucket", F.log2("length").cast("int"))
+    return out.withColumn("sequence_id", F.monotonically_increasing_id() * BUCKETS + F.col("bucket")).withColumn("offset", F.lit(0).cast("long"))
+
+
+def write(packed: DataFrame, path: str) -> None:
+    """Parquet with a folder for each bucket, so that a batch of sequences of one length is read from one place."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def stage(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Vectorised scanning of Arrow text columns: word spans, word hashes and rolling hashes of word n-grams.
 
-Hashes are polynomials modulo 2**64 over mixed bytes, from prefix sums, so a pass costs a few nanoseconds a byte.
-Equal words have equal hashes; where a collision could matter, callers compare the words themselves.
+Hashes are polynomials modulo 2**64 over mixed bytes, from prefix sums, so a pass costs a few nanoseconds a byte. Equal words
+have equal hashes, but unequal ones may have too (self-similar words over two letters do by construction). So hashes only
+choose: anchors and index terms, whose words are compared before anything is found or removed, and buckets of counts.
 """
 
 from __future__ import annotations
