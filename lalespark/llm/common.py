@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         return got
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lalespark-checkpoints-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
@@ -74,6 +76,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def removed(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes the files of a table of written() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.startswith(shared_dir(spark).rstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (d, t1, t2, text): the id with nulls replaced, and 128 hash bits of the text.
 

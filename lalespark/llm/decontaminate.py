@@ -2,8 +2,8 @@
 
 Test items are indexed by pairs of neighbouring words (an item of one word by that): a posting holds the item and the pair's
 share of the item's own BM25 score, so a passage that holds all of an item scores 1. Single words would not do: a passage's
-common words alone reach the bounds of short items, and nine passages in ten could not be skipped. Postings are in item order, in blocks that keep their largest share. Every passage of
-every document is a query: overlapping runs of words, long enough that an item lies whole in one. All items that score
+common words alone reach the bounds of short items, and nine passages in ten could not be skipped. Postings are in item
+order, in blocks that keep their largest share. Every passage of every document is a query: overlapping runs of words, long enough that an item lies whole in one. All items that score
 `least` or more are retrieved; retrieval skips by upper bounds only, so none is lost. First the bounds of the passage's
 pairs are summed for many passages at once; what could reach `least` goes through block-max WAND.
 
@@ -11,8 +11,9 @@ What is retrieved is verified: question and answer (an item's last sentence; non
 `overlap` of their five-word shingles in the passage, or all words in a row if they have fewer than five.
 
 Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case. Null or empty text has none and
-nothing is found; items without words or of null id are left out. Items are indexed in shards of SHARD items, so a broadcast is bounded, by
-statistics of all items, so shares don't depend on shards;
+nothing is found; items without words are left out. Items of null id can't be named in a result and are left out of it, but
+the pipeline's stage searches for them like for others. Items are indexed in shards of SHARD items, so a broadcast is
+bounded, by statistics of all items, so shares don't depend on shards;
 items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
 whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
 results; extra columns are ignored.
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as scan
-from .common import NULL_ID, id_back, written
+from .common import NULL_ID, id_back, unused, written
 
 LEAST, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK, SHARD, LONGEST = 16, 20_000, 256
@@ -311,11 +312,13 @@ def _scan(shared, least: float, overlap: float):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overlap: float = OVERLAP, unnamed: bool = False) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): each document and each item that lies in it, with the
-    passage that scores best."""
+    passage that scores best. unnamed: items of null id are searched too, and reported with a null item_id."""
     spark = docs.sparkSession
-    good = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", F.col("text").cast("string").alias("text"))
+    good = items.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), F.col("text").cast("string").alias("text"))
+    if not unnamed:
+        good = good.filter(F.col("item_id") != NULL_ID)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = max(1, -(-good.count() // SHARD))
     out = counts = None
@@ -336,11 +339,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overla
         index = Index(sorted((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()), stats)
         found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index), least, overlap), "d long, item_id long, score double, question_overlap double, answer_overlap double")
         out = found if out is None else out.unionByName(found)
-    return out.select(id_back().alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap")
+    return out.select(id_back().alias("doc_id"), id_back("item_id").alias("item_id"), "score", "question_overlap", "answer_overlap")
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents in which no item lies."""
-    names = docs.columns
-    found = contaminated(docs, items).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d")).distinct()
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(found, "_d", "left_anti").select(*names)
+    d = unused(docs, "_d")
+    found = contaminated(docs, items, unnamed=True).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(d)).distinct()
+    return docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(found, d, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_back, keyed, slices, trimmed
+from .common import NULL_ID, id_back, keyed, slices, trimmed, unused
 
 WINDOW = 3
 
@@ -79,22 +79,24 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def stage(docs: DataFrame) -> DataFrame:
     """Documents with repeated lines removed; those of which nothing but blanks is left go. n_chars follows the text."""
     names = docs.columns
-    base = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t1"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("_t2"))
+    d, t1, t2, found = (unused(docs, c) for c in ("_d", "_t1", "_t2", "_starts"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t1: F.xxhash64(text), t2: F.xxhash64(F.lit(7), text)})
     starts = repeated(windows(keyed(docs)))
-    hit = base.join(starts.select(F.col("d").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("starts").alias("_starts")), ["_d", "_t1", "_t2"], "left")
+    hit = base.join(starts.select(F.col("d").alias(d), F.col("t1").alias(t1), F.col("t2").alias(t2), F.col("starts").alias(found)), [d, t1, t2], "left")
     schema = hit.select(*names).schema
 
     def run(batches):
         for b in slices(batches):
             at, cols = b.schema.names.index("text"), [b.column(n) for n in names]
             texts = b.column(at).to_pylist()
-            for k, starts_ in enumerate(b.column("_starts").to_pylist()):
+            for k, starts_ in enumerate(b.column(found).to_pylist()):
                 if starts_:
                     texts[k] = "\n".join(left(texts[k].split("\n"), starts_))
             cols[names.index("text")] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = hit.select(*names, "_starts").mapInArrow(trimmed(run), schema)
+    out = hit.select(*names, found).mapInArrow(trimmed(run), schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.filter(F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0).select(*names)
