@@ -1,7 +1,7 @@
 """Gray-order hierarchical index over bit fingerprints.
 
 Fingerprints are sorted by Gray rank, so neighbours share most bits. Each run of FAN neighbours becomes a node that keeps
-the bits all of them share (a mask and a pattern); runs of nodes become upper nodes. A search goes down from the top and
+the bits that all of them share (a mask and a pattern); runs of nodes become upper nodes. A search goes down from the top and
 adds up the differences on the bits that each level newly fixes; once they exceed the limit, the whole group is pruned. At
 the leaves the sum is the exact distance.
 """
@@ -34,25 +34,28 @@ def gray_order(codes: np.ndarray) -> np.ndarray:
 
 def distance(a: np.ndarray) -> np.ndarray:
     """Bits set in each row."""
-    return np.bitwise_count(a).sum(axis=-1, dtype=np.int32)
+    count = np.bitwise_count(a)
+    if a.shape[-1] == 1:
+        return count[..., 0].astype(np.int16)
+    return (count.astype(np.float32) @ np.ones(a.shape[-1], dtype=np.float32)).astype(np.int16)
 
 
 class GrayIndex:
-    def __init__(self, codes: np.ndarray):
-        """codes: distinct or not, n x words of uint64, in Gray order."""
-        self.codes = codes
+    def __init__(self, codes: np.ndarray, fan: int = FAN):
+        """codes: distinct or not, n x words of uint64, in Gray order. fan: children of a node."""
+        self.codes, self.fan = codes, fan
         full = np.full_like(codes, ~np.uint64(0))
         masks, patterns = [full], [codes]
         low = high = codes
-        while len(low) > FAN:
-            at = np.arange(0, len(low), FAN)
+        while len(low) > fan:
+            at = np.arange(0, len(low), fan)
             low, high = np.bitwise_and.reduceat(low, at, axis=0), np.bitwise_or.reduceat(high, at, axis=0)
             masks.append(~(low ^ high))
             patterns.append(low)
         self.levels = []
         for k, (mask, pattern) in enumerate(zip(masks, patterns, strict=True)):
             if k + 1 < len(masks):  # bits that the upper node has are not counted again
-                mask = mask & ~np.repeat(masks[k + 1], FAN, axis=0)[: len(mask)]
+                mask = mask & ~np.repeat(masks[k + 1], fan, axis=0)[: len(mask)]
             self.levels.append((mask, pattern & mask))
 
     def search(self, queries: np.ndarray, most: int):
@@ -61,16 +64,16 @@ class GrayIndex:
         for lo in range(0, len(queries), step):
             q = queries[lo : lo + step]
             mask, pattern = self.levels[-1]
-            qi = np.repeat(np.arange(len(q)), len(mask))
-            node = np.tile(np.arange(len(mask)), len(q))
-            acc = distance((q[qi] & mask[node]) ^ pattern[node])
+            acc = distance((q[:, None] & mask) ^ pattern)
+            qi, node = np.nonzero(acc <= most)
+            acc = acc[qi, node]
             for mask, pattern in self.levels[-2::-1]:
-                near = acc <= most
-                qi, node, acc = qi[near], node[near], acc[near]
-                child = (node[:, None] * FAN + np.arange(FAN)).ravel()
-                qi, acc = np.repeat(qi, FAN), np.repeat(acc, FAN)
-                real = child < len(mask)
-                qi, node, acc = qi[real], child[real], acc[real]
-                acc = acc + distance((q[qi] & mask[node]) ^ pattern[node])
-            near = acc <= most
-            yield qi[near] + lo, node[near]
+                child = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
+                qi, acc = np.repeat(qi, self.fan), np.repeat(acc, self.fan)
+                real = child < len(mask)  # the last node may have fewer children
+                if not real.all():
+                    qi, child, acc = qi[real], child[real], acc[real]
+                acc += distance((q[qi] & mask[child]) ^ pattern[child])
+                near = np.flatnonzero(acc <= most)
+                qi, node, acc = qi[near], child[near], acc[near]
+            yield qi + lo, node

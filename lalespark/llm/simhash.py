@@ -1,9 +1,11 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Fingerprints that differ in at most `most` bits link. Equal fingerprints are collapsed to one row first, by an aggregation.
-Bands of bits deal the distinct fingerprints out: two that link agree in a whole band (always if there are more bands than
-differing bits; for wide fingerprints with the probability that bands() documents). Within a band's value, the index of
-hamming.py finds the links; a group gives a spanning forest of them, never all pairs, and components join the forests.
+Keys of a few bits deal the distinct fingerprints out: two that link agree in a whole key (always for 64 bits, by the
+pigeonhole principle; for wide fingerprints with a probability that keys() documents). Keys get longer with the number of
+fingerprints, so that a key's value holds about PER_KEY of them at any size. All fingerprints of a value, few or many, are
+sorted by Gray rank and indexed by hamming.py, and each is searched for there; a group gives a spanning forest of the
+links found, never all pairs, and components join the forests.
 
 Null text is empty, without words, and has fingerprint zero, which links like any other. A null id sorts first. Repeated
 rows share a fingerprint and so a component. Other columns are ignored.
@@ -11,20 +13,26 @@ rows share a fingerprint and so a component. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, changes, groups, id_back, tiled, trimmed, written
+from .common import NULL_ID, changes, groups, id_back, tiled, trimmed, unused, written
 from .components import connected_components, local_labels
 from .hamming import GrayIndex, distance, gray_order
 
 SEED = 42
-#: Rows of a band's value that one task takes at once; larger groups are cut into tiles that meet pairwise.
+#: Rows of a key's value that one task takes at once; larger groups are cut into tiles that meet pairwise.
 MOST_GROUP = 4096
-_SMALL = 48
+#: Fingerprints that share a key's value, about, for narrow and wide ones.
+PER_KEY, PER_WIDE_KEY = 128, 12
+#: Children of a node: wide fingerprints differ in so many bits that upper nodes prune little.
+FAN, WIDE_FAN = 4, 16
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -99,53 +107,65 @@ def fingerprints(docs: DataFrame, width: int, wide: bool) -> DataFrame:
     return rows.mapInArrow(trimmed(run), schema)
 
 
-def bands(wide: bool) -> list[tuple[int, int]]:
-    """(first bit, bits) of each band. 64 bits, 3 differing: four bands of 16, one of which agrees always.
-    512 bits: 36 bands of 14 bits. At a similarity of 0.8 a bit agrees with probability 0.848, so a band with 0.1 and one
-    of the 36 with 0.977; at 0.85 with 0.996, at 0.9 with 0.9999."""
-    return [(k * 14, 14) for k in range(36)] if wide else [(k * 16, 16) for k in range(4)]
+#: The share of pairs of similarity 0.8 whose wide fingerprints agree in a key, and the probability that a bit agrees.
+GOAL, AGREES = 0.977, 0.848
+
+
+def keys(n: int, wide: bool, most: int) -> np.ndarray:
+    """The bits (keys x bits) of each key for n distinct fingerprints.
+
+    64 bits are cut into most + 1 parts or more; at most `most` of them hold a differing bit, so two fingerprints that link
+    agree in one of the sets of the other parts. A key has the first bits of such a set, as many as n asks for. 512 bits:
+    random bits, of which two of similarity 0.8 agree in a key with probability AGREES ** bits, and in one of the keys with
+    GOAL; at 0.85 with 0.996 or more.
+    """
+    bits = max(2, round(math.log2(max(1, n) / (PER_WIDE_KEY if wide else PER_KEY))))
+    if wide:
+        many = math.ceil(math.log(1 - GOAL) / math.log1p(-(AGREES**bits)))
+        return np.stack([np.random.default_rng([9, bits, k]).permutation(64 * WIDE)[:bits] for k in range(many)])
+    for alike in range(1, 64):  # parts that make a key
+        size = 64 // (most + alike)
+        if alike * size >= bits or (alike + 1) * (64 // (most + alike + 1)) <= alike * size:
+            break
+    bits = min(bits, alike * size)
+    # Bits of the parts in turn, so that a short key has some of each.
+    return np.array([[part * size + k for k in range(size) for part in chosen][:bits] for chosen in combinations(range(most + alike), alike)])
 
 
-def _band_values(codes: list[str], wide: bool):
-    """An array of structs (band, value) from the words of the fingerprint."""
-    out = []
-    for k, (at, bits) in enumerate(bands(wide)):
-        word, low = divmod(at, 64)
-        v = F.shiftrightunsigned(F.col(codes[word]), low)
-        if low + bits > 64:
-            v = v.bitwiseOR(F.shiftleft(F.col(codes[word + 1]), 64 - low))
-        out.append(F.struct(F.lit(k).alias("band"), v.bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("value")))
-    return F.array(*out)
+def key_values(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The value (codes x keys) of each key."""
+    out = np.zeros((len(codes), len(own)), dtype=np.int64)
+    for k in range(own.shape[1]):
+        word, bit = np.divmod(own[:, k], 64)
+        out = out << 1 | (codes[:, word] >> bit.astype(np.uint64) & np.uint64(1)).astype(np.int64)
+    return out
 
 
 def forest(codes: np.ndarray, group: np.ndarray, reps: np.ndarray, tile: np.ndarray, cross: np.ndarray, most: int):
-    """Edges (rep, smallest rep of its class) within groups. group: start rows. cross: groups that hold two tiles."""
-    n = len(codes)
+    """Edges (rep, smallest rep of its class) within groups. group: start rows. cross: groups that hold two tiles.
+
+    A group of no more rows than a node has children is a single node, and all such groups are compared at once."""
+    n, fan = len(codes), FAN if codes.shape[1] == 1 else WIDE_FAN
     label = np.arange(n)
     ends = np.append(group[1:], n)
     sizes = ends - group
-    small = sizes <= _SMALL
+    single = sizes <= fan
     of = np.repeat(np.arange(len(group)), sizes)
-    rows = np.flatnonzero(small[of])
-    links = []
-    for gap in range(1, int(sizes[small].max(initial=1))):
+    rows = np.flatnonzero(single[of])
+    a, b = [], []
+    for gap in range(1, int(sizes[single].max(initial=1))):
         rows = rows[rows + gap < ends[of[rows]]]
-        if not len(rows):
-            break
-        near = distance(codes[rows] ^ codes[rows + gap]) <= most
-        links.append((rows[near], rows[near] + gap))
-    for g in np.flatnonzero(~small):
-        lo, hi = group[g], ends[g]
-        order = gray_order(codes[lo:hi]) + lo
-        index = GrayIndex(codes[order])
-        for q, c in index.search(codes[order], most):
+        near = rows[distance(codes[rows] ^ codes[rows + gap]) <= most]
+        a.append(near)
+        b.append(near + gap)
+    if a:
+        label = local_labels(n, label, np.concatenate(a), np.concatenate(b))
+    for g in np.flatnonzero(~single):
+        order = gray_order(codes[group[g] : ends[g]]) + group[g]
+        for q, c in GrayIndex(codes[order], fan).search(codes[order], most):
             q, c = order[q], order[c]
-            keep = q < c
-            if cross[g]:
-                keep = (q != c) & (tile[q] < tile[c])
+            keep = (tile[q] < tile[c]) if cross[g] else (q < c)
             label = local_labels(n, label, q[keep], c[keep])
-    if links:
-        label = local_labels(n, label, np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
     low = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(low, label, reps)
     root = low[label]
@@ -156,20 +176,33 @@ def forest(codes: np.ndarray, group: np.ndarray, reps: np.ndarray, tile: np.ndar
 def links(distinct: DataFrame, wide: bool, most: int) -> DataFrame:
     """Edges (a, b) between representatives of distinct fingerprints: in each group a spanning forest of its links."""
     names = [c for c in distinct.columns if c.startswith("f")]
-    spread = distinct.select("rep", *names, F.inline(_band_values(names, wide)))
-    spread = tiled(spread, ["band", "value"], "rep", MOST_GROUP)
-    keys = ["band", "value", "ta", "tb"]
+    own = keys(distinct.count(), wide, most)
+
+    def spread(batches):
+        for b in batches:
+            codes = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+            for lo in range(0, len(codes), 500):
+                part = codes[lo : lo + 500]
+                values = key_values(part.view(np.uint64), own).ravel()
+                row = np.repeat(np.arange(len(part)), len(own))
+                key = np.tile(np.arange(len(own), dtype=np.int32), len(part))
+                cols = [pa.array(b.column("rep").to_numpy()[lo + row]), *(pa.array(part[row, k]) for k in range(len(names))), pa.array(key), pa.array(values)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", *names, "key", "value"])
+
+    schema = "rep long, " + ", ".join(f"{c} long" for c in names)
+    rows = tiled(distinct.select("rep", *names).mapInArrow(spread, f"{schema}, key int, value long"), ["key", "value"], "rep", MOST_GROUP)
+    by = ["key", "value", "ta", "tb"]
 
     def run(batches):
-        for t in groups(batches, keys):
+        for t in groups(batches, by):
             codes = np.stack([t.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-            start = changes(t, keys)
+            start = changes(t, by)
             ta, tb = t.column("ta").to_numpy()[start], t.column("tb").to_numpy()[start]
             a, b = forest(codes, start, t.column("rep").to_numpy(), t.column("tile").to_numpy(), ta != tb, most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(run), "a long, b long")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(trimmed(run), "a long, b long")
 
 
 def classes(docs: DataFrame, width: int = 3, most: int = 3, wide: bool = False) -> DataFrame:
@@ -195,13 +228,14 @@ WIDE_MOST = 85
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the smallest id; five-word shingles, similarity 0.8 or more.
+    """One document of each group stays, that with the smallest id; five-word shingles, similarity of about 0.8.
 
-    64 bits tell a similarity of 0.8 (10 differing bits) badly from chance, so this takes 512 bits and WIDE_MOST differing ones.
-    Of repeated rows with that id all but one go.
+    64 bits tell a similarity of 0.8 (10 differing bits) badly from chance, so this takes 512 bits and WIDE_MOST differing
+    ones. The sketch decides, so 0.8 is no sharp edge: of pairs of 0.8 nine in ten link, of 0.85 all, of 0.75 half, of 0.7
+    one in fifteen (figures in the README). Of repeated rows with that id all but one go.
     """
     found = classes(docs, width=5, most=WIDE_MOST, wide=True)
-    keep = found.filter(F.col("d") == F.col("component")).select(F.col("d").alias("_d")).distinct()
-    names = docs.columns
-    base = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return base.join(keep, "_d", "left_semi").dropDuplicates(["_d"]).select(*names)
+    d = unused(docs, "_d")
+    keep = found.filter(F.col("d") == F.col("component")).select(F.col("d").alias(d)).distinct()
+    base = docs.withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return base.join(keep, d, "left_semi").dropDuplicates([d]).select(*docs.columns)
