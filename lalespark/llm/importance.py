@@ -1,9 +1,14 @@
 """Quality selection by importance resampling.
 
 Two bag-of-n-grams models over hashed words and word pairs: one of target text (rows labelled good and not toxic), one of
-all raw text. A row's weight is the logarithm of the ratio of the two likelihoods, taken per n-gram count with smoothing;
-adding Gumbel noise and taking the k largest samples k rows without replacement in proportion to their ratios. The noise
-comes from a hash of the id and the text, so a rerun draws the same.
+all raw text. A row's log_weight is the logarithm of the ratio of its likelihoods under the two. The target model is smoothed
+with the raw one, which stands for SMOOTHING of its counts. Adding Gumbel noise to the log weights, times a power, and taking
+the k largest samples k rows without replacement in proportion to their ratios to that power. The noise comes from a hash of
+the id and the text, so a rerun draws the same.
+
+By default the power is TYPICAL over the row's number of n-grams: rows are drawn by the ratio of TYPICAL n-grams like theirs.
+With a power of 1 the sum over a long row drowns both the noise and the rows of usual length, whichever sign it has, and held
+out labels fare worse (figures in the README).
 
 Counts of raw text cover all rows; the target model is fitted on a sample of TARGET_ROWS labelled rows, drawn by a hash. A
 model is BUCKETS numbers at any size. The k-th largest key is found by narrowing a histogram, with
@@ -24,6 +29,8 @@ from .common import NULL_ID, id_back, written
 BUCKETS = 1 << 16
 #: Rows of target text at most that the target model is fitted on; their ids are broadcast, so no text is shuffled.
 TARGET_ROWS = 20_000
+#: N-grams that a row is weighed as if it had, and the share of the target model that is the raw one.
+TYPICAL, SMOOTHING = 200, 0.01
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,11 +60,17 @@ def _count(batches):
 def fit(rows: DataFrame) -> np.ndarray:
     """The log ratio of each bucket from rows (text, target)."""
     got = rows.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in got:  # at most BUCKETS rows
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    return log_ratios(raw, target)
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of each bucket from its counts; raw counts get one more each. Without target rows all are zero."""
+    like_raw = (raw + 1) / (raw + 1).sum()
+    prior = max(1.0, SMOOTHING * target.sum())
+    return np.log((target + prior * like_raw) / (target.sum() + prior)) - np.log(like_raw)
 
 
 def _weigh(ratios: np.ndarray):
@@ -108,10 +121,11 @@ def top(keys: DataFrame, k: int, steps: int = 1024) -> tuple[float, int | None]:
     return lo, a
 
 
-def select(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
-    """(doc_id, log_weight, gumbel_key, selected) of every row; share of the rows is selected.
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, power: float | None = None) -> DataFrame:
+    """(doc_id, log_weight, n_features, gumbel_key, selected) of every row; share of the rows is selected.
 
-    By default that is the share of target rows among labelled ones, so as many rows stay as are expected to be good.
+    share is by default that of target rows among labelled ones, so as many rows stay as are expected to be good. power
+    raises the ratios; by default TYPICAL over the row's n-grams.
     """
     if share is None:
         is_good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
@@ -124,9 +138,8 @@ def select(docs: DataFrame, labels: DataFrame, share: float | None = None) -> Da
     ratios = fit(rows.join(F.broadcast(good), "d", "left").select("text", F.coalesce("target", F.lit(False)).alias("target")))
     weighed = rows.withColumn("t", F.xxhash64("text")).mapInArrow(_weigh(ratios), "d long, t long, log_weight double, n_features long")
     u = (F.xxhash64(F.col("d"), F.col("t"), F.lit(77)).cast("double") / F.lit(2.0**64) + 0.5) * (1 - 2e-16) + 1e-16
-    # The mean over n-grams, scaled to a typical document, keeps long rows from drowning the noise.
-    weight = F.col("log_weight") / F.greatest(F.col("n_features"), F.lit(1)) * F.lit(200.0)
-    keyed = written(weighed.select("d", weight.alias("log_weight"), (weight - F.log(-F.log(u))).alias("key")), "importance")
+    raised = F.col("log_weight") * (F.lit(float(TYPICAL)) / F.greatest("n_features", F.lit(1)) if power is None else F.lit(float(power)))
+    keyed = written(weighed.select("d", "log_weight", "n_features", (raised - F.log(-F.log(u))).alias("key")), "importance")
     edge, last = top(keyed, round(share * keyed.count()))
     chosen = F.col("key") >= F.lit(edge) if last is None else (F.col("key") > F.lit(edge)) | ((F.col("key") == F.lit(edge)) & (F.col("d") <= F.lit(last)))
-    return keyed.select(id_back().alias("doc_id"), "log_weight", F.col("key").alias("gumbel_key"), chosen.alias("selected"))
+    return keyed.select(id_back().alias("doc_id"), "log_weight", "n_features", F.col("key").alias("gumbel_key"), chosen.alias("selected"))
