@@ -15,6 +15,8 @@ Null or empty html, and pages without text, give an empty string. Extra columns
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -22,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|option|button|title|object|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: A tag's name, and the rest of a tag: quotes part values only after an equals sign.
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")
+#: Elements that are left out whole, with all markup in them; the first ones reach to the end of the page if they aren't closed.
+TO_THE_END = frozenset("script style textarea title".split())
+LEFT_OUT = TO_THE_END | frozenset("noscript template iframe svg select option button object math canvas audio video".split())
 #: Fixed values of the HTML standard: elements without content, elements within a line, and what a new block closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var img wbr".split())
@@ -46,7 +49,7 @@ WORDS = frozenset(
     "disqus footer footnav gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination paywall popup "
     "promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe syndication toolbar widget".split()
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _BLANK = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -67,21 +70,56 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
     return hidden, named and tag not in ("main", "article")
 
 
-def blocks(html: str) -> tuple[list[tuple[str, tuple[tuple[str, int], ...], float]], set[tuple[str, int]]]:
-    """(text, path, share of links) of each block not hidden nor boilerplate by tag, in page order; and elements named like it.
+@dataclass
+class Page:
+    """Blocks in page order, and the elements they lie in as a tree: an element's parent has a smaller number; 0 is above all.
 
-    Path entries are (tag, element number). An inline element is in the path only if it is named like boilerplate. A form
-    counts as named, as some sites have all of a page in one.
+    An inline element is in the tree only if it is named like boilerplate. A form counts as named, as some sites have all of
+    a page in one. shape numbers an element's path of tags.
     """
-    named: set[tuple[str, int]] = set()
-    out, stack, text = [], [], []
-    number, hidden = 0, 0  # hidden: depth from which on the stack is boilerplate, 0 for none
-    links = linked = 0  # open links, and characters in links of this block
+
+    texts: list[str] = field(default_factory=list)
+    linked: list[float] = field(default_factory=list)  # share of a block that is in links
+    at: list[int] = field(default_factory=list)  # a block's element
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    shape: list[int] = field(default_factory=lambda: [0])
+    named: list[bool] = field(default_factory=lambda: [False])
+
+    def up(self, values: list[float]) -> list[float]:
+        """From a value for each block: the sum over the blocks in each element."""
+        out = [0.0] * len(self.tag)
+        for e, v in zip(self.at, values, strict=True):
+            out[e] += v
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def down(self, marked: list[bool]) -> list[bool]:
+        """Whether each element or one around it is marked."""
+        out = list(marked)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+    def only(self, blocks: list[int]) -> Page:
+        return Page([self.texts[k] for k in blocks], [self.linked[k] for k in blocks], [self.at[k] for k in blocks], self.tag, self.parent, self.shape, self.named)
+
+
+def blocks(html: str) -> Page:
+    """The blocks of a page that aren't hidden nor boilerplate by tag. Each character is read a bounded number of times."""
+    page = Page()
+    shapes: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int]] = []  # open elements, and where each is in the tree
+    open_: dict[str, int] = {}  # how many of each tag are open
+    hidden = 0  # depth from which on the stack is boilerplate, 0 for none
+    text, linked = [], 0  # of this block, and characters in links
+    unclosed: set[str] = set()  # elements to leave out whose end isn't on the rest of the page
 
     def add(s: str):
         nonlocal linked
         text.append(s)
-        if links:
+        if open_.get("a"):
             linked += len(_BLANK.sub(" ", unescape(s)).strip())
 
     def flush():
@@ -89,27 +127,57 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[tuple[str, int], ...], floa
         if text:
             s = _BLANK.sub(" ", unescape("".join(text))).strip()
             if s:
-                out.append((s, tuple(x for x in stack if x[0] not in INLINE or x in named), linked / len(s)))
+                page.texts.append(s)
+                page.linked.append(linked / len(s))
+                page.at.append(stack[-1][1] if stack else 0)
             text.clear()
             linked = 0
 
     def pop(to: int):
-        nonlocal hidden, links
-        if not named.isdisjoint(stack[to:]):
-            flush()
-        links -= sum(x[0] == "a" for x in stack[to:])
-        del stack[to:]
+        nonlocal hidden
+        while len(stack) > to:
+            tag, e = stack[-1]
+            if tag in INLINE and page.named[e] and page.tag[e] == tag:
+                flush()
+            stack.pop()
+            open_[tag] -= 1
         if hidden > to:
             hidden = 0
 
-    at = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > at and not hidden:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    at, size = 0, len(html)
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            lt = size
+        name = _NAME.match(html, lt + 1)
+        if not name and not html.startswith(("<!", "<?", "</"), lt):  # a plain character
+            lt = min(lt + 1, size)
+            if not hidden:
+                add(html[at:lt])
+            at = lt
+            continue
+        if lt > at and not hidden:
+            add(html[at:lt])
+        if not name:  # a comment or the like
+            mark = "-->" if html.startswith("<!--", lt) else ">"
+            end = html.find(mark, lt + 2)
+            at = size if end < 0 else end + len(mark)
             continue
+        rest = _REST.match(html, name.end())
+        if not rest:  # the page ends within a tag
+            break
+        at = rest.end()
+        tag, closing = name[0].lower(), html[lt + 1] == "/"
+        tag = tag.removeprefix("/")
+        whole = False
+        if tag in LEFT_OUT and not closing and tag not in unclosed:
+            end = _ends(tag).search(html, at)
+            if end or tag in TO_THE_END:
+                at = end.end() if end else size
+                continue
+            unclosed.add(tag)
+        if tag in LEFT_OUT and not closing:
+            whole = True  # hidden until an element around it ends
         if tag in VOID:
             if tag not in INLINE:
                 flush()
@@ -117,36 +185,48 @@ def blocks(html: str) -> tuple[list[tuple[str, tuple[tuple[str, int], ...], floa
         inline = tag in INLINE
         if not inline:
             flush()
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+        if closing:
+            if open_.get(tag):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        pop(k)
+                        break
+                    if inline and stack[k][0] not in INLINE:
+                        break
             continue
         if not inline:  # a block ends an open paragraph and what is left open in it
             for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name == "p" or name in CLOSES.get(tag, ()):
+                above = stack[k][0]
+                if above == "p" or above in CLOSES.get(tag, ()):
                     pop(k)
-                    if name == "p" or tag not in ("td", "th", "tr"):
+                    if above == "p" or tag not in ("td", "th", "tr"):
                         break
-                elif name not in INLINE and not (tag == "tr" and name in ("td", "th")):
+                elif above not in INLINE and not (tag == "tr" and above in ("td", "th")):
                     break
-        number += 1
-        unseen, like = _signs(tag, m[4] or "")
-        if not hidden and (like or tag == "form"):
+        unseen, like = _signs(tag, html[name.end() : at - 1])
+        like = not hidden and (like or tag == "form")
+        if like:
             flush()
-            named.add((tag, number))
-        stack.append((tag, number))
-        links += tag == "a"
-        if not hidden and (unseen or tag in BOILERPLATE and not (tag == "header" and any(x[0] in ("article", "main") for x in stack[:-1]))):
+        parent = stack[-1][1] if stack else 0
+        e = parent
+        if not inline or like:
+            e = len(page.tag)
+            page.tag.append(tag)
+            page.parent.append(parent)
+            page.shape.append(shapes.setdefault((page.shape[parent], tag), len(shapes) + 1))
+            page.named.append(like)
+        within = open_.get("article") or open_.get("main")
+        stack.append((tag, e))
+        open_[tag] = open_.get(tag, 0) + 1
+        if not hidden and (unseen or whole or tag in BOILERPLATE and not (tag == "header" and within)):
             hidden = len(stack)
-    if at < len(html) and not hidden:
-        add(html[at:])
     flush()
-    return out, named
+    return page
+
+
+@lru_cache
+def _ends(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
 
 
 def smooth(x: np.ndarray, reach: int = 2) -> np.ndarray:
@@ -156,30 +236,25 @@ def smooth(x: np.ndarray, reach: int = 2) -> np.ndarray:
     return np.convolve(x, kernel, "full")[reach : reach + len(x)] / weight
 
 
-def _container(paths: list, weight: np.ndarray) -> list[bool]:
-    """Whether each block lies in the container: articles or main with most of the weight, or else the deepest element with nearly all."""
-    inside: dict[tuple[str, int], float] = {}
-    for path, w in zip(paths, weight.tolist(), strict=True):
-        for x in path:
-            inside[x] = inside.get(x, 0.0) + w
-    total = float(weight.sum())
+def _container(page: Page, weight: list[float]) -> list[bool]:
+    """Whether each element lies in the container: articles or main with most of the weight, or else the deepest element with
+    nearly all."""
+    inside, total = page.up(weight), sum(weight)
     for name in ("article", "main"):
-        outer = [next((x for x in path if x[0] == name), None) for path in paths]
-        if sum(inside[x] for x in set(outer) if x) > 0.5 * total:
-            return [x is not None for x in outer]
+        outer = page.down([t == name for t in page.tag])
+        if sum(w for w, e in zip(weight, page.at, strict=True) if outer[e]) > 0.5 * total:
+            return outer
     # Elements are numbered from the outside in.
-    best = max((x for x in inside if x[0] not in ("p", "li") and inside[x] >= 0.8 * total), key=lambda x: x[1], default=None)
-    return [best is None or best in path for path in paths]
+    best = max((e for e in range(1, len(page.tag)) if page.tag[e] not in ("p", "li") and inside[e] >= 0.8 * total), default=0)
+    return page.down([e == best for e in range(len(page.tag))])
 
 
-def _ratios(texts: list[str], paths: list) -> tuple[np.ndarray, np.ndarray]:
+def _ratios(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Whether each block is content, and whether it would be by ratios that are smoothed along the page."""
-    names = [tuple(t for t, _ in path) for path in paths]
-    number = {p: k for k, p in enumerate(dict.fromkeys(names))}
-    of = np.array([number[p] for p in names])
+    _, of = np.unique([page.shape[e] for e in page.at], return_inverse=True)
     nodes = np.bincount(of)
-    length = np.array([min(len(t), MOST_LENGTH) for t in texts], dtype=float)
-    marks = np.array([min(len(_MARKS.findall(t)), MOST_MARKS) for t in texts], dtype=float)
+    length = np.array([min(len(t), MOST_LENGTH) for t in page.texts], dtype=float)
+    marks = np.array([min(len(_MARKS.findall(t)), MOST_MARKS) for t in page.texts], dtype=float)
     text_ratio, mark_ratio = (np.bincount(of, length) / nodes)[of], (np.bincount(of, marks) / nodes)[of]
     fused = text_ratio * (1 + mark_ratio)
     least = 0.5 * fused.mean()
@@ -187,61 +262,75 @@ def _ratios(texts: list[str], paths: list) -> tuple[np.ndarray, np.ndarray]:
     return fused >= least, near[of] >= least
 
 
-def _without(found: list, named: set) -> list:
+def _without(page: Page) -> Page:
     """The blocks outside elements that are named like boilerplate, where the ratios don't say that the name misleads."""
-    paths = [path for _, path, _ in found]
-    if named.isdisjoint(x for path in paths for x in path):
-        return found
-    content, _ = _ratios([t for t, _, _ in found], paths)
-    inside: dict[tuple[str, int], float] = {}
-    holds: dict[tuple[str, int], set] = {}  # named elements with main or articles in them
-    for (text, path, _), c in zip(found, content.tolist(), strict=True):
-        for n, x in enumerate(path):
-            inside[x] = inside.get(x, 0.0) + (len(text) if c else 0)
-            if x in named:
-                holds.setdefault(x, set()).update(y for y in path[n + 1 :] if y[0] in ("main", "article"))
-    marked = {x for path in paths for x in path if x[0] in ("main", "article")}
-    total = sum(len(text) for (text, _, _), c in zip(found, content.tolist(), strict=True) if c)
-    gone = set()
-    for x, inner in holds.items():
-        around = {y for path in paths if x in path for y in path[: path.index(x)]}
-        alone = marked <= inner  # no other main or article, be it around it or elsewhere
-        most = inside[x] >= MOST_NAMED * total and not marked - inner - around
-        if not (any(y[0] == "main" for y in inner) or most or (alone and any(inside[y] >= LEAST_ARTICLE * total for y in inner))):
-            gone.add(x)
-    return [b for b in found if gone.isdisjoint(b[1])]
+    has = page.up([1.0] * len(page.at))
+    suspects = [e for e, like in enumerate(page.named) if like and has[e]]
+    if not suspects:
+        return page
+    content, _ = _ratios(page)
+    length = [len(t) if c else 0 for t, c in zip(page.texts, content.tolist(), strict=True)]
+    inside, total = page.up(length), sum(length)
+    n = len(page.tag)
+    marked = [has[e] > 0 and page.tag[e] in ("main", "article") for e in range(n)]
+    below, mains, largest = [0] * n, [0] * n, [0.0] * n  # main and article elements within an element: all, main, and the most content in one
+    around = [0] * n
+    for e in range(n - 1, 0, -1):
+        p = page.parent[e]
+        below[p] += below[e] + marked[e]
+        mains[p] += mains[e] + (marked[e] and page.tag[e] == "main")
+        largest[p] = max(largest[p], largest[e], inside[e] if marked[e] else 0.0)
+    for e in range(1, n):
+        around[e] = around[page.parent[e]] + marked[page.parent[e]]
+    every = sum(marked)
+    gone = [False] * n
+    for e in suspects:
+        most = inside[e] >= MOST_NAMED * total and every == below[e] + around[e] + marked[e]
+        alone = every == below[e] > 0  # no other main or article, be it around it or elsewhere
+        gone[e] = not (mains[e] or most or alone and largest[e] >= LEAST_ARTICLE * total)
+    gone = page.down(gone)
+    return page.only([k for k, e in enumerate(page.at) if not gone[e]])
 
 
 def main_text(html: str | None) -> str:
-    found = _without(*blocks(html)) if html else []
-    if not found:
+    page = _without(blocks(html)) if html else Page()
+    if not page.texts:
         return ""
-    texts, paths, linked = (list(x) for x in zip(*found, strict=True))
-    content, near = _ratios(texts, paths)
-    length = np.array([len(t) for t in texts], dtype=float)
-    inside = _container(paths, np.where(content, length, 0.0))
-    at = [k for k, i in enumerate(inside) if i]
+    content, near = (x.tolist() for x in _ratios(page))
+    inside = _container(page, [float(len(t)) if c else 0.0 for t, c in zip(page.texts, content, strict=True)])
+    at = [k for k, e in enumerate(page.at) if inside[e]]
     main = [k for k in at if content[k]]
     if not main:
         return ""
-    around = {x for k in main for x in paths[k]}  # elements that hold content
+    holds = [x > 0 for x in page.up(_flags(main, len(page.at)))]  # elements that hold content
+    holds[0] = True
+    structural = [True] * len(page.tag)  # whether all elements from the nearest that holds content are of a text's structure
+    for e in range(1, len(page.tag)):
+        structural[e] = holds[e] or page.tag[e] in STRUCTURE and structural[page.parent[e]]
     keep = set(main)
-    follows = len(texts) + HEADING_REACH  # the next content block, walking back
+    follows = len(page.texts) + HEADING_REACH  # the next content block, walking back
     for n in range(len(at) - 1, -1, -1):
         k = at[n]
+        e = page.at[k]
         if content[k]:
             follows = n
             continue
-        own = [x[0] for x in paths[k] if x not in around]
-        if not STRUCTURE.issuperset(own):
+        if not structural[e]:
             continue
-        if own and own[-1] in HEADINGS:
-            if follows - n <= HEADING_REACH and (linked[k] <= LINKED or own[-1] == "h1"):
+        if not holds[e] and page.tag[e] in HEADINGS:
+            if follows - n <= HEADING_REACH and (page.linked[k] <= LINKED or page.tag[e] == "h1"):
                 keep.add(k)
-        elif linked[k] <= LINKED and (main[0] < k < main[-1] or near[k]):
+        elif page.linked[k] <= LINKED and (main[0] < k < main[-1] or near[k]):
             keep.add(k)
             follows = n
-    return " ".join(texts[k] for k in sorted(keep))
+    return " ".join(page.texts[k] for k in sorted(keep))
+
+
+def _flags(chosen: list[int], n: int) -> list[bool]:
+    out = [False] * n
+    for k in chosen:
+        out[k] = True
+    return out
 
 
 def _run(batches):
