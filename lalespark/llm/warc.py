@@ -2,8 +2,13 @@
 
 Records are resolved by their headers: digests of the payloads are shuffled, the smallest id of each digest becomes the
 response, later ones become revisits that refer to it and carry no payload. Archives are written by Spark's own text writer
-(gzip; a record ends in the writer's separator, \\r\\n\\r\\n), so they go through the commit protocol to any file system,
-and are read back record by record by Content-Length. Reading joins each revisit to its original response again.
+(gzip; a record ends in the writer's separator, \\r\\n\\r\\n), so they go through the commit protocol to any file system.
+That writer compresses a file as one gzip member, and files end by a number of records, which is chosen from the payloads'
+sizes so that a file holds about FILE_BYTES of them.
+
+The reader takes archives of any origin, of one gzip member or one a record or none: it inflates a file piece by piece and
+holds a record at a time, beside the compressed file. A record that is cut off, or anything else that is no record, is an
+error. Reading joins each revisit to its original response again.
 
 Null html is an empty payload. Payloads below LEAST bytes are always responses. A null id sorts first and is written as
 an empty id. Rows of equal id and payload are told apart by nothing: all that share the smallest id are responses, later ids
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, id_back, shared_dir
 
 LEAST = 100
-#: Payload bytes that an archive file holds, about; the reader takes a file at once.
-FILE_BYTES = 8 << 20
+#: Payload bytes that an archive file holds, about, and those that the reader inflates at once.
+FILE_BYTES, PIECE = 32 << 20, 1 << 20
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -67,26 +72,74 @@ def records(head: DataFrame, revisits: DataFrame) -> DataFrame:
     return rows.select(text.alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
     """Writes deduplicated archives to the folder path."""
     head = headers(pages)
+    # The mean size, weighed by size: what a typical byte's record is like, so that large records make short files.
+    size = F.octet_length(F.col("html").cast("string")).cast("double")
+    typical = pages.agg((F.sum(size * size) / F.sum(size)).alias("s")).first()["s"]
+    most = max(1, int(file_bytes / max(1.0, typical or 0.0, file_bytes / 100_000)))
     out = records(head, resolved(head, least))
-    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_BYTES >> 12).text(path)
+    out.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
-_HEAD = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
+_HEAD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r?\n")
 _ID = re.compile(rb"<urn:page:(-?\d*)>")
+_GZIP = b"\x1f\x8b"
 
 
-def parse(raw: bytes):
-    """(headers, payload) of each record of an archive's bytes."""
-    at = 0
+def pieces(raw: bytes):
+    """The content of an archive, plain or of any number of gzip members, piece by piece."""
+    view, at = memoryview(raw), 0
+    if raw[:2] != _GZIP:
+        while at < len(raw):
+            yield bytes(view[at : at + PIECE])
+            at += PIECE
+        return
     while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        head = dict(_HEAD.findall(raw, at, end + 2))
-        size = int(head[b"Content-Length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(raw):  # zlib may still hold some output
+                yield member.flush()
+                if not member.eof:
+                    raise ValueError("the archive ends within a gzip member")
+                break
+            part = view[at : at + (PIECE >> 4)]
+            at += len(part)
+            while part and not member.eof:
+                got = member.decompress(part, PIECE)
+                if got:
+                    yield got
+                part = member.unconsumed_tail
+        at -= len(member.unused_data)
+
+
+def parse(parts):
+    """(headers, payload) of each record of an archive's pieces. Names of headers are in lower case."""
+    held = bytearray()
+    parts = iter(parts)
+
+    def more() -> bool:
+        got = next(parts, None)
+        held.extend(got or b"")
+        return got is not None
+
+    while held or more():
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                raise ValueError("the archive ends within a record's headers")
+        if not held.startswith(b"WARC/"):
+            raise ValueError("no WARC record")
+        head = {k.lower(): v for k, v in _HEAD.findall(bytes(held[: end + 2]))}
+        start, size = end + 4, int(head[b"content-length"])
+        while len(held) < start + size + 4 and more():
+            pass
+        if held[start + size : start + size + 4] != b"\r\n\r\n":
+            raise ValueError("a record doesn't end where its length says")
+        yield head, bytes(held[start : start + size])
+        del held[: start + size + 4]
 
 
 def _id(value: bytes | None):
@@ -94,19 +147,31 @@ def _id(value: bytes | None):
     return None if not got else int(got[1]) if got[1] else NULL_ID
 
 
+_RECORD = {"p": pa.int64(), "uri": pa.string(), "record_type": pa.string(), "said": pa.string(), "refers": pa.int64(), "body_bytes": pa.int64(), "body_digest": pa.string()}
+
+
 def _read(batches):
+    def batch(rows):
+        cols = list(zip(*rows, strict=True)) or [[]] * len(_RECORD)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _RECORD.values(), strict=True)], names=list(_RECORD))
+
     for b in batches:
-        for content in b.column("content"):
-            raw = zlib.decompress(content.as_py(), 31) if content.is_valid else b""
-            rows = [(_id(h[b"WARC-Record-ID"]), h.get(b"WARC-Target-URI", b"").decode(), h[b"WARC-Type"].decode(), h[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), _id(h.get(b"WARC-Refers-To")), len(body), hashlib.sha256(body).hexdigest()) for h, body in parse(raw)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["p", "uri", "record_type", "said", "refers", "body_bytes", "body_digest"])
+        for k in range(b.num_rows):
+            rows = []
+            raw = b.column("content")[k].as_py() or b""
+            for h, body in parse(pieces(raw)):
+                uri, kind, said = (h[x].decode("utf-8", "replace") if x in h else None for x in (b"warc-target-uri", b"warc-type", b"warc-payload-digest"))
+                rows.append((_id(h.get(b"warc-record-id")), uri, kind, said and said.removeprefix("sha256:"), _id(h.get(b"warc-refers-to")), len(body), hashlib.sha256(body).hexdigest()))
+                if len(rows) >= 1000:
+                    yield batch(rows)
+                    rows = []
+            yield batch(rows)
 
 
 def read(spark, path: str) -> DataFrame:
-    """(p, uri, record_type, said, refers, body_bytes, body_digest) of each record in the archives."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """(p, uri, record_type, said, refers, body_bytes, body_digest) of each record in the archives of a folder, or in a file.
+    p and refers are null in records that weren't written here."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc,txt}").load(path).select("content")
     return files.mapInArrow(_read, "p long, uri string, record_type string, said string, refers long, body_bytes long, body_digest string")
 
 
