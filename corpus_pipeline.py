@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lalespark.llm import decontaminate, langid, linededup, packing, simhash
-from lalespark.llm.common import small_batches, table, written
+from lalespark.llm.common import removed, small_batches, table, written
 from lalespark.llm.queries import tokenizer_path
 
 
@@ -45,10 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet to the shared folder and read again.
+
+    What a stage has read goes once its own result is written; only the last table stays, from which the result is read."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"pipeline-{name}")
+            if k:
+                removed(spark, before)
     return docs
