@@ -162,6 +162,21 @@ def changes(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+#: Keys at most that are joined by broadcast: those that hold more than one in so many of all rows.
+HOT_KEYS = 10_000
+
+
+def met(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows.join(per_key, keys), where no task gets all rows of a frequent key.
+
+    per_key: one row a key, with its number of rows in `count`; total: the number of all rows, at least. Fewer than HOT_KEYS
+    keys hold more than total / HOT_KEYS rows; they are joined by broadcast, the others as usual.
+    """
+    frequent = F.col(count) * HOT_KEYS > total
+    hot, rest = per_key.filter(frequent).drop(count), per_key.filter(~frequent).drop(count)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def tiled(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     """Adds tile, ta, tb: a group of more than `most` rows is cut into tiles, and each row goes once to each pair of its tile with another.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textscan as scan
 from .automaton import SuffixAutomaton
-from .common import changes, groups, id_back, keyed, slices, written
+from .common import changes, groups, id_back, keyed, met, slices, written
 
 WIDTH, GRAM = 20, 6
 #: Places of an anchor from which on it is dealt to several shards.
@@ -163,21 +163,14 @@ def _stream(rows: DataFrame, width: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "d", "t1", "s").mapInArrow(_match(width), _MATCHED)
 
 
-#: Texts at most whose copies make more than one in so many of all repeated rows: they are joined by broadcast.
-HOT_TEXTS = 10_000
-
-
 def copies(keys: DataFrame) -> DataFrame:
-    """(d, t1, t2) of texts that a smaller id has too. The smallest id is an aggregate; only the rows of rarer texts are dealt
-    out by their hash to meet it, so that no task gets all copies of one text."""
+    """(d, t1, t2) of texts that a smaller id has too. The smallest id is an aggregate, and copies of frequent texts meet it by
+    broadcast, so that no task gets all of them."""
     ids = written(keys.filter(F.length("text") > 0).select("d", "t1", "t2"), "substring-ids")
     first = ids.groupBy("t1", "t2").agg(F.min("d").alias("d0"), F.max("d").alias("d9"), F.count(F.lit(1)).alias("c")).filter("d9 > d0").drop("d9")
     first = written(first, "substring-first")
     rows = first.agg(F.sum("c")).first()[0] or 0
-    hot = first.filter(F.col("c") * HOT_TEXTS > rows)  # fewer than HOT_TEXTS rows
-    rest = ids.join(F.broadcast(hot.select("t1", "t2")), ["t1", "t2"], "left_anti").join(first.filter(F.col("c") * HOT_TEXTS <= rows), ["t1", "t2"])
-    found = ids.join(F.broadcast(hot), ["t1", "t2"]).unionByName(rest)
-    return found.filter("d > d0").select("d", "t1", "t2").distinct()
+    return met(ids, first, ["t1", "t2"], "c", rows).filter("d > d0").select("d", "t1", "t2").distinct()
 
 
 def marked(keys: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
