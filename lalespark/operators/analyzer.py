@@ -5,8 +5,9 @@ alone and are made once for each; a walk keeps a bit set of automaton states, so
 each, partition by partition, and joined back to tokens by the caller. The search itself has caps and ties that no join
 expresses, so it runs in Arrow batches; everything around it is Catalyst.
 
-The dictionary goes to the executors as a set, after its size is checked against MOST_WORDS. Without one, only the two
-heuristic strategies run and roots stay null. Null words give no rows.
+The dictionary goes to the executors as a set if it has at most MOST_WORDS words; a larger one is dealt out with the words by
+their first letters (shards.py), with the same results. Without one, only the two heuristic strategies run and roots stay
+null. Null words give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phonology import BACK, CLOSE, CONSONANTS, ROUNDED, SONORANT_SIBILANT, UNROUNDED, VOICELESS, VOWELS
-from . import suffixes, tables
+from . import shards, suffixes, tables
 from .lexicon import BUFFERS, INSERTED, SOFTENED, WIDENED
 
 MOST_WORDS = 5_000_000
@@ -46,7 +47,9 @@ _HARD = {soft: hard for hard, softs in SOFTENED.items() for soft in softs}
 
 
 def lower(text: str) -> str:
-    return "".join("i" if c == "İ" else "ı" if c == "I" else c.lower() for c in text)
+    """Each character in lower case by itself, so a final sigma is like any other."""
+    text = text.replace("İ", "i").replace("I", "ı")
+    return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
 def last_vowel(s: str) -> str | None:
@@ -355,36 +358,61 @@ SCHEMA = "word string, upos string, rank int, stem string, root string, lemma st
 _SUFFIXES = pa.list_(pa.struct([("form", pa.string()), ("label", pa.string())]))
 
 
+_HELD: dict = {}
+
+
+def held(shared, make):
+    """make(the broadcast value), kept by a worker process for its later tasks with the same broadcast."""
+    key, value = make.__code__, shared.value
+    if _HELD.get(key, (None,))[0] is not value:
+        _HELD.clear()
+        _HELD[key] = value, make(value)
+    return _HELD[key][1]
+
+
 def analyze(words: DataFrame, dictionary: DataFrame | None = None, most: int = 5, forms=None, strategies=None) -> DataFrame:
     """(word, upos, rank, stem, root, lemma, suffixes) of each distinct word; rank 1 is best. upos may be missing or null.
 
-    dictionary: a DataFrame with the column word, at most MOST_WORDS of them.
+    dictionary: a DataFrame with the column word.
     """
     spark = words.sparkSession
-    held = None
-    if dictionary is not None:
-        n = dictionary.count()
-        if n > MOST_WORDS:
-            raise ValueError(f"the dictionary has {n} words; at most {MOST_WORDS} are broadcast")
-        held = [r["word"] for r in dictionary.select("word").collect() if r["word"] is not None]
-    shared = spark.sparkContext.broadcast((held, forms, strategies))
     rows = words if "upos" in words.columns else words.withColumn("upos", F.lit(None).cast("string"))
+    rows = rows.select("word", "upos").filter(F.col("word").isNotNull()).distinct()
+    try:
+        known = shards.words_of(dictionary, MOST_WORDS)
+    except shards.TooManyWords:
+        asked = shards.keyed(rows, lambda w: [("analyses", searched(w))])
+        return shards.over_shards(asked, [dictionary], MOST_WORDS, lambda sets: Analyzer(sets[0], forms, strategies), lambda own, rows: _analysed(own, rows, most), SCHEMA)
+    shared = spark.sparkContext.broadcast((known, forms, strategies))
     # Distinct words are few bytes but much work: adaptive execution would put them in one task.
     many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.select("word", "upos").filter(F.col("word").isNotNull()).distinct().repartition(many, "word", "upos")
 
     def run(batches):
-        own = Analyzer(*shared.value)
+        own = held(shared, lambda value: Analyzer(*value))
         for b in batches:
-            out = {k: [] for k in ("word", "upos", "rank", "stem", "root", "lemma", "suffixes")}
-            for word, upos in zip(b.column("word").to_pylist(), b.column("upos").to_pylist(), strict=True):
-                for rank, (stem, root, lemma, path) in enumerate(own.analyses(word, upos, most), 1):
-                    for k, v in zip(out, (word, upos, rank, stem, root, lemma, [{"form": f, "label": x} for f, x in path]), strict=True):
-                        out[k].append(v)
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), _SUFFIXES]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
-
-    return rows.mapInArrow(run, SCHEMA)
+            yield _analysed(own, zip(b.column("word").to_pylist(), b.column("upos").to_pylist(), strict=True), most)
+
+    return rows.repartition(many, "word", "upos").mapInArrow(run, SCHEMA)
+
+
+def searched(word: str) -> str:
+    """What the search begins with: the word in lower case, without its apostrophe."""
+    plain = word.strip()
+    mark = next((m for m in "’'" if m in plain), None)
+    if mark is None:
+        return lower(plain)
+    head, _, tail = plain.partition(mark)
+    return lower(head) + lower(tail) if head and tail else lower(plain).replace(mark, "")
+
+
+def _analysed(own: Analyzer, words, most: int) -> pa.RecordBatch:
+    out = {k: [] for k in ("word", "upos", "rank", "stem", "root", "lemma", "suffixes")}
+    for word, upos, *_ in words:
+        for rank, (stem, root, lemma, path) in enumerate(own.analyses(word, upos, most), 1):
+            for k, v in zip(out, (word, upos, rank, stem, root, lemma, [{"form": f, "label": x} for f, x in path]), strict=True):
+                out[k].append(v)
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), _SUFFIXES]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
 def analyze_tokens(tokens: DataFrame, dictionary: DataFrame | None = None, most: int = 5) -> DataFrame:

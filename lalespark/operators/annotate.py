@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import sentences as split_sentences
-from . import syntax
-from .analyzer import MOST_WORDS, Analyzer
-from .sentences import SentenceReader
+from . import shards, syntax
+from .analyzer import MOST_WORDS, Analyzer, held, lower, searched
+from .sentences import TOKEN as WORD
+from .sentences import SentenceReader, Word, choose
 
 SCHEMA = (
     "sent_id string, id int, form string, stem string, root string, lemma string, suffixes array<struct<form:string,label:string>>, applied array<string>, "
-    "alternatives int, upos string, feats map<string,string>, head int, deprel string, comma boolean"
+    "alternatives int, upos string, feats map<string,string>, head int, deprel string, comma boolean, head_form string"
 )
 TRACE = "sent_id string, step int, rule string, id int, head_before int, deprel_before string, head_after int, deprel_after string"
 
@@ -25,50 +28,86 @@ def sentences(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least a partition a core, as reading a sentence is work; tables of many files stay as they are."""
+    """At least some partitions a core, as reading a sentence is work and some partitions may be nearly empty; tables of many
+    files stay as they are."""
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    least = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
 
+def _readers(value):
+    """A reader and a lexicon from the words of the dictionaries, or ones that wait for what is known of each word."""
+    known, own, adjectives, ready = value
+    if ready:
+        return SentenceReader(None), syntax.Facts(adjectives)
+    return SentenceReader(Analyzer(known)), syntax.Lexicon(own or [], adjectives)
 
-def words_of(dictionary: DataFrame | None) -> list[str] | None:
-    """The dictionary's words, after a check of their number."""
-    if dictionary is None:
-        return None
-    n = dictionary.count()
-    if n > MOST_WORDS:
-        raise ValueError(f"the dictionary has {n} words; at most {MOST_WORDS} are broadcast")
-    return [r["word"] for r in dictionary.select("word").collect() if r["word"] is not None]
 
+def _prepared(sents: DataFrame, dictionary: DataFrame | None, parser_words: DataFrame | None, adjectives=()):
+    """Sentences (sent_id, text) in partitions worth a task, and a broadcast that _readers() takes.
 
-def annotate(sents: DataFrame, dictionary: DataFrame | None = None, parser_words: DataFrame | None = None, adjectives: list[str] = (), rules=None, trace: bool = False) -> DataFrame:
-    """Words of sentences (sent_id, text) with analysis, part of speech, features, head and relation.
+    Beyond MOST_WORDS words of a dictionary, each distinct word is analysed where its part of the dictionary is, and
+    sentences get what is known of their words in a third column.
+    """
+    rows = sents.select(F.col("sent_id").cast("string").alias("sent_id"), F.col("text").cast("string").alias("text"))
+    send = rows.sparkSession.sparkContext.broadcast
+    try:
+        known = shards.words_of(dictionary, MOST_WORDS)
+        own = known if parser_words is dictionary else shards.words_of(parser_words, MOST_WORDS)
+        return spread(rows), send((known, own, list(adjectives), False))
+    except shards.TooManyWords:
+        if sents.isStreaming:  # gathering sentences needs them all
+            raise
+        words = shards.sentence_words(spread(rows), WORD.findall)
+        counts = words.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        asked = shards.keyed(counts.select("word", F.lit(None).cast("string").alias("upos")), lambda w: [("candidates", searched(w)), ("facts", lower(w))])
+        make = lambda sets: (SentenceReader(Analyzer(sets[0])), syntax.Lexicon(sets[1] or ()))
+        serve = lambda own, asked: shards.packed([(w, what, own[0].candidates(w) if what == "candidates" else own[1].facts(w)) for w, _, what in asked])
+        served = shards.over_shards(asked, [dictionary, parser_words], MOST_WORDS, make, serve, "word string, what string, blob binary")
+        blob = lambda what: F.max(F.when(F.col("what") == what, F.col("blob"))).alias(what)
+        served = served.groupBy("word").agg(blob("candidates"), blob("facts")).select("word", F.struct("candidates", "facts").alias("blob"))
+        return shards.gathered(words, counts.join(served, "word")), send((None, None, list(adjectives), True))
+
+
+def _read(b: pa.RecordBatch, reader: SentenceReader, lex: syntax.Lexicon):
+    """(sent_id, text, words) of each row."""
+    for k, (sent_id, text) in enumerate(zip(b.column("sent_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
+        if "words" in b.schema.names:
+            for x in b.column("words")[k].as_py():
+                word, blob = x["word"], x["blob"]
+                if word not in reader.known or word not in lex.of:
+                    reader.known[word], lex.of[word] = pickle.loads(blob["candidates"]), pickle.loads(blob["facts"])
+        yield sent_id, text, reader.read(text)
+        if "words" in b.schema.names and len(lex.of) > 100_000:
+            reader.known.clear()
+            lex.of.clear()
+
+
+def annotate(sents: DataFrame, dictionary: DataFrame | None = None, parser_words: DataFrame | None = None, adjectives: list[str] = (), rules=None, trace: bool = False, parsed: bool = True) -> DataFrame:
+    """Words of sentences (sent_id, text) with analysis, part of speech, features, head and its form, and relation.
 
     dictionary is the analyzer's, parser_words the parser's own; either may be missing. A sentence is read by one task, and a
-    task keeps the analyses of words it has met. With trace, what each rule changed comes instead. Null text has no words.
+    worker keeps the analyses of words it has met. With trace, what each rule changed comes instead. Without parsed no rule
+    runs: part of speech is what the word alone says, head and relation are null. Null text has no words.
     """
-    known = words_of(dictionary)
-    own = known if parser_words is dictionary else words_of(parser_words)
-    shared = sents.sparkSession.sparkContext.broadcast((known, own or [], list(adjectives)))
+    rows, shared = _prepared(sents, dictionary, parser_words, adjectives)
 
     def run(batches):
-        known, verbs, adj = shared.value
-        reader, lex = SentenceReader(Analyzer(known)), syntax.Lexicon(verbs, adj)
+        reader, lex = held(shared, _readers)
         names = [f.split()[0] for f in SCHEMA.replace("array<struct<form:string,label:string>>", "x").split(", ")]
         for b in batches:
             rows: dict[str, list] = {n: [] for n in names}
             traced: list[tuple] = []
-            for sent_id, text in zip(b.column("sent_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                words = reader.read(text)
+            for sent_id, text, words in _read(b, reader, lex):
                 log: list | None = [] if trace else None
-                tokens = syntax.parse(words, text or "", lex, rules, log)
+                tokens = syntax.parse(words, text or "", lex, rules, log) if parsed else syntax.tokens(words, text or "", lex)
                 if trace:
                     traced += [(sent_id, k, *x) for k, x in enumerate(log)]
                     continue
                 for w, t in zip(words, tokens, strict=True):
                     stem, root, lemma, path = w.analysis
-                    values = (sent_id, t.id, t.form, stem, root, lemma, [{"form": f, "label": x} for f, x in path], w.applied, len(w.others), t.upos, list(t.feats.items()), t.head, t.rel, t.comma)
+                    values = (sent_id, t.id, t.form, stem, root, lemma, [{"form": f, "label": x} for f, x in path], w.applied, len(w.others), t.upos, list(t.feats.items()), t.head if parsed else None, t.rel if parsed else None, t.comma, words[t.head - 1].form if t.head else None)
                     for n, v in zip(names, values, strict=True):
                         rows[n].append(v)
             if trace:
@@ -77,25 +116,89 @@ def annotate(sents: DataFrame, dictionary: DataFrame | None = None, parser_words
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in TRACE.split(", ")])
                 continue
             path_type = pa.list_(pa.struct([("form", pa.string()), ("label", pa.string())]))
-            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, path_type, pa.list_(pa.string()), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string(), pa.bool_()]
+            kinds = [pa.string(), pa.int32(), *[pa.string()] * 4, path_type, pa.list_(pa.string()), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.string(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(rows[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    rows = sents.select(F.col("sent_id").cast("string").alias("sent_id"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(run, TRACE if trace else SCHEMA)
+    return rows.mapInArrow(run, TRACE if trace else SCHEMA)
 
 
 def trees(sents: DataFrame, dictionary: DataFrame | None = None, parser_words: DataFrame | None = None) -> DataFrame:
     """(sent_id, tree) of each sentence, as text."""
-    known = words_of(dictionary)
-    own = known if parser_words is dictionary else words_of(parser_words)
-    shared = sents.sparkSession.sparkContext.broadcast((known, own or []))
+    rows, shared = _prepared(sents, dictionary, parser_words)
 
     def run(batches):
-        known, verbs = shared.value
-        reader, lex = SentenceReader(Analyzer(known)), syntax.Lexicon(verbs)
+        reader, lex = held(shared, _readers)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column("sent_id"), pa.array([syntax.tree(syntax.parse(reader.read(t), t or "", lex)) for t in texts], pa.string())], names=["sent_id", "tree"])
+            shown = [syntax.tree(syntax.parse(words, text or "", lex)) for _, text, words in _read(b, reader, lex)]
+            yield pa.RecordBatch.from_arrays([b.column("sent_id"), pa.array(shown, pa.string())], names=["sent_id", "tree"])
 
-    rows = sents.select(F.col("sent_id").cast("string").alias("sent_id"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(run, "sent_id string, tree string")
+    return rows.mapInArrow(run, "sent_id string, tree string")
+
+
+def apply_rules(tokens: DataFrame, rules, dictionary: DataFrame | None = None) -> DataFrame:
+    """(sent_id, id, upos, head, deprel, feats) after some rules, or none, over tokens that are annotated already.
+
+    tokens: sent_id string, id from 1 in each sentence, form, lemma, suffixes (form, label), upos, head, deprel ("_" for
+    none) and comma. A sentence is gathered to one row, so rules can be tried or added beside any parser.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast((shards.words_of(dictionary, MOST_WORDS) or [], list(rules)))
+    fields = ("id", "form", "lemma", "suffixes", "upos", "head", "deprel", "comma")
+    whole = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("t"))
+
+    def run(batches):
+        words, rules = shared.value
+        lex = syntax.Lexicon(words)
+        for b in batches:
+            out: list[tuple] = []
+            for sent_id, rows in zip(b.column("sent_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                own = [syntax.Token.given(k, t["form"], t["lemma"], tuple((x["form"], x["label"]) for x in t["suffixes"]), t["upos"], t["head"], t["deprel"], t["comma"]) for k, t in enumerate(rows)]
+                sentence = syntax.Sentence(own, lex)
+                for rule in rules:
+                    rule(sentence)
+                out += [(sent_id, t.id, t.upos, t.head, t.rel, list(t.feats.items())) for t in own]
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["sent_id", "id", "upos", "head", "deprel", "feats"])
+
+    return whole.mapInArrow(run, "sent_id string, id int, upos string, head int, deprel string, feats map<string,string>")
+
+
+def word_tests(words: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(word, participle, ablative, nominal_dir, ambiguous, adjective_base) of each distinct word: what the parser asks of a
+    form and the dictionary alone. ambiguous is about the word as a base before -lar."""
+    shared = words.sparkSession.sparkContext.broadcast((shards.words_of(dictionary, MOST_WORDS) or [], []))
+
+    def run(batches):
+        lex = held(shared, lambda value: syntax.Lexicon(*value))
+        for b in batches:
+            own = b.column("word").to_pylist()
+            cols = [[f(w) for w in own] for f in (lex.an_participle, lex.is_ablative, lambda w: lex.nominal_dir(w, set()), lex.ambiguous, lex.adjective_base)]
+            yield pa.RecordBatch.from_arrays([b.column("word"), *(pa.array(c, pa.bool_()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["word", "participle", "ablative", "nominal_dir", "ambiguous", "adjective_base"])
+
+    rows = words.select("word").filter(F.col("word").isNotNull()).distinct()
+    return rows.mapInArrow(run, "word string, participle boolean, ablative boolean, nominal_dir boolean, ambiguous boolean, adjective_base string")
+
+
+def rerank(tokens: DataFrame) -> DataFrame:
+    """(sent_id, id, chosen, applied): which of its candidates each token takes in context, from 1, and the rules that applied.
+
+    tokens: sent_id, id from 1 in each sentence, form, and candidates, an array of (stem, suffixes (form, label)) in their
+    order. A token without candidates is an error.
+    """
+    whole = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "form", "candidates"))).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for sent_id, rows in zip(b.column("sent_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                forms, left = [lower(t["form"]) for t in rows], None
+                for k, t in enumerate(rows):
+                    found = [(c["stem"], None, n, tuple((x["form"], x["label"]) for x in c["suffixes"])) for n, c in enumerate(t["candidates"], 1)]
+                    order, applied = choose(found, left, forms, k)
+                    left = Word(t["form"], order[0])
+                    out.append((sent_id, t["id"], order[0][2], applied))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["sent_id", "id", "chosen", "applied"])
+
+    return whole.mapInArrow(run, "sent_id string, id int, chosen int, applied array<string>")

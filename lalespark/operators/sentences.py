@@ -95,17 +95,17 @@ def choose(candidates: list[tuple], left: Word | None, forms: list[str], k: int)
 
 
 class SentenceReader:
-    """Analyses of a sentence's words; those of each distinct word are kept."""
+    """Analyses of a sentence's words; those of each distinct word are kept, in two generations of `kept` words."""
 
-    def __init__(self, analyzer: Analyzer, most: int = 5, kept: int = 200_000):
-        self.analyzer, self.most, self.kept, self.known = analyzer, most, kept, {}
+    def __init__(self, analyzer: Analyzer, most: int = 5, kept: int = 100_000):
+        self.analyzer, self.most, self.kept, self.known, self.old = analyzer, most, kept, {}, {}
 
     def candidates(self, word: str) -> list[tuple]:
         got = self.known.get(word)
         if got is None:
             if len(self.known) >= self.kept:
-                self.known.clear()
-            got = self.known[word] = self.analyzer.analyses(word, None, 2 * self.most)
+                self.known, self.old = {}, self.known
+            got = self.known[word] = self.old.get(word) or self.analyzer.analyses(word, None, 2 * self.most)
         return got
 
     def read(self, text: str) -> list[Word]:

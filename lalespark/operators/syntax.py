@@ -39,6 +39,19 @@ class Lexicon:
         self.verbs = frozenset(w for w in words if w.endswith(("mak", "mek")))
         self.nouns = words - self.verbs
         self.adjectives = frozenset(adjectives)
+        self.seen: dict[tuple, tuple] = {}
+
+    def word(self, form: str, analysis: tuple, first: bool) -> tuple:
+        """What a word is by itself: lower case, labels in order and as a set, features, part of speech, the stem in lower case."""
+        key = form, analysis, first
+        got = self.seen.get(key)
+        if got is None:
+            if len(self.seen) >= 100_000:
+                self.seen.clear()
+            stem, _, _, suffixes = analysis
+            order = [p for _, label in suffixes for p in label.split("/")]
+            got = self.seen[key] = lower(form), order, frozenset(order), features(suffixes), part_of_speech(form, stem, suffixes, first, self), lower(stem)
+        return got
 
     def verb(self, stem: str) -> bool:
         return stem + "mak" in self.verbs or stem + "mek" in self.verbs
@@ -86,6 +99,41 @@ class Lexicon:
         w = lower(form)
         return next((m[1] for p in _BASES if (m := p.match(w))), None)
 
+    def derived_adjective(self, form: str) -> bool:
+        return self.adjective_base(form) in self.nouns
+
+    def plural(self, form: str) -> bool:
+        """A noun with -lar that can't be a verb."""
+        base = lower(form)[:-3]
+        return base in self.nouns and not self.ambiguous(base)
+
+    def facts(self, form: str) -> tuple:
+        """All that a part of speech or a rule may ask of a form: Facts answers from it."""
+        return self.an_participle(form), self.is_ablative(form), self.nominal_dir(form, set()), self.derived_adjective(form), self.plural(form)
+
+
+class Facts(Lexicon):
+    """A lexicon that knows what was asked of each form before, where the dictionary lay."""
+
+    def __init__(self, adjectives: Iterable[str] = ()):
+        super().__init__((), adjectives)
+        self.of: dict[str, tuple] = {}
+
+    def an_participle(self, form: str) -> bool:
+        return self.of[form][0]
+
+    def is_ablative(self, form: str) -> bool:
+        return self.of[form][1]
+
+    def nominal_dir(self, form: str, labels: set[str]) -> bool:
+        return self.of[form][2] and _W["NOT_WITH_DIR"].isdisjoint(labels)
+
+    def derived_adjective(self, form: str) -> bool:
+        return self.of[form][3]
+
+    def plural(self, form: str) -> bool:
+        return self.of[form][4]
+
 
 def features(suffixes) -> dict[str, str]:
     """Universal features; later suffixes win."""
@@ -136,12 +184,12 @@ def part_of_speech(form: str, stem: str, suffixes, first: bool, lex: Lexicon) ->
         return "NOUN"
     if any("ÇOĞUL" in x for x in whole) and labels.isdisjoint(FINAL):
         return "NOUN"
-    if w.endswith(("lar", "ler")) and len(w) > 5 and w[:-3] in lex.nouns and not lex.ambiguous(w[:-3]):
+    if w.endswith(("lar", "ler")) and len(w) > 5 and lex.plural(form):
         return "NOUN"
     if capital and ("'" in form or "’" in form) or capital and not first and bare:
         return "PROPN"
     if bare:
-        return "ADJ" if _S["adjective"].search(w) and lex.adjective_base(form) in lex.nouns else "NOUN"
+        return "ADJ" if _S["adjective"].search(w) and lex.derived_adjective(form) else "NOUN"
     if capital and not first and labels <= {"EDİLGEN", "ETTİRGEN"}:
         return "PROPN"
     if any("SIFAT_FİİL" in x for x in whole) and lex.is_ablative(form) or any("BİLDİRME" in x for x in whole) and lex.nominal_dir(form, labels):
@@ -156,17 +204,24 @@ def part_of_speech(form: str, stem: str, suffixes, first: bool, lex: Lexicon) ->
 
 
 class Token:
-    __slots__ = ("comma", "feats", "form", "head", "id", "labels", "lemma", "low", "order", "rel", "sentence", "suffixes", "upos")
+    __slots__ = ("comma", "feats", "form", "head", "id", "labels", "lemma", "low", "order", "rel", "sentence", "stem_low", "suffixes", "upos")
 
     def __init__(self, k: int, word: Word, lex: Lexicon, comma: bool = False):
-        stem, _, _, self.suffixes = word.analysis
-        self.id, self.form, self.low, self.lemma, self.comma = k + 1, word.form, lower(word.form), stem, comma
-        self.order = [p for _, label in self.suffixes for p in label.split("/")]
-        self.labels = frozenset(self.order)
-        self.feats = features(self.suffixes)
-        self.upos = part_of_speech(word.form, stem, self.suffixes, k == 0, lex)
+        self.lemma, _, _, self.suffixes = word.analysis
+        self.id, self.form, self.comma = k + 1, word.form, comma
+        self.low, self.order, self.labels, self.feats, self.upos, self.stem_low = lex.word(word.form, word.analysis, k == 0)
         self.head, self.rel, self.sentence = 0, "_", None
 
+    @classmethod
+    def given(cls, k: int, form: str, lemma: str, suffixes, upos: str, head: int, rel: str, comma: bool) -> Token:
+        """A token that is annotated already."""
+        t = cls.__new__(cls)
+        t.id, t.form, t.lemma, t.suffixes, t.upos, t.head, t.rel, t.comma, t.sentence = k + 1, form, lemma, suffixes, upos, head, rel, comma, None
+        t.low, t.stem_low, t.feats = lower(form), lower(lemma), features(suffixes)
+        t.order = [p for _, label in suffixes for p in label.split("/")]
+        t.labels = frozenset(t.order)
+        return t
+
     free = property(lambda self: self.rel in ("_", "dep"))
     owned = property(lambda self: not self.labels.isdisjoint(POSSESSIVES))
     cased = property(lambda self: not self.labels.isdisjoint(CASES))
@@ -189,7 +244,8 @@ class Sentence:
     """Tokens with their predicates in order, so that the nearest one is found by bisection."""
 
     def __init__(self, tokens: list[Token], lex: Lexicon):
-        self.tokens, self.lex, self.predicates, self._root = tokens, lex, [], None
+        self.tokens, self.lex, self._root = tokens, lex, None
+        self.predicates = [t.id for t in tokens if t.predicative]
         for t in tokens:
             t.sentence = self
 
@@ -296,7 +352,7 @@ def flat_name(s: Sentence) -> None:
 
 def reduplication(s: Sentence) -> None:
     for before, t in zip(s.tokens, s.tokens[1:], strict=False):
-        a, b = lower(before.lemma) or before.low, lower(t.lemma) or t.low
+        a, b = before.stem_low or before.low, t.stem_low or t.low
         if t.free and (before.low == t.low or a == b and len(b) >= 2 or (a, b) in _PAIRS):
             t.to(before, "compound:redup")
 
@@ -368,7 +424,7 @@ def _is_light(t: Token) -> bool:
         return False
     if t.lemma in _W["LIGHT_VERBS"] or _S["light_noun"].match(t.low):
         return True
-    return any(t.low.startswith(v) and not (v == "ol" and t.low in _W["NOT_OL"]) for v in ("et", "ed", "ol", "yap", "kıl", "buyur", "eyle"))
+    return t.low.startswith(("et", "ed", "yap", "kıl", "buyur", "eyle")) or t.low.startswith("ol") and t.low not in _W["NOT_OL"]
 
 
 def light_verb(s: Sentence) -> None:
@@ -645,9 +701,13 @@ def commas(words: list[Word], text: str) -> list[bool]:
     return [*out, False][: len(words)]
 
 
+def tokens(words: list[Word], text: str, lex: Lexicon) -> list[Token]:
+    return [Token(k, w, lex, c) for (k, w), c in zip(enumerate(words), commas(words, text), strict=True)]
+
+
 def parse(words: list[Word], text: str, lex: Lexicon, rules=None, trace: list | None = None) -> list[Token]:
     """The words with part of speech, head and relation. trace gets (rule, id, head and relation before and after)."""
-    s = Sentence([Token(k, w, lex, c) for (k, w), c in zip(enumerate(words), commas(words, text), strict=True)], lex)
+    s = Sentence(tokens(words, text, lex), lex)
     for rule in [*(rules or RULES), one_object, first_root]:
         before = [(t.head, t.rel) for t in s.tokens] if trace is not None else []
         rule(s)
