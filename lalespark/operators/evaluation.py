@@ -72,23 +72,28 @@ def sentences(al: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def conjuncts(gold: DataFrame, pred: DataFrame, commas: DataFrame) -> DataFrame:
-    """Gold conjuncts: (sent_id, id, p_upos, p_deprel, upos, head_upos, head_deprel, kind, distance, hit).
+    """Gold conjuncts: (sent_id, id, form, p_upos, p_deprel, upos, head_form, head_upos, head_deprel, kind, joined, comma,
+    distance, hit).
 
-    kind: cconj if a CCONJ stands between the head and the conjunct, comma if one stands before it, else neither.
-    commas: (sent_id, id) of tokens that a comma follows.
+    kind: cconj if a CCONJ stands between the head and the conjunct, or is a head to the right; comma if one stands before the
+    conjunct; else neither. joined: a CCONJ stands after the first of the two, up to the second. Only words with a
+    prediction count as a CCONJ. commas: (sent_id, id) of tokens that a comma follows.
     """
-    al = aligned(gold, pred).filter((F.col("deprel") == "conj") & F.col("p_deprel").isNotNull())
-    heads = gold.select("sent_id", F.col("id").alias("head"), F.col("upos").alias("head_upos"), F.col("deprel").alias("head_deprel"))
-    al = al.join(heads, ["sent_id", "head"], "left")
+    mine = F.when((F.col("upos") == "CCONJ") & F.col("p_deprel").isNotNull(), 1).otherwise(0)
     # How many CCONJ stand up to each token: whether one stands between two is a difference.
-    upto = gold.select("sent_id", "id", F.count_if(F.col("upos") == "CCONJ").over(W.partitionBy("sent_id").orderBy("id")).alias("n"))
-    at = lambda name, key: upto.select("sent_id", F.col("id").alias(key), F.col("n").alias(name))
-    al = al.withColumns({"_lo": F.least("id", "head"), "_hi": F.greatest("id", "head") - 1})
-    al = al.join(at("_a", "_lo"), ["sent_id", "_lo"], "left").join(at("_b", "_hi"), ["sent_id", "_hi"], "left")
+    al = aligned(gold, pred).withColumn("_mine", mine).withColumn("_upto", F.sum("_mine").over(W.partitionBy("sent_id").orderBy("id")))
+    heads = al.select("sent_id", F.col("id").alias("head"), *[F.col(c).alias(f"head_{c}") for c in ("form", "upos", "deprel")], F.col("_upto").alias("_head"))
+    al = al.filter((F.col("deprel") == "conj") & F.col("p_deprel").isNotNull()).join(heads, ["sent_id", "head"], "left")
     before = commas.select("sent_id", (F.col("id") + 1).alias("id"), F.lit(True).alias("_comma")).distinct()
     al = al.join(before, ["sent_id", "id"], "left")
-    kind = F.when(F.coalesce("_b", F.lit(0)) > F.coalesce("_a", F.lit(0)), "cconj").when(F.col("_comma"), "comma").otherwise("neither")
-    return al.select("sent_id", "id", "p_upos", "p_deprel", "upos", F.coalesce("head_upos", F.lit("?")).alias("head_upos"), F.coalesce("head_deprel", F.lit("?")).alias("head_deprel"), kind.alias("kind"), F.abs(F.col("id") - F.col("head")).alias("distance"), (F.col("p_deprel") == "conj").alias("hit"))
+    head = F.coalesce("_head", F.lit(0))
+    between = F.when(F.col("head") > F.col("id"), head - F.col("_upto")).otherwise(F.col("_upto") - F.col("_mine") - head)
+    kind = F.when(between > 0, "cconj").when(F.col("_comma"), "comma").otherwise("neither")
+    known = [F.coalesce(f"head_{c}", F.lit("?")).alias(f"head_{c}") for c in ("form", "upos", "deprel")]
+    return al.select(
+        "sent_id", "id", "form", "p_upos", "p_deprel", "upos", *known, kind.alias("kind"), (head != F.col("_upto")).alias("joined"), F.coalesce("_comma", F.lit(False)).alias("comma"),
+        F.abs(F.col("id") - F.col("head")).alias("distance"), (F.col("p_deprel") == "conj").alias("hit"),
+    )
 
 
 def lemma_rows(tokens: DataFrame, predicted: Column) -> DataFrame:
@@ -111,3 +116,40 @@ def lemma_by_pos(rows: DataFrame) -> DataFrame:
 def lemma_errors(rows: DataFrame, n: int = 25) -> DataFrame:
     """The n most frequent (gold, predicted, upos) errors with the smallest word as example."""
     return top(rows.filter(~F.col("ok")).groupBy("gold", "predicted", "upos").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("example")), n)
+
+
+def losses(al: DataFrame, n: int = 10) -> DataFrame:
+    """(deprel, gold, hits, loss, percent): the relations that lose most tokens, and their recall."""
+    rows = recall(al, "deprel", "las_ok").withColumns({"loss": F.col("gold") - F.col("hits"), "percent": F.round(F.col("hits") * 100.0 / F.col("gold"), 1)})
+    return rows.orderBy(F.desc("loss"), "deprel").limit(n)
+
+
+def mixed_up(al: DataFrame, n: int = 15) -> DataFrame:
+    """(deprel, p_deprel, n): the pairs of different relations that are mixed up most."""
+    return top(confusion(al).filter(F.col("deprel") != F.col("p_deprel")), n)
+
+
+def benchmark(blocks: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """Gold sentences as CoNLL-U text against the parses of their texts: aligned tokens, without PUNCT and with multi-word
+    tokens as one. Sentences without a text give no tokens of their own, so all of theirs are errors."""
+    from ..sources import conllu
+    from .annotate import annotate
+
+    gold = strip_punct(merge_ranges(conllu.tokens(blocks), conllu.ranges(blocks)))
+    parsed = annotate(conllu.texts(blocks), dictionary, dictionary)
+    return aligned(gold, parsed.select("sent_id", "id", "form", "upos", "head", "deprel"))
+
+
+def compared(expected: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """expected (word, lemma, upos) with what each word gets: lemma by itself, part of speech as a sentence of its own, and
+    whether they are as expected. What isn't expected (null) isn't compared."""
+    from ..functions.glosses import lemma
+    from .analyzer import analyze
+    from .annotate import annotate
+
+    words = expected.select("word").distinct()
+    alone = analyze(words, dictionary).filter("rank = 1").select("word", lemma(F.col("lemma"), F.col("root"), F.col("stem")).alias("p_lemma"))
+    parsed = annotate(words.select(F.col("word").alias("sent_id"), F.col("word").alias("text")), dictionary, dictionary).filter("id = 1").select(F.col("sent_id").alias("word"), F.col("upos").alias("p_upos"))
+    both = expected.join(alone, "word", "left").join(parsed, "word", "left")
+    ok = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(F.col(c) == F.col(f"p_{c}"), F.lit(False)))
+    return both.withColumns({"lemma_ok": ok("lemma"), "upos_ok": ok("upos")})

@@ -38,6 +38,14 @@ def most_productive(spark: SparkSession, n: int = 20) -> DataFrame:
     return top.select(F.row_number().over(w).alias("sira"), "kod", "ek", "sayi", share(F.col("sayi")).alias("oran"), share(F.sum("sayi").over(w.rowsBetween(W.unboundedPreceding, 0))).alias("kapsam"), "tur")
 
 
+def coverage(spark: SparkSession, sizes: tuple[int, ...]) -> DataFrame:
+    """(n, covered, rest): the share of all entries that the first n suffixes cover, in percent, and examples of the others."""
+    ranked = D.suffixes(spark).select("sayi", F.row_number().over(W.orderBy(F.desc("sayi"), "place")).alias("k"))
+    wanted = F.broadcast(spark.createDataFrame([(n,) for n in sizes], "n int"))
+    covered = F.sum(F.when(F.col("k") <= F.col("n"), F.col("sayi")))
+    return ranked.crossJoin(wanted).groupBy("n").agg(F.round(covered * 100.0 / D.ENTRIES, 1).alias("covered"), F.sum(F.when(F.col("k") > F.col("n"), F.col("sayi"))).alias("rest"))
+
+
 def by_kind(spark: SparkSession) -> DataFrame:
     """Examples of each kind of derivation and their share; the row of all kinds has a null kind."""
     df = D.suffixes(spark)

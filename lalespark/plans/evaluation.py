@@ -56,14 +56,16 @@ def _commas(spark, sf_dir):
 _GOLD = f"""tok AS (SELECT doc_id AS sent_id, CAST(i + 1 AS INTEGER) AS id, t[i + 1] AS form, length(t[i + 1]) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents), unnest(range(0, len(t))) AS u(i)),
 raw AS (SELECT sent_id, id, form, lower(translate(left(form, greatest(n - n % 3, 1)), 'İI', 'iı')) AS lemma, {UPOS}[CAST((n + id * id) % 7 + 1 AS INTEGER)] AS upos,
   CAST(CASE WHEN id % 9 = 0 THEN 0 ELSE greatest(id - (n % 5) - 1, 0) END AS INTEGER) AS head, {DEPREL}[CAST((n * 7 + id) % 6 + 1 AS INTEGER)] AS deprel FROM tok),
-kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY id) AS INTEGER) AS k FROM raw WHERE upos <> 'PUNCT'),
+kept AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY id) AS INTEGER) AS k FROM raw WHERE upos <> 'PUNCT'),
 gold AS (SELECT a.sent_id, a.k AS id, a.form, a.lemma, a.upos, coalesce(b.k, 0) AS head, a.deprel FROM kept a LEFT JOIN kept b ON a.sent_id = b.sent_id AND a.head = b.id),
 pred AS (SELECT sent_id, id, form, lemma, CASE WHEN id % 11 = 0 THEN 'X' ELSE upos END AS upos, CASE WHEN id % 5 = 0 THEN head + 1 ELSE head END AS head, CASE WHEN id % 7 = 0 THEN 'dep' ELSE deprel END AS deprel
   FROM gold WHERE NOT (sent_id % 3 = 0 AND id % 50 = 0)),
 al AS (SELECT g.*, p.upos AS p_upos, p.deprel AS p_deprel, coalesce(g.head = p.head, false) AS head_ok, coalesce(g.deprel = p.deprel, false) AS deprel_ok, coalesce(g.head = p.head AND g.deprel = p.deprel, false) AS las_ok,
   coalesce(g.upos = p.upos, false) AS upos_ok FROM gold g LEFT JOIN pred p ON g.sent_id = p.sent_id AND g.id = p.id)"""
-_CONJ = f"""{_GOLD}, cj AS (SELECT al.*, coalesce(h.upos, '?') AS head_upos, coalesce(h.deprel, '?') AS head_deprel,
-  CASE WHEN EXISTS (SELECT 1 FROM gold z WHERE z.sent_id = al.sent_id AND z.upos = 'CCONJ' AND z.id > least(al.id, al.head) AND z.id < greatest(al.id, al.head)) THEN 'cconj' WHEN al.id % 4 = 1 AND al.id > 1 THEN 'comma' ELSE 'neither' END AS kind,
+_BETWEEN = "EXISTS (SELECT 1 FROM al z WHERE z.sent_id = al.sent_id AND z.upos = 'CCONJ' AND z.p_deprel IS NOT NULL AND z.id > least(al.id, al.head) AND z.id <= {})"
+_CONJ = f"""{_GOLD}, cj AS (SELECT al.*, coalesce(h.form, '?') AS head_form, coalesce(h.upos, '?') AS head_upos, coalesce(h.deprel, '?') AS head_deprel,
+  CASE WHEN {_BETWEEN.format('CASE WHEN al.head > al.id THEN al.head ELSE al.id - 1 END')} THEN 'cconj' WHEN al.id % 4 = 1 AND al.id > 1 THEN 'comma' ELSE 'neither' END AS kind,
+  {_BETWEEN.format('greatest(al.id, al.head)')} AS joined, al.id % 4 = 1 AND al.id > 1 AS comma,
   abs(al.id - al.head) AS distance, al.p_deprel = 'conj' AS hit FROM al LEFT JOIN gold h ON h.sent_id = al.sent_id AND h.id = al.head WHERE al.deprel = 'conj' AND al.p_deprel IS NOT NULL)"""
 
 
@@ -137,17 +139,81 @@ def conj_breakdown(spark, sf_dir):
     return _conj(spark, sf_dir).groupingSets([["hit", "p_deprel"], ["hit", "upos"], ["hit", "head_deprel"], ["hit", "head_upos"]], "hit", "p_deprel", "upos", "head_deprel", "head_upos").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query(f"WITH {_CONJ} SELECT distance, count(*) AS n FROM cj WHERE NOT hit AND kind = 'cconj' GROUP BY 1 HAVING count(*) >= 3")
+@_query(f"WITH {_CONJ} SELECT distance, count(*) AS n FROM cj WHERE NOT hit AND joined GROUP BY 1 HAVING count(*) >= 3")
 def conj_distance(spark, sf_dir):
-    return _conj(spark, sf_dir).filter("not hit and kind = 'cconj'").groupBy("distance").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return _conj(spark, sf_dir).filter("not hit and joined").groupBy("distance").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
-@_query(f"WITH {_CONJ} SELECT p_upos, head_upos, p_upos = head_upos AS agree, count(*) AS n FROM cj WHERE NOT hit AND kind = 'comma' GROUP BY ALL")
+@_query(f"WITH {_CONJ} SELECT p_deprel, upos, head_deprel, count(*) AS n FROM cj WHERE NOT hit AND joined GROUP BY GROUPING SETS ((p_deprel), (upos), (head_deprel))")
+def conj_cconj_misses(spark, sf_dir):
+    """Conjuncts that a CCONJ joins and that were missed: by predicted relation, by part of speech, by the head's relation."""
+    return _conj(spark, sf_dir).filter("not hit and joined").groupingSets([["p_deprel"], ["upos"], ["head_deprel"]], "p_deprel", "upos", "head_deprel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_CONJ} SELECT sent_id, id, form, p_deprel, upos, head_form, distance FROM cj WHERE NOT hit AND joined ORDER BY sent_id, id LIMIT 20")
+def conj_cconj_examples(spark, sf_dir):
+    """The first 20 of them, as in a report."""
+    return _conj(spark, sf_dir).filter("not hit and joined").orderBy("sent_id", "id").limit(20).select("sent_id", "id", "form", "p_deprel", "upos", "head_form", "distance")
+
+
+@_query(
+    f"WITH {_CONJ} SELECT p_deprel, p_upos = head_upos AS agree, p_deprel NOT IN ('_', 'dep') AS assigned, count(*) AS n FROM cj WHERE NOT hit AND NOT joined AND comma "
+    "GROUP BY GROUPING SETS ((p_deprel), (p_upos = head_upos), (p_deprel NOT IN ('_', 'dep')))"
+)
+def conj_comma_misses(spark, sf_dir):
+    """Conjuncts that only a comma joins and that were missed: by predicted relation, by whether head and conjunct have one part
+    of speech, by whether a rule attached them."""
+    rows = _conj(spark, sf_dir).filter("not hit and not joined and comma")
+    rows = rows.select("p_deprel", (F.col("p_upos") == F.col("head_upos")).alias("agree"), (~F.col("p_deprel").isin("_", "dep")).alias("assigned"))
+    return rows.groupingSets([["p_deprel"], ["agree"], ["assigned"]], "p_deprel", "agree", "assigned").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_CONJ} SELECT p_upos, head_upos, p_upos = head_upos AS agree, count(*) AS n FROM cj WHERE NOT hit AND NOT joined AND comma GROUP BY ALL")
 def conj_comma_upos(spark, sf_dir):
-    out = _conj(spark, sf_dir).filter("not hit and kind = 'comma'")
+    out = _conj(spark, sf_dir).filter("not hit and not joined and comma")
     return out.groupBy("p_upos", "head_upos", (F.col("p_upos") == F.col("head_upos")).alias("agree")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query(f"WITH {_GOLD} SELECT deprel, count(*) AS gold, count(*) FILTER (WHERE las_ok) AS hits, count(*) FILTER (WHERE NOT las_ok) AS loss, round(count(*) FILTER (WHERE las_ok) * 100.0 / count(*), 1) AS percent FROM al GROUP BY deprel ORDER BY loss DESC, deprel LIMIT 10")
+def recall_losses(spark, sf_dir):
+    return E.losses(_al(spark, sf_dir))
+
+
+@_query(f"WITH {_GOLD} SELECT deprel, coalesce(p_deprel, '_MISSING_') AS p_deprel, count(*) AS n FROM al WHERE NOT las_ok AND deprel <> coalesce(p_deprel, '_MISSING_') GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 15")
+def mixed_up_relations(spark, sf_dir):
+    return E.mixed_up(_al(spark, sf_dir))
+
+
+def _benchmark(spark, sf_dir):
+    """Gold made from the parser's own result, as CoNLL-U text: every fifth head is another, as are every seventh relation and
+    every eleventh part of speech."""
+    from . import sentence
+    from .words import dictionary
+
+    i = F.col("id")
+    parsed = sentence._words(spark, sf_dir).select(
+        "sent_id", "id", "form", F.col("stem").alias("lemma"), F.when(i % 11 == 0, "X").otherwise(F.col("upos")).alias("upos"), F.when(i % 5 == 0, i).otherwise(F.col("head")).cast("int").alias("head"), F.when(i % 7 == 0, "no").otherwise(F.col("deprel")).alias("deprel")
+    )
+    return E.benchmark(conllu.blocks(parsed, sentence.sentences(spark, sf_dir)).select("block"), dictionary(spark, sf_dir))
+
+
+def _sentences_sql() -> str:
+    from .base import values
+    from .sentence import SENTENCES
+
+    return (
+        "st AS (SELECT unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS text FROM documents UNION ALL "
+        f"SELECT t FROM (VALUES {values((x,) for x in SENTENCES)}) AS v(t)), bt AS (SELECT u.i + 1 AS id FROM (SELECT len(regexp_extract_all(text, '{TOKEN}')) AS n FROM st), unnest(range(0, n)) AS u(i))"
+    )
+
+
+@_query(f"WITH {_sentences_sql()} SELECT count(*) AS total, count(*) FILTER (WHERE id % 5 <> 0) AS uas, count(*) FILTER (WHERE id % 5 <> 0 AND id % 7 <> 0) AS las, count(*) FILTER (WHERE id % 7 <> 0) AS deprel_correct, count(*) FILTER (WHERE id % 11 <> 0) AS upos_correct FROM bt")
+def benchmark_scores(spark, sf_dir):
+    """From CoNLL-U text to scores: reading, parsing the sentences' texts, aligning. The parser meets its own result, so the
+    mistakes that were put into gold are all that may be found."""
+    return E.scores(_benchmark(spark, sf_dir))
+
+
 def _lemmas(spark, sf_dir):
     rows = gold_raw(spark, sf_dir).withColumnRenamed("form", "word")
     return E.lemma_rows(rows, F.expr("left(word, greatest(length(word) - length(word) % 4, 1))"))

@@ -57,7 +57,20 @@ def kb_json(spark, sf_dir):
     return K.as_json(spark)
 
 
-QUERIES = {f.__name__: f for f in (kb_search, kb_code, kb_filter, kb_topn, kb_type_dist, kb_voice, kb_upos, kb_deprel, kb_missing, kb_series, kb_json)}
+def kb_statistics(spark, sf_dir):
+    return D.statistics(spark)
+
+
+def kb_rules(spark, sf_dir):
+    return D.rules(spark)
+
+
+def kb_coverage(spark, sf_dir):
+    """What the first 5 and 20 suffixes and the rest cover of all entries, from the table itself."""
+    return K.coverage(spark, (5, 20))
+
+
+QUERIES = {f.__name__: f for f in (kb_search, kb_code, kb_filter, kb_topn, kb_type_dist, kb_voice, kb_upos, kb_deprel, kb_missing, kb_series, kb_json, kb_statistics, kb_rules, kb_coverage)}
 
 _E = f"e(place, kod, ek, taban, turev, sayi, ornekler, tur, aciklama) AS (VALUES {values(D.rows(D.SUFFIXES, (4,)))})"
 _COLS = "kod, ek, taban, turev, CAST(sayi AS INTEGER) AS sayi, ornekler, tur, aciklama"
@@ -86,5 +99,9 @@ ORACLES = {
     "kb_upos": _infer(D.UPOS),
     "kb_deprel": _infer(D.DEPREL),
     "kb_missing": f"SELECT ek, kod, CAST(sayi AS INTEGER) AS sayi, etki, oncelik FROM (VALUES {values(D.rows(D.MISSING, (2,)))}) AS v(place, ek, kod, sayi, etki, oncelik) WHERE oncelik = 'Orta'",
+    "kb_json": f"WITH {_E} SELECT kod, CAST(to_json({{'kod': kod, 'ek': ek, 'taban': taban, 'turev': turev, 'sayi': CAST(sayi AS INTEGER), 'ornekler': ornekler, 'tur': tur, 'aciklama': aciklama}}) AS VARCHAR) AS json FROM e",
+    "kb_statistics": f"SELECT CAST(place AS INTEGER) AS place, topic, item, value FROM (VALUES {values(D.rows(D.STATISTICS, ()))}) AS v(place, topic, item, value)",
+    "kb_rules": "WITH v(place, line) AS (VALUES " + values(enumerate(D.RULES.splitlines())) + ") SELECT CAST(place AS INTEGER) AS place, split_part(line, '|', 1) AS topic, array_to_string(string_split(line, '|')[2:-2], '|') AS what, string_split(line, '|')[-1] AS outcome FROM v",
+    "kb_coverage": f"WITH {_E}, r AS (SELECT sayi, row_number() OVER (ORDER BY e.sayi DESC, place) AS k FROM e) SELECT CAST(n AS INTEGER) AS n, round(CAST(sum(sayi) FILTER (WHERE k <= n) AS DOUBLE) * 100 / {D.ENTRIES}, 1) AS covered, CAST(sum(sayi) FILTER (WHERE k > n) AS BIGINT) AS rest FROM r, (VALUES (5), (20)) AS t(n) GROUP BY n",
     "kb_series": f"WITH {_E} SELECT left(kod, 1) AS seri, count(*) AS adet, CAST(sum(sayi) AS BIGINT) AS toplam, array_to_string(list(ek ORDER BY place)[1:5], ', ') || CASE WHEN count(*) > 5 THEN ' ... (+' || (count(*) - 5) || ')' ELSE '' END AS ekler FROM e GROUP BY 1",
 }

@@ -20,6 +20,12 @@ def _comment(lines: Column, key: str) -> Column:
     return F.trim(F.regexp_extract(F.try_element_at(own, F.lit(-1)), r"^[^=]*=(.*)$", 1))
 
 
+def texts(blocks: DataFrame) -> DataFrame:
+    """(sent_id, text) of each sentence."""
+    parted = blocks.select(F.split(F.regexp_replace("block", r"^\n+|\r", ""), "\n").alias("lines"))
+    return parted.select(*[F.coalesce(_comment(F.col("lines"), c), F.lit("")).alias(c) for c in ("sent_id", "text")])
+
+
 def lines(blocks: DataFrame) -> DataFrame:
     """(sent_id, text, cols): a row for each line of columns, in order; a missing sent_id or text is empty."""
     parted = blocks.select(F.split(F.regexp_replace("block", r"^\n+|\r", ""), "\n").alias("lines"))

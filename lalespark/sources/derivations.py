@@ -243,6 +243,52 @@ DEPREL = [
     ("çatı bilgisi", "Ettirgen/edilgen/işteş", ["-(D)Ir-", "-(I)l-", "-(I)n-", "-(I)ş-", "-(I)t-"]),
 ]
 
+# Published figures on derivation, by topic, as text.
+STATISTICS = """\
+Genel|Toplam türetimsel maddebaşı|14.635
+Genel|Toplam türetim eki|191
+Genel|Kaynak|TDK Türkçe Sözlük, 7. Baskı
+Taban Türü|AD (isim)|%50.15
+Taban Türü|EYLEM (fiil)|%28.49
+Taban Türü|SIFAT|~%10
+Taban Türü|AD.SIFAT|~%5.5
+Taban Türü|BELİRTEÇ|~%2.7
+Taban Türü|Diğer (ADIL, İLGEÇ, BAĞLAÇ)|~%2.9
+Taban Yapısı|Yalın taban|~%85
+Taban Yapısı|Bileşik taban|~%10
+Taban Yapısı|Yansıma taban|~%5
+Köken|Yerli (öz Türkçe)|~%70-75
+Köken|Yabancı (alıntı)|~%25-30
+Yaş|Eski (yerleşik)|~%76.6
+Yaş|Yeni (son dönem)|~%23.4
+Verimlilik|İlk 5 ek|%52.3
+Verimlilik|İlk 20 ek|%82.3
+Verimlilik|Kalan 171 ek|%17.7
+"""
+
+# Rules of derivation, by topic: what, where, outcome.
+RULES = """\
+Taban|İÇİ zorunluluğu||Taban-türev arasında sözlüksel içerik ilişkisi kurulabilmeli
+Taban|Sözlük doğrulaması||Taban, sözlükte yalın maddebaşı olarak bulunmalı
+Taban|İkili kök sorunu||göç/göç-, ekşi/ekş- gibi durumda İÇİ tercih belirler
+Taban|Bileşik ek||Parçalar başka yerde yoksa tümü tek ek sayılır
+Taban|Koruyucu ünsüzler||(y), (n), (s), (ş) — ünlüyle biten tabandan sonra
+Çatı sırası|KÖK|DÖNÜŞLÜ/EDİLGEN|İŞTEŞ|ETTİRGEN|OLUMSUZ|çekim
+Allomorf|-(D)Ir-|Tek heceli + ünlü sonu|-(I)r- (kop-ar-)
+Allomorf|-(D)Ir-|Çok heceli gövde|-(I)t- (ürk-üt-)
+Allomorf|-(I)l-|Ünsüzle biten|-(I)l- (yaz-ıl-)
+Allomorf|-(I)n-|Ünlüyle biten|-(I)n- (oyna-n-)
+Allomorf|-(l)A-|Ünlüyle biten|-lA- (taş-la-)
+Allomorf|-(l)I|Ünlüyle biten|-lI (tuz-lu)
+Allomorf|-(l)Ik|Ünlüyle biten|-lIk (güzel-lik)
+BÜU|a, ı, o, u (kalın)||a
+BÜU|e, i, ö, ü (ince)||e
+KÜU|a, e||ı, i
+KÜU|ı, i||ı, i
+KÜU|o, ö||u, ü
+KÜU|u, ü||u, ü
+"""
+
 #: Entries that the shares of the most productive suffixes refer to.
 ENTRIES = 14635
 
@@ -268,6 +314,16 @@ def missing(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(MISSING, (2,)), "place int, ek string, kod string, sayi int, etki string, oncelik string")
 
 
+def statistics(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(rows(STATISTICS, ()), "place int, topic string, item string, value string")
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """(place, topic, what, outcome): conditions of a rule are its middle columns, parted by |."""
+    parted = [(k, topic, *rest.rsplit("|", 1)) for k, (topic, rest) in enumerate(line.split("|", 1) for line in RULES.splitlines())]
+    return spark.createDataFrame(parted, "place int, topic string, what string, outcome string")
+
+
 def inference(spark: SparkSession, table=UPOS) -> DataFrame:
     """(place, value, note, ek): a row for each suffix of each group, in order."""
     flat = [(v, note, ek) for v, note, eks in table for ek in eks]
