@@ -1,6 +1,9 @@
 """Documented examples, the automaton's cases, and properties of the functions."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 from lalespark.functions import harmony as H
 from lalespark.functions import phonology as P
 from lalespark.functions import tokens as T
-from lalespark.operators import lexicon, suffixes, syntax
+from lalespark.operators import analyzer as analyzer_module
+from lalespark.operators import annotate as annotate_module
+from lalespark.operators import evaluation, lexicon, shards, suffixes, syntax
 from lalespark.operators.analyzer import Analyzer, analyze, analyze_tokens, lower
 from lalespark.operators.annotate import annotate, trees
 from lalespark.operators.sentences import SentenceReader
@@ -224,3 +229,58 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("annotated_words").count() == 4
+
+
+TURKISH = "Ali eve geldi. Bu kitabı okuldan aldım, eve götürdüm. Kitapları Ankara'dan gelen çocuk okudu. Güzeldir. A'b c''d 'e kitaplarımızdan yazdırılan ağaçlı renksiz evden, evdir. Su, suyu; de ye yi di. K b x"
+
+
+def test_large_dictionary(spark, monkeypatch):
+    """A dictionary too large for a broadcast is dealt out with the words, and gives the same results."""
+    words = spark.createDataFrame([(w,) for w in WORDS + "güzel ankara at ot bul al aç a'bcde kitapçık okutmak".split()], "word string")
+    sents = spark.createDataFrame([("1", TURKISH), ("1", TURKISH), ("2", None), (None, "Okula gelen çocuk evi gördü."), ("4", "...")], "sent_id string, text string")
+    rows = spark.createDataFrame([(w, u) for w in TURKISH.replace(",", " ").replace(".", " ").split() for u in (None, "VERB", "NOUN")] + [(None, None)], "word string, upos string")
+    shown = lambda df: sorted(map(str, df.collect()))
+    run = lambda: [shown(x) for x in (analyze(rows, words), annotate(sents, words, words), annotate(sents, words, None), annotate(sents, words, words, trace=True), annotate(sents, None, words, adjectives=["güzel"]), trees(sents, words, words))]
+    want = run()
+    assert all(want) and len(want[1]) > 60
+    for module in (analyzer_module, annotate_module):
+        monkeypatch.setattr(module, "MOST_WORDS", 20)
+    monkeypatch.setattr(shards, "HOT_WORDS", 5)
+    for w, h in zip(want, run(), strict=True):
+        assert w == h
+
+
+def test_command_line(tmp_path):
+    """Words as arguments with a dictionary file, and words from the terminal."""
+    root = Path(__file__).resolve().parent.parent
+    (tmp_path / "words.txt").write_text("ev\n Kitap \n\nev\n", encoding="utf-8")
+    run = lambda args, given=None: subprocess.run([sys.executable, "-m", "lalespark", *args], cwd=root, input=given, capture_output=True, text=True, timeout=300)
+    out = run(["-d", str(tmp_path / "words.txt"), "evlerinden", "kitabı"]).stdout
+    assert "Sözcük : evlerinden" in out and "Kök    : ev" in out and "Kök    : kitap" in out
+    out = run(["-i"], "evde\nq\nokulda\n").stdout
+    assert "Sözcük : evde" in out and "okulda" not in out
+
+
+def test_word_file(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("ev\n Kitap \r\n\nev\n\t\n", encoding="utf-8")
+    assert sorted(r["word"] for r in lexicon.read_words(spark, str(tmp_path / "words.txt")).collect()) == ["ev", "kitap"]
+
+
+def test_benchmark_of_text(spark, tmp_path):
+    """Gold CoNLL-U with punctuation, a range and a missing text against the parser."""
+    text = (
+        "# sent_id = a\n# text = Ali eve geldi.\n1\tAli\tAli\tPROPN\t_\t_\t3\tnsubj\t_\t_\n2\teve\tev\tNOUN\t_\t_\t3\tobl\t_\t_\n3\tgeldi\tgel\tVERB\t_\t_\t0\troot\t_\t_\n4\t.\t.\tPUNCT\t_\t_\t3\tpunct\t_\t_\n\n"
+        "# sent_id = b\n# text = Evdeki geldi\n1-2\tEvdeki\t_\t_\t_\t_\t_\t_\t_\t_\n1\tEvde\tev\tADJ\t_\t_\t3\tamod\t_\t_\n2\tki\tki\tADP\t_\t_\t1\tcase\t_\t_\n3\tgeldi\tgel\tVERB\t_\t_\t0\troot\t_\t_\n\n"
+        "# sent_id = c\n1\tGel\tgel\tVERB\t_\t_\t0\troot\t_\t_\n"
+    )
+    (tmp_path / "gold.conllu").write_text(text, encoding="utf-8")
+    known = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    al = evaluation.benchmark(conllu.read(spark, str(tmp_path / "gold.conllu")), known)
+    assert evaluation.scores(al).first()["total"] == 6
+    by = {(r["sent_id"], r["id"]): r for r in al.collect()}
+    assert all(by["a", k]["las_ok"] for k in (1, 2, 3)) and by["b", 1]["form"] == "Evdeki" and by["b", 2]["las_ok"]
+    assert by["c", 1]["p_deprel"] is None and not by["c", 1]["head_ok"]
+    lost = {r["deprel"]: r["loss"] for r in evaluation.losses(al).collect()}
+    assert lost["root"] == 1 and sum(r["n"] for r in evaluation.mixed_up(al).collect()) == sum(lost.values())
+    got = evaluation.compared(spark.createDataFrame([("kitabı", "kitap", "NOUN"), ("ama", None, "CCONJ"), ("ben", "yok", None)], "word string, lemma string, upos string"), known)
+    assert {r["word"]: (r["lemma_ok"], r["upos_ok"]) for r in got.collect()} == {"kitabı": (True, True), "ama": (None, True), "ben": (False, None)}
