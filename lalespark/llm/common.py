@@ -78,9 +78,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table of written() that nothing reads any more."""
+    make, uri = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.java.net.URI
+    ours = make(shared_dir(spark)).toUri().getPath().rstrip("/") + "/"
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_dir(spark).rstrip("/")):
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path = make(uri(folder))
+        if path.toUri().getPath().startswith(ours):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
