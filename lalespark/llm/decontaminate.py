@@ -13,7 +13,7 @@ What is retrieved is verified: question and answer (an item's last sentence; non
 Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case. Null or empty text has none and
 nothing is found; items without words are left out. Items of null id can't be named in a result and are left out of it, but
 the pipeline's stage searches for them like for others. Items are indexed in shards of SHARD items, so a broadcast is
-bounded, by statistics of all items, so shares don't depend on shards;
+bounded, one shard after the other, by statistics of all items, so shares don't depend on shards;
 items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
 whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
 results; extra columns are ignored.
@@ -337,7 +337,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, overla
             n, length, longest = every if every["n"] else (0, 1, 1)
             stats = Stats(n, length / max(1, n), longest, dict(zip(keys, own.column("all").to_pylist(), strict=True)))
         index = Index(sorted((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect()), stats)
-        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index), least, overlap), "d long, item_id long, score double, question_overlap double, answer_overlap double")
+        shared = spark.sparkContext.broadcast(index)
+        found = rows.mapInArrow(_scan(shared, least, overlap), "d long, item_id long, score double, question_overlap double, answer_overlap double")
+        if shards > 1:  # one shard's index lives at a time
+            found = written(found, "decontaminate-found")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out.select(id_back().alias("doc_id"), id_back("item_id").alias("item_id"), "score", "question_overlap", "answer_overlap")
 
