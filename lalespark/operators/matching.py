@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.harmony import STRICT, Checker
 from ..functions.phonology import is_valid_stem
+from .lexicon import root_lookup
+from .tables import BUFFERED_BY_N
 
 LONGEST = 6
+#: The shortest stem that the dictionary may vouch for, whatever the suffix asks.
+LEAST_KNOWN = 2
 
 
 def matches(words: DataFrame, table: DataFrame, checker: Checker = STRICT, least_stem: int | None = None, valid=is_valid_stem, longest: int = LONGEST) -> DataFrame:
@@ -23,3 +27,18 @@ def matches(words: DataFrame, table: DataFrame, checker: Checker = STRICT, least
     s, x = F.col("stem"), F.col("form")
     hit = cut.join(F.broadcast(table), "form").filter((F.length(s) >= least) & valid(s))
     return hit.filter((F.col("exempt") | checker.vowels(s, x)) & checker.consonants(s, x)).select("word", "stem", "form", "label")
+
+
+def known_matches(words: DataFrame, table: DataFrame, dictionary: DataFrame, checker: Checker = STRICT) -> DataFrame:
+    """(word, stem, form, label): suffixes whose stem has a root in the dictionary.
+
+    Where a case ending begins with n and the stem with that n is a word itself, the n may be the stem's: that reading is
+    given too, without further checks.
+    """
+    hit = matches(words, table.withColumn("min_stem", F.lit(LEAST_KNOWN)), checker)
+    own = hit.join(root_lookup(dictionary).select(F.col("surface").alias("_s")), F.lower("stem") == F.col("_s"), "left_semi")
+    begins = own.filter(F.startswith("form", F.lit("n")) & (F.length("form") > 1) & F.col("label").isin(*sorted(BUFFERED_BY_N)))
+    with_n = begins.select("word", F.concat("stem", F.lit("n")).alias("stem"), F.expr("substring(form, 2)").alias("form"))
+    with_n = with_n.join(dictionary.select(F.col("word").alias("_w")).distinct(), F.lower("stem") == F.col("_w"), "left_semi")
+    with_n = with_n.join(F.broadcast(table.select("form", "label")), "form").select("word", "stem", "form", "label")
+    return own.unionByName(with_n).distinct()

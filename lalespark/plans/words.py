@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import harmony as H
 from ..functions.phonology import CONSONANTS, SONORANT_SIBILANT
 from ..operators import analyzer, lexicon, matching, suffixes
+from ..operators.tables import BUFFERED_BY_N
 from .base import DICTIONARY, SQL_FIRST, SQL_LAST, SQL_LOWER, TOKEN, V, lowered, sql_consonant, sql_major, sql_minor, table, values
 from .base import words as distinct_words
 from .dimension import _FORMS
@@ -56,6 +57,14 @@ def suffix_match_relaxed(spark, sf_dir):
     return matching.matches(lowered(spark, sf_dir), suffixes.table(spark), H.RELAXED, 3)
 
 
+def suffix_match_known_strict(spark, sf_dir):
+    return matching.known_matches(lowered(spark, sf_dir), suffixes.table(spark), dictionary(spark, sf_dir))
+
+
+def suffix_match_known_relaxed(spark, sf_dir):
+    return matching.known_matches(lowered(spark, sf_dir), suffixes.table(spark), dictionary(spark, sf_dir), H.RELAXED)
+
+
 def _flat(df):
     path = F.array_join(F.transform("suffixes", lambda s: F.concat(s["form"], F.lit("/"), s["label"])), "+")
     return df.select("word", "rank", "stem", "root", "lemma", path.alias("suffixes"))
@@ -83,7 +92,7 @@ def stem_frequency(spark, sf_dir):
     return counted.join(analyze_top1(spark, sf_dir).select("word", "stem"), "word").groupBy("stem").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"))
 
 
-QUERIES |= {f.__name__: f for f in (dict_words, dict_contains, dict_verbs, find_root, find_root_narrowing, suffix_match_strict, suffix_match_relaxed, analyze_all, analyze_heuristic, analyze_top1, stem_frequency)}
+QUERIES |= {f.__name__: f for f in (dict_words, dict_contains, dict_verbs, find_root, find_root_narrowing, suffix_match_strict, suffix_match_relaxed, suffix_match_known_strict, suffix_match_known_relaxed, analyze_all, analyze_heuristic, analyze_top1, stem_frequency)}
 
 _DICT = (
     f"{SQL_LOWER}, tok AS (SELECT lower(translate(unnest(regexp_extract_all(text, '{TOKEN}')), 'İI', 'iı')) AS word FROM documents), "
@@ -109,7 +118,21 @@ m AS (SELECT word, stem, form, label, min_stem, exempt, {SQL_LAST.format(w='stem
   WHERE regexp_matches(stem, '[{V}]') AND NOT regexp_matches(stem, '[{CONSONANTS}]{{3}}$') AND (NOT regexp_matches(stem, '[{CONSONANTS}]{{2}}$') OR contains('{SONORANT_SIBILANT}', stem[-2])))
 SELECT word, stem, form, label FROM m WHERE length(stem) >= @least AND (exempt OR @vowels) AND {sql_consonant('stem', 'form')}"""
 
+
+
+def _known(vowels: str) -> str:
+    """Stripping with stems that have a root, and the readings with a stem's own n."""
+    strip = _STRIP.replace(f"{SQL_LOWER}, ", f"{_DICT}, ").replace("\nSELECT word", ",\nh AS (SELECT word", 1).replace("@least", "2").replace("@vowels", f"({vowels})")
+    labels = ", ".join(f"'{x}'" for x in sorted(BUFFERED_BY_N))
+    return (
+        f"{strip}), src AS (SELECT DISTINCT stem AS s FROM h), {_probes('p', 'src')}, k AS (SELECT h.* FROM h JOIN p ON p.s = h.stem WHERE p.root IS NOT NULL) SELECT word, stem, form, label FROM k "
+        f"UNION SELECT k.word, k.stem || 'n', f.form, f.label FROM k JOIN forms f ON f.form = substr(k.form, 2) WHERE k.form LIKE 'n_%' AND k.label IN ({labels}) AND k.stem || 'n' IN (SELECT word FROM dict)"
+    )
+
+
 ORACLES |= {
+    "suffix_match_known_strict": _known(f"{sql_major('a', 'b')} AND {sql_minor('a', 'b')}"),
+    "suffix_match_known_relaxed": _known(sql_minor("a", "b")),
     "dict_words": f"WITH {_DICT} SELECT word FROM dict",
     "dict_contains": f"WITH {_DICT} SELECT word, word IN (SELECT word FROM dict) AS in_dict FROM low",
     "dict_verbs": f"WITH {_DICT} SELECT root, root IN (SELECT root FROM verbs) AS is_verb, root IN (SELECT word FROM dict) AS is_word FROM roots",
