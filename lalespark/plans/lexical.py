@@ -12,8 +12,9 @@ from ..operators import wordclasses as C
 from ..operators.analyzer import analyze
 from ..sources import conllu
 from . import rules as R
-from .base import DICTIONARY, lowered, values
+from .base import DICTIONARY, SQL_VOWELS, lowered, values
 from .evaluation import _GOLD, gold
+from .scalar import _LINE
 from .words import _DICT, dictionary
 
 QUERIES, ORACLES = {}, {}
@@ -133,6 +134,27 @@ def ambiguity_given(spark, sf_dir):
     return G.ambiguity(rows).groupBy("candidate_1", "candidate_2", "candidate_3").agg(F.count(F.lit(1)).alias("n"))
 
 
+_BODY = (
+    "'  Kök    : ' || base || CASE WHEN id % 4 = 0 THEN chr(10) || '  Lemma  : ' || stem || 'mak' ELSE '' END || chr(10) || '  Ekler  : ' "
+    "|| CASE WHEN len(path) > 0 THEN array_to_string(list_transform(path, lambda x: '-x (' || x || ')'), ' + ') ELSE '(ek bulunamadı)' END || chr(10) || '  Ayrım  : ' || array_to_string(list_concat([stem], list_transform(path, lambda x: 'x')), ' + ')"
+)
+_HARMONY = f"CASE WHEN len(v) < 2 THEN '  (tek ünlülü sözcük – uyum kontrolü gerekmez)' ELSE array_to_string(list_transform(range(1, len(v)), lambda i: {_LINE}), chr(10)) END"
+
+
+@_query(
+    f"WITH {_ANALYSES}, k AS (SELECT {R.FORMS}[s % {len(R.FORMS)} + 1] || '_' || doc_id || '-' || s AS word, id, {_BODY} AS body FROM a WHERE id <= CASE WHEN s % 3 = 0 THEN 1 ELSE 4 END), "
+    f"g AS (SELECT word, count(*) AS n, any_value(body) AS one, string_agg('  ── Çözümleme ' || id || ' {'─' * 30}' || chr(10) || body || chr(10), chr(10) ORDER BY id) AS many, {SQL_VOWELS.format(w='word')} AS v FROM k GROUP BY word) "
+    "SELECT word, md5('  Sözcük : ' || word || chr(10) || CASE WHEN n = 1 THEN one || chr(10) ELSE '  ⚠ ' || n || ' olası çözümleme (doğru olan bağlama göre belirlenir)' || chr(10) || chr(10) || many || chr(10) END "
+    f"|| '  Uyum   :' || chr(10) || {_HARMONY} || chr(10)) AS report FROM g"
+)
+def reports_given(spark, sf_dir):
+    """Reports of one or of several analyses; a sentence's words stand for the analyses of a word that is named by it."""
+    place = F.substring_index("sent_id", "-", -1).cast("int")
+    rows = _analyses(spark, sf_dir).withColumns({"lemma": F.when(F.col("id") % 4 == 0, F.concat("stem", F.lit("mak"))), "word": F.concat(F.get(F.array(*[F.lit(x) for x in R.FORMS]), place % len(R.FORMS)), F.lit("_"), F.col("sent_id"))})
+    rows = rows.filter(F.col("id") <= F.when(place % 3 == 0, 1).otherwise(4))
+    return G.reports(rows.withColumnRenamed("id", "rank")).select("word", F.md5("report").alias("report"))
+
+
 @_query(f"WITH {_GOLD} SELECT upos, count(*) AS n, CAST(sum(length(form)) AS BIGINT) AS chars, count(DISTINCT lemma) AS lemmas FROM gold GROUP BY upos")
 def conllu_flat(spark, sf_dir):
     """Words read line by line from the CoNLL-U text of gold, with comments, ranges and empty nodes among them."""
