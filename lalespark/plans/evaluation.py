@@ -56,8 +56,8 @@ def _commas(spark, sf_dir):
 _GOLD = f"""tok AS (SELECT doc_id AS sent_id, CAST(i + 1 AS INTEGER) AS id, t[i + 1] AS form, length(t[i + 1]) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS t FROM documents), unnest(range(0, len(t))) AS u(i)),
 raw AS (SELECT sent_id, id, form, lower(translate(left(form, greatest(n - n % 3, 1)), 'İI', 'iı')) AS lemma, {UPOS}[CAST((n + id * id) % 7 + 1 AS INTEGER)] AS upos,
   CAST(CASE WHEN id % 9 = 0 THEN 0 ELSE greatest(id - (n % 5) - 1, 0) END AS INTEGER) AS head, {DEPREL}[CAST((n * 7 + id) % 6 + 1 AS INTEGER)] AS deprel FROM tok),
-kept AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY sent_id ORDER BY id) AS INTEGER) AS k FROM raw WHERE upos <> 'PUNCT'),
-gold AS (SELECT a.sent_id, a.k AS id, a.form, a.lemma, a.upos, coalesce(b.k, 0) AS head, a.deprel FROM kept a LEFT JOIN kept b ON a.sent_id = b.sent_id AND a.head = b.id),
+kept AS (SELECT *, CASE WHEN upos <> 'PUNCT' THEN CAST(count(*) FILTER (WHERE upos <> 'PUNCT') OVER (PARTITION BY sent_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS INTEGER) END AS k FROM raw),
+gold AS (SELECT sent_id, k AS id, form, lemma, upos, coalesce(h, 0) AS head, deprel FROM (SELECT *, lag(k, id - head) OVER (PARTITION BY sent_id ORDER BY id) AS h FROM kept) WHERE k IS NOT NULL),
 pred AS (SELECT sent_id, id, form, lemma, CASE WHEN id % 11 = 0 THEN 'X' ELSE upos END AS upos, CASE WHEN id % 5 = 0 THEN head + 1 ELSE head END AS head, CASE WHEN id % 7 = 0 THEN 'dep' ELSE deprel END AS deprel
   FROM gold WHERE NOT (sent_id % 3 = 0 AND id % 50 = 0)),
 al AS (SELECT g.*, p.upos AS p_upos, p.deprel AS p_deprel, coalesce(g.head = p.head, false) AS head_ok, coalesce(g.deprel = p.deprel, false) AS deprel_ok, coalesce(g.head = p.head AND g.deprel = p.deprel, false) AS las_ok,
