@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, changes, groups, id_back, tiled, written
+from .common import NULL_ID, changes, groups, id_back, removed, tiled, written
 from .components import connected_components, local_labels
 
 LEAST, BLOCKS, FILTERS, BUCKET, SEED = 0.9, 2, 40, 150, 5
@@ -142,6 +142,11 @@ def smallest_shared(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray, code:
     return np.array([held[i].isdisjoint(held[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
 
 
+def _matrix(t: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of one length, without nulls."""
+    return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+
+
 def _verify(least: float):
     keys = ["dim", "code", "ta", "tb"]
 
@@ -157,7 +162,7 @@ def _verify(least: float):
                 if hi - lo < 2:
                     continue
                 part = t.slice(lo, hi - lo)
-                x = np.array(part.column("v").to_pylist(), dtype=np.float64)
+                x = _matrix(part, "v").astype(np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 found = []
@@ -171,8 +176,7 @@ def _verify(least: float):
                     continue
                 label = local_labels(len(label), label, i + lo, j + lo)
                 rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                lists = part.column("codes").combine_chunks()
-                lists = [np.asarray(lists[int(r)].values) for r in rows]
+                lists = list(_matrix(part, "codes")[rows])
                 mine = smallest_shared(lists, back[: len(i)], back[len(i) :], int(code[lo]))
                 np.add.at(count, lo + i[mine], n[lo + j[mine]])
                 np.add.at(count, lo + j[mine], n[lo + i[mine]])
@@ -195,11 +199,13 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     plans = {dim: plan(n, dim, least) for dim, n in sizes.items()}
     item = vectors.schema["embedding"].dataType.elementType.simpleString()
     coded = distinct.select("rep", "n", "v").mapInArrow(_filters(plans), f"rep long, n long, v array<{item}>, dim int, codes array<int>")
-    spread = written(coded, "caps-coded").select("*", F.explode("codes").alias("code"))
+    coded = written(coded, "caps-coded")
+    spread = coded.select("*", F.explode("codes").alias("code"))
     keys = ["dim", "code", "ta", "tb"]
     spread = tiled(spread, ["dim", "code"], "rep", MOST_GROUP)
     found = spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(least), "rep long, root long, links long")
     found = written(found, "caps-links")
+    removed(vectors.sparkSession, coded)
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = distinct.join(linked, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
