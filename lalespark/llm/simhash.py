@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, changes, groups, id_back, tiled, trimmed, unused, written
+from .common import NULL_ID, changes, groups, id_back, removed, tiled, trimmed, unused, written
 from .components import connected_components, local_labels
 from .hamming import GrayIndex, distance, gray_order
 
@@ -180,17 +180,15 @@ def links(distinct: DataFrame, wide: bool, most: int) -> DataFrame:
 
     def spread(batches):
         for b in batches:
-            codes = np.stack([b.column(c).to_numpy() for c in names], axis=1)
-            for lo in range(0, len(codes), 500):
-                part = codes[lo : lo + 500]
-                values = key_values(part.view(np.uint64), own).ravel()
-                row = np.repeat(np.arange(len(part)), len(own))
-                key = np.tile(np.arange(len(own), dtype=np.int32), len(part))
-                cols = [pa.array(b.column("rep").to_numpy()[lo + row]), *(pa.array(part[row, k]) for k in range(len(names))), pa.array(key), pa.array(values)]
-                yield pa.RecordBatch.from_arrays(cols, names=["rep", *names, "key", "value"])
+            if b.num_rows:
+                codes = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+                values = pa.array(key_values(codes.view(np.uint64), own).ravel())
+                ends = pa.array(np.arange(0, len(values) + 1, len(own), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, values)], names=["rep", *names, "values"])
 
     schema = "rep long, " + ", ".join(f"{c} long" for c in names)
-    rows = tiled(distinct.select("rep", *names).mapInArrow(spread, f"{schema}, key int, value long"), ["key", "value"], "rep", MOST_GROUP)
+    valued = written(distinct.select("rep", *names).mapInArrow(spread, f"{schema}, values array<long>"), "simhash-keys")  # read twice
+    rows = tiled(valued.select("rep", *names, F.posexplode("values").alias("key", "value")), ["key", "value"], "rep", MOST_GROUP)
     by = ["key", "value", "ta", "tb"]
 
     def run(batches):
@@ -210,7 +208,9 @@ def classes(docs: DataFrame, width: int = 3, most: int = 3, wide: bool = False)
     prints = written(fingerprints(docs, width, wide), "simhash")
     names = [c for c in prints.columns if c.startswith("f")]
     distinct = written(prints.groupBy(*names).agg(F.min("d").alias("rep")), "simhash-distinct")
-    joined = connected_components(links(distinct, wide, most))
+    found = links(distinct, wide, most)
+    joined = connected_components(found)
+    removed(docs.sparkSession, found)  # the keys: edges are in tables of their own by now
     reps = distinct.join(joined, distinct["rep"] == joined["node"], "left").select(*names, F.coalesce("component", "rep").alias("component"))
     return prints.join(reps, names).select("d", *names, "component")
 
