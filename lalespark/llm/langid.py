@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trimmed, unused, written
+from .common import removed, trimmed, unused, written
 
 UND = "und"
 #: Expected number of sampled documents a language, and kept words, and n-grams of each length, a language.
@@ -34,7 +34,7 @@ LONGEST = 5
 KEPT_ALL, LEAST_KEPT = 120_000, 2_000
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Numbers that the table of scores of known words holds at most.
-_CACHE = 1 << 22
+_CACHE = 1 << 20
 
 
 def held_out(id_col: str = "doc_id"):
@@ -163,6 +163,8 @@ def train(docs: DataFrame, id_col: str = "doc_id") -> Model:
         lang.append(np.array([number[x] for x in got.column("lang").to_pylist()], dtype=np.int32))
         kind = pc.utf8_length(got.column("item")).to_numpy() if size else np.zeros(got.num_rows, dtype=np.int64)
         more.append(np.log((got.column("n").to_numpy() + 0.1) / of[kind, lang[-1]]) - plain[kind, lang[-1]])
+    for counts in (words, grams):
+        removed(docs.sparkSession, counts)
     return Model(langs, *entries, np.concatenate(first), np.concatenate(lang), np.concatenate(more), plain)
 
 
