@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, decontaminate, importance, langid, linededup, maintext, packing, simhash, substring, warc
+from . import caps, decontaminate, importance, langid, linededup, maintext, packing, pointintime, simhash, substring, warc
 from .common import table
 
 
@@ -57,7 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing)}
+def op12_pointintime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pointintime.features(*(table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing, op12_pointintime)}
 
 _LINES = """
 WITH base AS (SELECT coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -92,4 +96,29 @@ SELECT base.d AS doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(c
 FROM base LEFT JOIN kept ON base.d = kept.d
 """
 
-ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC}
+_CENTS = "CASE WHEN isfinite({x}) THEN CAST(floor(100 * {x} + 0.5) AS BIGINT) ELSE 0 END"
+_FEATURES = f"""
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+s AS (SELECT sale_id, client_id, epoch_us(sold_at) AS e, epoch_us(arrived_at) + 14400000000 AS a, {_CENTS.format(x="total")} AS m FROM sales),
+probe AS (SELECT sale_id, client_id, e + xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(sale_id AS VARCHAR)) + 1),
+    lambda i: CAST(ord(substr(CAST(sale_id AS VARCHAR), i, 1)) AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 259200 * 1000000 AS t
+  FROM s, crc WHERE sale_id IS NOT NULL AND client_id IS NOT NULL AND e IS NOT NULL),
+asked AS (SELECT *, t - d * 86400000000 AS low FROM probe, (VALUES (2), (14)) AS w(d)),
+k AS (SELECT click_id, client_id, kind, epoch_us(ts) AS e, epoch_us(arrived_at) + 14400000000 AS a, {_CENTS.format(x="value")} AS m
+  FROM (SELECT DISTINCT click_id, ts, arrived_at, client_id, kind, value, props FROM clicks)),
+kc AS (SELECT q.sale_id, d, count(*) AS n_clicks, count(*) FILTER (WHERE kind = 'purchase') AS n_purchases, sum(m) AS click_cents,
+    list(click_id ORDER BY e DESC, click_id DESC NULLS LAST)[1] AS last_click_id
+  FROM asked q JOIN k ON k.client_id = q.client_id AND k.e <= q.t AND k.e > q.low AND k.a <= q.t GROUP BY q.sale_id, d),
+ss AS (SELECT q.sale_id, q.d, q.t, s.sale_id AS of, s.m FROM asked q JOIN s ON s.client_id = q.client_id AND s.e <= q.t AND s.e > q.low AND s.a <= q.t),
+sc AS (SELECT sale_id, d, count(*) AS n_sales, sum(m) AS sale_cents FROM ss GROUP BY sale_id, d),
+l AS (SELECT sale_id, item_id, epoch_us(shipped_at) AS p, {_CENTS.format(x="amount")} AS m FROM sale_lines),
+lc AS (SELECT ss.sale_id, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(l.m) AS line_cents FROM ss JOIN l ON l.sale_id = ss.of AND l.p <= ss.t GROUP BY ss.sale_id, d),
+y AS (SELECT DISTINCT q.sale_id FROM probe q JOIN s ON s.client_id = q.client_id AND s.e > q.t AND s.e <= q.t + 604800000000)
+SELECT q.sale_id, d, t AS t_us, y.sale_id IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases,
+  CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents, last_click_id, coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM asked q LEFT JOIN kc USING (sale_id, d) LEFT JOIN sc USING (sale_id, d) LEFT JOIN lc USING (sale_id, d) LEFT JOIN y ON y.sale_id = q.sale_id
+"""
+
+ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC, "op12_pointintime": _FEATURES}
