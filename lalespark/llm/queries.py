@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, decontaminate, importance, langid, linededup, maintext, packing, pointintime, simhash, substring, warc
+from . import caps, decontaminate, importance, langid, linededup, maintext, negatives, packing, pointintime, simhash, substring, warc
 from .common import table
 
 
@@ -61,7 +61,11 @@ def op12_pointintime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointintime.features(*(table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing, op12_pointintime)}
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing, op12_pointintime, op13_negatives)}
 
 _LINES = """
 WITH base AS (SELECT coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -121,4 +125,15 @@ SELECT q.sale_id, d, t AS t_us, y.sale_id IS NOT NULL AS label, coalesce(n_click
 FROM asked q LEFT JOIN kc USING (sale_id, d) LEFT JOIN sc USING (sale_id, d) LEFT JOIN lc USING (sale_id, d) LEFT JOIN y ON y.sale_id = q.sale_id
 """
 
-ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC, "op12_pointintime": _FEATURES}
+_NEGATIVES = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+pos AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM pairs WHERE same) WHERE k <= 5),
+neg AS (SELECT p.a, p.b, p.score AS ps, n.b AS nb, n.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS k
+  FROM pos p JOIN pairs n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(k AS INT) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM neg WHERE k <= 10
+"""
+
+ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC, "op12_pointintime": _FEATURES, "op13_negatives": _NEGATIVES}
