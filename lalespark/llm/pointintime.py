@@ -118,14 +118,17 @@ def item_deltas(lines: DataFrame, days: Sequence[int], share: int) -> DataFrame:
 
 
 def sold_lines(sales: DataFrame, sale_lines: DataFrame, lag: int, longest: int, share: int = HOT_KEYS) -> DataFrame:
-    """(client, item, event, begin, m) of each line of a sale; sales of very many lines are joined by broadcast."""
+    """(client, item, event, begin, m) of each line of a sale; the lines of a very large sale are salted, so that no task gets all."""
     lines = sale_lines.filter(F.col("sale_id").isNotNull() & F.col("shipped_at").isNotNull())
-    lines = lines.select("sale_id", F.col("item_id").cast("long").alias("item"), micros(sale_lines, "shipped_at").alias("shipped"), cents("amount").alias("m"))
+    lines = lines.select("sale_id", F.col("item_id").cast("long").alias("item"), micros(sale_lines, "shipped_at").alias("shipped"), cents("amount").alias("m"), F.xxhash64("line_no", "item_id", "vendor_id", "quantity", "amount", "shipped_at").alias("h"))
     sold = sales.filter("client IS NOT NULL AND event IS NOT NULL AND arrived IS NOT NULL").select("sale_id", "client", "event", "arrived")
-    large = frequent(lines, ["sale_id"], share)
-    hot, rest = split(lines, large, ["sale_id"])
-    out = hot.join(F.broadcast(sold.join(F.broadcast(large), "sale_id")), "sale_id").unionByName(rest.join(sold, "sale_id"))
-    out = out.select("client", "item", "event", F.greatest("event", F.col("arrived") + lag, "shipped").alias("begin"), "m")
+    each = max(1, lines.count() // share)
+    large = lines.groupBy("sale_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > each).select("sale_id", F.ceil(F.col("n") / each).alias("salts"))
+    large = F.broadcast(large)  # fewer than `share` rows, with 2 * share salts at most
+    salts = F.coalesce("salts", F.lit(1))
+    lines = lines.join(large, "sale_id", "left").withColumn("salt", F.pmod("h", salts))
+    sold = sold.join(large, "sale_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    out = lines.join(sold, ["sale_id", "salt"]).select("client", "item", "event", F.greatest("event", F.col("arrived") + lag, "shipped").alias("begin"), "m")
     return out.filter(F.col("begin") < F.col("event") + longest * DAY)
 
 
