@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import caps, decontaminate, importance, langid, linededup, maintext, negatives, packing, pointintime, simhash, substring, warc
+from . import caps, decontaminate, importance, langid, linededup, maintext, negatives, packing, pointintime, simhash, substring, suffixdedup, warc
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup_bytes(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op12_pointintime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pointintime.features(*(table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
 
@@ -65,7 +69,7 @@ def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing, op12_pointintime, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_langid, op3_maintext, op4_linededup, op5_caps, op6_substring, op7_importance, op8_warc, op9_simhash, op10_packing, op11_suffixarray, op12_pointintime, op13_negatives)}
 
 _LINES = """
 WITH base AS (SELECT coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
@@ -100,6 +104,19 @@ SELECT base.d AS doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(c
 FROM base LEFT JOIN kept ON base.d = kept.d
 """
 
+_BYTES = """
+WITH base AS (SELECT doc_id AS d, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT d, i AS s, b[i + 1 : i + 50] AS x FROM base, unnest(range(0, greatest(octet_length(b) - 49, 0))) AS u(i)),
+dup AS (SELECT d, s FROM (SELECT d, s, min(d) OVER (PARTITION BY x) AS m FROM win) WHERE d > m),
+runs AS (SELECT d, min(s) AS a, max(s) + 50 AS z FROM (SELECT d, s, sum(new) OVER (PARTITION BY d ORDER BY s) AS r
+  FROM (SELECT d, s, CASE WHEN s - lag(s) OVER (PARTITION BY d ORDER BY s) <= 50 THEN 0 ELSE 1 END AS new FROM dup)) GROUP BY d, r),
+keep AS (SELECT d, z AS a, lead(a) OVER (PARTITION BY d ORDER BY a) AS z FROM runs UNION ALL SELECT d, 0, min(a) FROM runs GROUP BY d),
+left_ AS (SELECT base.d, string_agg(hex(CASE WHEN keep.z IS NULL THEN b[keep.a + 1 :] ELSE b[keep.a + 1 : keep.z] END), '' ORDER BY keep.a) AS t FROM base JOIN keep ON keep.d = base.d GROUP BY base.d),
+n AS (SELECT d, sum(z - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY d)
+SELECT base.d AS doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN left_.t IS NULL THEN b ELSE unhex(left_.t) END) AS kept_sha256
+FROM base LEFT JOIN n ON n.d = base.d LEFT JOIN left_ ON left_.d = base.d
+"""
 _CENTS = "CASE WHEN isfinite({x}) THEN CAST(floor(100 * {x} + 0.5) AS BIGINT) ELSE 0 END"
 _FEATURES = f"""
 WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
@@ -136,4 +153,4 @@ neg AS (SELECT p.a, p.b, p.score AS ps, n.b AS nb, n.score AS ns, row_number() O
 SELECT a AS anchor_id, b AS positive_id, CAST(k AS INT) AS rank, nb AS negative_id, ps AS positive_score, ns AS negative_score FROM neg WHERE k <= 10
 """
 
-ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC, "op12_pointintime": _FEATURES, "op13_negatives": _NEGATIVES}
+ORACLES = {"op4_linededup": _LINES, "op6_substring": _SUBSTRING, "op8_warc": _WARC, "op11_suffixarray": _BYTES, "op12_pointintime": _FEATURES, "op13_negatives": _NEGATIVES}
