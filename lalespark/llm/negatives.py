@@ -46,7 +46,7 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Splits at the median of the widest coordinate, labels first, until SMALL rows are left. Rows are put in order of leaves."""
+    """Splits in the middle of the widest coordinate, labels first, until SMALL rows are left. Rows are put in order of leaves."""
 
     def __init__(self, x: np.ndarray, label: np.ndarray):
         self.order = np.arange(len(x))
@@ -75,7 +75,9 @@ class Tree:
                 edges = np.flatnonzero(np.diff(names[rank])) + 1
                 mid = int(edges[np.argmin(np.abs(edges - (hi - lo) // 2))])
             else:
-                rank, mid = np.argsort(own[:, int(wide.argmax())], kind="stable"), (hi - lo) // 2
+                x1 = own[:, int(wide.argmax())]
+                rank, mid = np.argsort(x1, kind="stable"), int((x1 <= (x1.min() + x1.max()) / 2).sum())
+                mid = mid if mid < hi - lo else (hi - lo) // 2  # the middle may be rounded up
             self.order[lo:hi] = at[rank]
             todo += [(lo, lo + mid, me), (lo + mid, hi, me)]
         self.x, self.label = x[self.order], label[self.order]
@@ -106,7 +108,9 @@ class Search:
             a, b = todo.pop()
             if self._pruned(mine, a, b, need, high):
                 continue
-            sides = [(a, y) for y in self.tree.left[b]] if self.tree.left[b] and (not mine.left[a] or self.tree.hi[b] - self.tree.lo[b] >= mine.hi[a] - mine.lo[a]) else [(y, b) for y in mine.left[a]]
+            # The wider node is split, so that targets meet what is near them before what is far.
+            other = self.tree.left[b] and (not mine.left[a] or self.tree.radius[b] > mine.radius[a])
+            sides = [(a, y) for y in self.tree.left[b]] if other else [(y, b) for y in mine.left[a]]
             if sides:  # the pair that promises most is taken last from the stack, so first
                 todo += sorted(sides, key=lambda p: float(mine.center[p[0]] @ self.tree.center[p[1]]))
             else:
