@@ -8,7 +8,7 @@ the window or none is.
 
 Clients (and pairs of client and item) with more than one row in HOT_SHARE are hot, of which there are fewer than HOT_SHARE.
 Their rows are summed by time first and dealt out by hours; what stands before an hour comes from sums of days and of the
-day's earlier hours, so no task gets all rows of a client. Nothing is broadcast but the hot keys.
+day's earlier hours, so no task gets all rows of a client. Nothing goes to the driver or into a broadcast but the hot keys.
 
 Nulls: a sale without client_id or sold_at isn't asked for, one without sale_id has no t; a fact without client, event time,
 arrival or (lines) shipping counts nowhere. Values that are null or not finite are 0 cents. Fully equal clicks count once,
@@ -69,15 +69,15 @@ def _single(rows: DataFrame, what: int, days: Sequence[int], time: Column, n: in
     return rows.select("client", F.lit(what).alias("what"), time.alias("time"), *cells, F.lit(None).cast("long").alias("at"), (F.lit(None).cast("long") if id_ is None else id_).alias("id"))
 
 
-def frequent(rows: DataFrame, keys: list[str], share: int) -> DataFrame:
-    """Keys with more than one in `share` of the rows: fewer than `share`."""
-    total = rows.count()
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * share > total).select(*keys)
-
+def split(rows: DataFrame, keys: list[str], share: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of keys with more than one in `share` of all rows, which are fewer than `share` keys, and the others.
 
-def split(rows: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows of hot keys, and the others."""
-    return rows.join(F.broadcast(hot), keys), rows.join(F.broadcast(hot), keys, "left_anti")
+    Keys go by their hashes: what shares a hash with a hot key is handled like one.
+    """
+    total = rows.count()
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * share > total)
+    hot = F.xxhash64(*keys).isin([r["h"] for r in large.select(F.xxhash64(*keys).alias("h")).collect()])
+    return rows.filter(hot), rows.filter(~hot)
 
 
 def opened(rows: DataFrame, keys: list[str], time: str, folds: dict) -> DataFrame:
@@ -100,7 +100,7 @@ def item_deltas(lines: DataFrame, days: Sequence[int], share: int) -> DataFrame:
     starts = lines.filter(F.col("item").isNotNull()).groupBy("client", "item", "begin").agg(F.max("event").alias("event"))
     starts = written(starts, "pit-starts")
     keys = ["client", "item"]
-    hot, rest = split(starts, frequent(starts, keys, share), keys)
+    hot, rest = split(starts, keys, share)
     earlier = lambda *by: F.max("event").over(Window.partitionBy(*by).orderBy(F.col("begin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
     rest = rest.withColumn("before", earlier(*keys))
     hot = opened(hot, keys, "begin", {"event": F.max}).withColumn("before", earlier(*keys, "hour")).filter(F.col("begin").isNotNull()).drop("hour")
@@ -167,7 +167,7 @@ def features(clicks: DataFrame, sales: DataFrame, sale_lines: DataFrame, days: S
         _single(asked, PROBE, days, t, 0, F.col("sale_id").cast("long")),
     ]
     rows = written(reduce(DataFrame.unionByName, events), "pit-events")
-    hot, rest = split(rows, frequent(rows, ["client"], hot_share), ["client"])
+    hot, rest = split(rows, ["client"], hot_share)
     folds = {f"{name}{d}": F.sum for d in days for name in _ASKED} | {"later": F.sum, "last": F.max}
     answers = _answers(_wide(rest.repartition("client"), days), ["client"], folds)
     hot = _wide(hot, days)
