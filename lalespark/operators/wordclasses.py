@@ -82,7 +82,7 @@ SHAPES = {
     "future": r"[aeıiuüoö]c[ae]k$",
 }
 #: The base of an adjective form, tried in this order.
-ADJECTIVE_BASES = [r"^(.{3,})l[ıiuü]$", r"^(.{2,})s[ıiuü]z$", r"^(.{2,})s[ae]l$", r"^(.{3,})[ıiuü]ms[ıiuü]$"]
+ADJECTIVE_BASES = [r"^(.{3,})l[ıiuü]$", r"^(.{2,})s[ıiuü]z$", r"^(.{3,})s[ae]l$", r"^(.{3,})[ıiuü]ms[ıiuü]$"]
 #: Endings of the ablative, longest first.
 ABLATIVES = [r"l[ae]r[ıiuü]nd[ae]n$", r"s[ıiuü]nd[ae]n$", r"[ıiuü]nd[ae]n$", r"l[ae]rd[ae]n$", r"nd[ae]n$", r"d[ae]n$", r"t[ae]n$"]
 

@@ -9,13 +9,13 @@ from ..operators import annotate as A
 from ..operators import evaluation as E
 from ..operators import suffixes, tables
 from ..operators import wordclasses as C
-from ..operators.analyzer import analyze
+from ..operators.search import analyze
 from ..sources import conllu
 from . import rules as R
 from .base import DICTIONARY, SQL_VOWELS, lowered, values
 from .evaluation import _GOLD, gold
 from .scalar import _LINE
-from .words import _DICT, dictionary
+from .words import _ALL, _DICT, dictionary
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,7 +69,7 @@ dir AS (SELECT w FROM d WHERE x <> '' AND x <> 'değil' AND x IN (SELECT x FROM
 amb AS (SELECT w FROM f WHERE w IN (SELECT x FROM v) OR w || 'la' IN (SELECT x FROM v) OR w || 'le' IN (SELECT x FROM v) OR w || 'etmek' IN (SELECT word FROM dict) OR w || 'olmak' IN (SELECT word FROM dict)
   OR regexp_matches(w, '(ma|me)$') AND length(w) > 3 AND left(w, length(w) - 2) IN (SELECT x FROM v) OR regexp_matches(w, '[ıiuü]ş$') OR w IN ('değil', 'uçar', 'eder'))
 SELECT w AS word, w IN (SELECT w FROM part) AS participle, w IN (SELECT w FROM abl) AS ablative, w IN (SELECT w FROM dir) AS nominal_dir, w IN (SELECT w FROM amb) AS ambiguous,
-  coalesce({', '.join(f"nullif(regexp_extract(w, '{p}', 1), '')" for p in C.ADJECTIVE_BASES)}) AS adjective_base FROM f"""
+  coalesce(nullif(regexp_extract(w, '^(...+)l[ıiuü]$', 1), ''), nullif(regexp_extract(w, '^(..+)s[ıiuü]z$', 1), ''), nullif(regexp_extract(w, '^(...+)s[ae]l$', 1), ''), nullif(regexp_extract(w, '^(...+)[ıiuü]ms[ıiuü]$', 1), '')) AS adjective_base FROM f"""
 )
 def word_tests(spark, sf_dir):
     """What the parser asks of a form: participle in -An, noun in the ablative, noun with -DIr, possible verb base, base of a
@@ -228,3 +228,10 @@ _RERANK = _RERANK.replace("SELECT doc_id, s, 0 AS id, -1 AS c", "SELECT DISTINCT
 def rerank_given(spark, sf_dir):
     """The candidate that each word takes in context, from left to right; the SQL walks the sentences step by step."""
     return R._digest(A.rerank(_candidates(spark, sf_dir)), ("chosen",))
+
+
+_READ = f"{_ALL}, g AS (SELECT *, coalesce(root, stem) AS b FROM out WHERE rank = 1)"
+_OF = "b || array_to_string(list_transform({}, lambda x: '{}' || {}), '')"
+ORACLES["gloss"] = f"{_READ} SELECT word, {_OF.format('ls', '+', _TAG)} AS tagged, {_OF.format('fs', '-', 'x')} AS segmented, {_OF.format('ls', '-', f'upper({_TAG})')} AS gloss FROM g"
+_AT = "coalesce(any_value(t) FILTER (WHERE rank = {}), '—') AS candidate_{}"
+ORACLES["ambiguity"] = f"{_ALL}, g AS (SELECT word, rank, coalesce(root, stem) AS b, ls FROM out), k AS (SELECT word, rank, {_OF.format('ls', '+', _TAG)} AS t FROM g) SELECT word, {', '.join(_AT.format(k, k) for k in (1, 2, 3))} FROM k GROUP BY word"

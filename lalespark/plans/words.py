@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import harmony as H
 from ..functions.phonology import CONSONANTS, SONORANT_SIBILANT
-from ..operators import analyzer, lexicon, matching, suffixes
+from ..operators import lexicon, matching, search, suffixes
 from ..operators.tables import BUFFERED_BY_N
-from .base import DICTIONARY, SQL_FIRST, SQL_LAST, SQL_LOWER, TOKEN, V, lowered, sql_consonant, sql_major, sql_minor, table, values
+from .analysis_sql import analyses
+from .base import DICTIONARY, SQL_FIRST, SQL_LAST, SQL_LOWER, TOKEN, SQL_WORDS, V, lowered, sql_consonant, sql_major, sql_minor, table, values
 from .base import words as distinct_words
 from .dimension import _FORMS
 
@@ -72,12 +73,12 @@ def _flat(df):
 
 def analyze_all(spark, sf_dir):
     """Up to five analyses of each distinct word, with a dictionary."""
-    return _flat(analyzer.analyze(distinct_words(spark, sf_dir), dictionary(spark, sf_dir)))
+    return _flat(search.analyze(distinct_words(spark, sf_dir), dictionary(spark, sf_dir)))
 
 
 def analyze_heuristic(spark, sf_dir):
     """The same without a dictionary."""
-    return _flat(analyzer.analyze(distinct_words(spark, sf_dir)))
+    return _flat(search.analyze(distinct_words(spark, sf_dir)))
 
 
 def analyze_top1(spark, sf_dir):
@@ -143,3 +144,12 @@ ORACLES |= {
     "suffix_match_strict": _STRIP.replace("@least", "min_stem").replace("@vowels", f"({sql_major('a', 'b')} AND {sql_minor('a', 'b')})"),
     "suffix_match_relaxed": _STRIP.replace("@least", "greatest(min_stem, 3)").replace("@vowels", f"({sql_minor('a', 'b')})"),
 }
+
+_NO_DICT = f"{SQL_WORDS}, dict AS (SELECT word FROM words WHERE false), verbs AS (SELECT word AS root FROM dict), roots AS (SELECT word AS root FROM dict)"
+_ALL = analyses(_DICT, _probes, True)
+ORACLES |= {
+    "analyze_all": f"{_ALL} SELECT word, rank, stem, root, lemma, suffixes FROM out",
+    "analyze_top1": f"{_ALL} SELECT word, stem, root, lemma, suffixes FROM out WHERE rank = 1",
+    "analyze_heuristic": f"{analyses(_NO_DICT, _probes, False)} SELECT word, rank, stem, root, lemma, suffixes FROM out",
+    "stem_frequency": f"{_ALL}, n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents) GROUP BY word) SELECT stem, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS words FROM out JOIN n USING (word) WHERE rank = 1 GROUP BY stem",
+}
