@@ -32,6 +32,8 @@ from .suffixarray import permuted_common, suffix_array
 WIDTH, GRAM = 50, 24
 #: Segments of an anchor that one task holds at most, rows and bytes that a task sorts at once, sampled documents.
 LARGE, ROWS, SHARD, SAMPLE = 100_000, 400_000, 8 << 20, 10_000
+#: Anchors that are grouped at once, and about as many a part gets.
+FLUSH = 2_000_000
 _LOW = np.uint64((1 << 26) - 1)
 _RARE = np.uint64(26)
 
@@ -73,13 +75,13 @@ def _anchors(width: int, gram: int, hot: np.ndarray):
     def run(batches):
         for b in batches:
             d = b.column("d").to_numpy()
-            for lo, _, data, offsets in scan.texts(b):
+            for lo, _, data, offsets in scan.texts(b, most=1 << 18):  # what fits a cache
                 got = segments(data, offsets, width, gram)
                 if got is None:
                     continue
                 doc, first, count, h = got
                 ids = d[lo + doc]
-                known = np.isin(h, hot)
+                known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
                 with np.errstate(over="ignore"):
                     r = np.where(known, scan.mix(h.view(np.uint64) ^ scan.mix(ids.view(np.uint64))).view(np.int64), h)
                 yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(h, mask=~known), pa.array(ids), pa.array(first << 8 | count)], names=["r", "h", "d", "p"])
@@ -88,33 +90,41 @@ def _anchors(width: int, gram: int, hot: np.ndarray):
 
 
 def _shared(batches):
-    """From rows sorted by r: the anchors that more than one document has, and those known to be shared. Of a group only the
-    first document's rows are held until a second one comes."""
+    """The anchors of a part that more than one document has, and those known to be shared, in any order.
+
+    Rows are grouped FLUSH at a time. Of an anchor that turned out to be shared one row is kept as a mark, of others all, which
+    are of one document: so what is held doesn't grow with how frequent an anchor is.
+    """
     names = ["h", "d", "p"]
-    key, own, other, held = None, None, False, []
+    held, new, rows = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)], [], 0
+
+    def grouped():
+        nonlocal held
+        r, d, p = (np.concatenate([h, *(b.column(c).to_numpy() for b in new)]) for h, c in zip(held, ("r", "d", "p")))
+        mark = np.concatenate([held[3], np.zeros(len(r) - len(held[3]), bool)])
+        order = np.argsort(r)
+        r, d, p, mark = r[order], d[order], p[order], mark[order]
+        start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        size = np.diff(np.append(start, len(r)))
+        both = (np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)) | np.logical_or.reduceat(mark, start)
+        several = np.repeat(both, size)
+        one = start[both]
+        held = [np.concatenate([x[~several], x[one]]) for x in (r, d, p)] + [np.concatenate([mark[~several], np.ones(len(one), bool)])]
+        out = several & ~mark
+        return pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (r, d, p)], names=names)
+
     for b in batches:
         known = b.column("h").is_valid()
         if pc.any(known).as_py():
             yield b.filter(known).select(names)
             b = b.filter(pc.invert(known))
-        if not b.num_rows:
-            continue
-        b = pa.RecordBatch.from_arrays([b.column(c) for c in ("r", "d", "p")], names=names)
-        r, d = b.column("h").to_numpy(), b.column("d").to_numpy()
-        start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        differs = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
-        goes_on = r[0] == key
-        if goes_on:
-            differs[0] |= other or d[0] != own
-        if goes_on and differs[0]:
-            yield from held
-            held = []
-        if not goes_on or len(start) > 1:
-            held = []
-        yield b.filter(pa.array(np.repeat(differs, np.diff(np.append(start, len(r))))))
-        key, own, other = r[-1], d[-1], bool(differs[-1])
-        if not other:
-            held.append(b.slice(int(start[-1])))
+        new.append(b)
+        rows += b.num_rows
+        if rows >= FLUSH:
+            yield grouped()
+            new, rows = [], 0
+    if rows:
+        yield grouped()
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,10 +252,9 @@ _SEGMENT = "h long, d long, t1 long, at int, n int, words binary"
 _GONE = "d long, t1 long, at int, n int"
 
 
-def frequent_anchors(keys: DataFrame, width: int, gram: int) -> np.ndarray:
+def frequent_anchors(keys: DataFrame, docs: int, width: int, gram: int) -> np.ndarray:
     """Anchors of different documents that have more than one in HOT_KEYS of a sample's: fewer than HOT_KEYS."""
-    share = SAMPLE / max(1, keys.count())
-    part = keys.sample(share, seed=11) if share < 1 else keys
+    part = keys.sample(SAMPLE / docs, seed=11) if docs > SAMPLE else keys
     rows = written(part.mapInArrow(_anchors(width, gram, np.zeros(0, np.int64)), "r long, h long, d long, p long").select("r", "d"), "suffix-sample")
     total = rows.count()
     hot = rows.groupBy("r").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.count(F.lit(1)).alias("n")).filter((F.col("a") < F.col("b")) & (F.col("n") * HOT_KEYS > total))
@@ -271,20 +280,23 @@ def large_groups(hot: DataFrame, width: int, total: int) -> DataFrame:
 def gone(keys: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(d, t1, gone): windows of each document, as (at, n), that start in a smaller document too."""
     spark = keys.sparkSession
-    hot = frequent_anchors(keys, width, gram)
+    docs, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hot = frequent_anchors(keys, docs, width, gram)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * size // ((width - gram + 2) * FLUSH))
     anchors = keys.mapInArrow(_anchors(width, gram, hot), "r long, h long, d long, p long")
-    shared = anchors.repartition("r").sortWithinPartitions("r").mapInArrow(trimmed(_shared), "h long, d long, p long")
+    shared = anchors.repartition(parts, "r").mapInArrow(trimmed(_shared), "h long, d long, p long")
     shared = written(shared, "suffix-places")
     places = shared.groupBy("d").agg(F.collect_set(F.struct("h", "p")).alias("places"))
     cut = keys.join(places, "d").select("d", "t1", "text", "places").mapInArrow(trimmed(_cut_out(width)), _SEGMENT)
     cut = written(cut, "suffix-segments")
     removed(spark, shared)
-    total = cut.count()
-    large = cut.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > min(LARGE, max(1, total // 1000))).select("h", F.lit(True).alias("large"))
-    marked = cut.join(written(large, "suffix-large"), "h", "left")
-    rest = marked.filter("large IS NULL").drop("large")
-    rest = rest.repartition("h").sortWithinPartitions("h", "words", "d").mapInArrow(trimmed(_matched(width)), _GONE)
-    rest = rest.unionByName(large_groups(marked.filter("large").drop("large"), width, total))
+    large = cut.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > LARGE)
+    large = written(large.select("h", "c", F.lit(True).alias("large")), "suffix-large")
+    total = large.agg(F.sum("c")).first()[0]
+    some = cut.join(large.drop("c"), "h", "left").filter("large IS NULL").drop("large") if total else cut
+    rest = some.repartition("h").sortWithinPartitions("h", "words", "d").mapInArrow(trimmed(_matched(width)), _GONE)
+    if total:
+        rest = rest.unionByName(large_groups(cut.join(large.select("h"), "h"), width, total))
     out = written(rest.groupBy("d", "t1").agg(F.collect_list(F.struct("at", "n")).alias("gone")), "suffix-gone")
     removed(spark, cut)
     return out
