@@ -98,7 +98,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, dtype=np.int64)
         second[: n - k] = rank[k:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         found = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.append(0, found[1:] != found[:-1]))
@@ -113,6 +113,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     sizes = np.bincount(text)
+    if len(sizes) <= 1 << 16:
+        text = text.astype(np.uint16)  # which sorts by digits
     small = smaller(text)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = small[1:] & ~small[:-1]
