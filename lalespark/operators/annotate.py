@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.tokens import sentences as split_sentences
 from . import shards, syntax
 from .analyzer import MOST_WORDS, Analyzer, held, lower, searched
+from .context import rerank  # noqa: F401
 from .sentences import TOKEN as WORD
-from .sentences import SentenceReader, Word, choose
+from .sentences import SentenceReader
 
 SCHEMA = (
     "sent_id string, id int, form string, stem string, root string, lemma string, suffixes array<struct<form:string,label:string>>, applied array<string>, "
@@ -177,28 +178,3 @@ def word_tests(words: DataFrame, dictionary: DataFrame | None = None) -> DataFra
 
     rows = words.select("word").filter(F.col("word").isNotNull()).distinct()
     return rows.mapInArrow(run, "word string, participle boolean, ablative boolean, nominal_dir boolean, ambiguous boolean, adjective_base string")
-
-
-def rerank(tokens: DataFrame) -> DataFrame:
-    """(sent_id, id, chosen, applied): which of its candidates each token takes in context, from 1, and the rules that applied.
-
-    tokens: sent_id, id from 1 in each sentence, form, and candidates, an array of (stem, suffixes (form, label)) in their
-    order. A token without candidates is an error.
-    """
-    whole = tokens.groupBy("sent_id").agg(F.sort_array(F.collect_list(F.struct("id", "form", "candidates"))).alias("t"))
-
-    def run(batches):
-        for b in batches:
-            out: list[tuple] = []
-            for sent_id, rows in zip(b.column("sent_id").to_pylist(), b.column("t").to_pylist(), strict=True):
-                forms, left = [lower(t["form"]) for t in rows], None
-                for k, t in enumerate(rows):
-                    found = [(c["stem"], None, n, tuple((x["form"], x["label"]) for x in c["suffixes"])) for n, c in enumerate(t["candidates"], 1)]
-                    order, applied = choose(found, left, forms, k)
-                    left = Word(t["form"], order[0])
-                    out.append((sent_id, t["id"], order[0][2], applied))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["sent_id", "id", "chosen", "applied"])
-
-    return whole.mapInArrow(run, "sent_id string, id int, chosen int, applied array<string>")

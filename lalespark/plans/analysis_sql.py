@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.phonology import CONSONANTS, SONORANT_SIBILANT
 from ..operators import analyzer as A
 from ..operators import suffixes, tables
+from ..operators import wordclasses as C
 from .base import SQL_FIRST, SQL_LAST, V, sql_consonant, sql_major, sql_minor, values
 from .dimension import _FORMS
 
@@ -105,3 +106,42 @@ out_ AS (SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY place)
 out AS (SELECT * FROM out_ UNION ALL SELECT word, 1, low, pr, NULL, '', [], [] FROM q WHERE fixed
   UNION ALL SELECT word, 1, CASE WHEN parts THEN base ELSE w END, NULL, NULL, '', [], [] FROM q WHERE NOT fixed AND word NOT IN (SELECT word FROM out_))
 """
+
+
+def rereading() -> str:
+    """CTEs up to walk(sent_id, id, form, c, stem, suffixes, parts, fin, tail, n, applied): from left to right the candidate that
+    each word of said(sent_id, id, form) takes, out of those in out."""
+    near = {k: _set(C.words(v)) for k, v in (("det", C.DETERMINERS), ("adj", C.NEAR_ADJECTIVES), ("post", C.NEAR_POSTPOSITIONS), ("num", C.NEAR_NUMERALS), ("conj", C.NEAR_CONJUNCTIONS))}
+    poss, conv, final = ("[" + ", ".join(f"'{x}'" for x in sorted(v)) + "]" for v in (C.words(C.POSSESSIVES), C.words(C.CONVERBS), tables.VERB_FINAL))
+    split = "CAST(flatten(list_transform({}, lambda y: string_split(y, '/'))) AS VARCHAR[])"
+    own = f"list_has_any(c.parts, {poss})"
+    had = lambda x: f"list_contains(r.parts, '{x}')"
+    rules = [  # name, condition, what is added to final verbs, to others; or to those of a test
+        ("BELİRLEYİCİ→İSİM", f"before IN {near['det']}", -4, 3),
+        ("SIFAT→İSİM", f"before NOT IN {near['det']} AND before IN {near['adj']}", 0, 0.5),
+        ("SIFATSAL→İSİM", f"before NOT IN {near['det']} AND before NOT IN {near['adj']} AND contains(r.tail, 'SIFAT_FİİL')", 0, 0.3),
+        ("ARDIŞIK_FİİL↓", f"r.fin AND before NOT IN {near['conj']}", -3, 0),
+        ("TAMLAYAN→İYELİK", "contains(r.tail, 'TAMLAYAN')", own, 3),
+        ("X→EDAT:İSİM", f"after IN {near['post']}", -1.5, 2),
+        ("X→SORU:FİİL", "after IN ('mi', 'mı', 'mu', 'mü')", 2, 0),
+        ("SAYI→İSİM", f"before IN {near['num']}", -1.5, 2),
+        ("ZARF_FİİL→FİİL", f"list_has_any(r.parts, {conv})", 2, 0),
+        ("İSİM_FİİL→İSİM", had("İSİM_FİİL"), 0, 1.5),
+        ("YÖNELME→FİİL", had("YÖNELME"), 1, 0),
+        ("DEYİM:ele_al", "cur = 'ele' AND starts_with(after, 'al')", "c.stem = 'el' AND list_contains(c.parts, 'YÖNELME')", 3),
+        ("DEYİM:göz_kalıp", "cur = 'göz' AND (starts_with(after, 'önün') OR starts_with(after, 'ardı'))", 0, 2),
+        ("BELİRTME→FİİL", had("BELIRTME"), 1.5, 0),
+        ("İYELİK_ZİNCİR", f"list_has_any(r.parts, {poss})", f"({own} OR contains(c.tail, 'TAMLAYAN'))", 1),
+        ("CÜMLE_SONU→FİİL", "last", 1, 0),
+        ("CÜMLE_BAŞI→İSİM", "first", 0, 0.5),
+    ]
+    adds = " ".join(f"+ CASE WHEN {on} THEN CASE WHEN {a if isinstance(a, str) else 'c.fin'} THEN {b if isinstance(a, str) else a} ELSE {0 if isinstance(a, str) else b} END ELSE 0 END" for _, on, a, b in rules)
+    names = ", ".join(f"CASE WHEN {on} THEN '{name}' END" for name, on, _, _ in rules)
+    return f"""around AS MATERIALIZED (SELECT sent_id, id, form, lower(translate(form, 'İI', 'iı')) AS cur FROM said),
+around1 AS MATERIALIZED (SELECT *, coalesce(lag(cur) OVER w, '') AS before, coalesce(lead(cur) OVER w, '') AS after, lag(id) OVER w IS NULL AS first, lead(id) OVER w IS NULL AS last FROM around WINDOW w AS (PARTITION BY sent_id ORDER BY id)),
+c AS MATERIALIZED (SELECT a.*, rank - 1 AS c, stem, suffixes, {split.format('ls')} AS parts, list_has_any({split.format('ls[-2:]')}, {final}) AS fin, coalesce(ls[-1], '') AS tail, count(*) OVER (PARTITION BY sent_id, id) AS n FROM around1 a JOIN out ON out.word = a.form),
+walk AS (SELECT DISTINCT sent_id, 0 AS id, '' AS form, 0 AS c, '' AS stem, '' AS suffixes, CAST([] AS VARCHAR[]) AS parts, false AS fin, '' AS tail, CAST(0 AS BIGINT) AS n, '' AS applied FROM said
+  UNION ALL SELECT sent_id, id, form, c, stem, suffixes, parts, fin, tail, n, applied FROM (
+    SELECT c.sent_id, c.id, c.form, c.c, c.stem, c.suffixes, c.parts, c.fin, c.tail, c.n, CASE WHEN c.n < 2 THEN '' ELSE array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') END AS applied,
+      row_number() OVER (PARTITION BY c.sent_id ORDER BY CASE WHEN c.n < 2 THEN 0 ELSE -c.c {adds} END DESC, c.c) AS best
+    FROM walk r JOIN c ON c.sent_id = r.sent_id AND c.id = r.id + 1) WHERE best = 1)"""
