@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import token_rows
 from ..operators import annotate as A
+from ..operators import relations as R
 from ..operators import syntax as S
 from ..operators import wordclasses as C
 from .base import TOKEN, table
@@ -103,7 +104,7 @@ def _rule(*parts: str):
 
     def add(rule):
         name = f"rule_{rule.__name__}"
-        QUERIES[name] = lambda spark, sf_dir: _digest(A.apply_rules(given(spark, sf_dir), [rule]))
+        QUERIES[name] = lambda spark, sf_dir: _digest(R.RULES[rule.__name__](given(spark, sf_dir)))
         ORACLES[name] = sql
         return rule
 
@@ -174,8 +175,19 @@ def token_features(spark, sf_dir):
     """The features of each word's labels."""
     from ..sources.conllu import feats_text
 
-    out = A.apply_rules(given(spark, sf_dir), [])
-    return _digest(out.select("sent_id", "id", feats_text(F.col("feats")).alias("feats")), ("feats",))
+    out = given(spark, sf_dir).select("sent_id", "id", feats_text(R.features(F.col("suffixes"))).alias("feats"))
+    return _digest(out, ("feats",))
+
+
+#: Numerals stand for some forms in the query of their rule.
+NUMERALS = ["iki", "12", "ikinci", "üç", "birer", "yüz"]
+
+
+def rule_numeral(spark, sf_dir):
+    """Numerals, alone and in chains; words of documents stand for their places."""
+    k = F.pmod(F.col("id") * 5 + F.length("form"), F.lit(9)).cast("int")
+    rows = given(spark, sf_dir).withColumn("form", F.coalesce(F.get(F.array(*[F.lit(x) for x in NUMERALS]), k), "form"))
+    return _digest(R.RULES["numeral"](rows))
 
 
 def _last(kind: dict) -> str:
@@ -193,3 +205,22 @@ ORACLES["token_features"] = (
     f"g AS (SELECT doc_id, s, id, coalesce(nullif(concat_ws('|', {', '.join(f'{chr(39)}{name}={chr(39)} || f_{name}' for name, _ in _FEATURES)}), ''), '_') AS feats FROM f) "
     "SELECT doc_id, count(*) AS n, md5(string_agg(concat_ws(':', id, feats), chr(10) ORDER BY s, id)) AS digest FROM g GROUP BY doc_id"
 )
+
+
+QUERIES["rule_numeral"] = rule_numeral
+_PAST = "OVER (PARTITION BY doc_id, s ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+ORACLES["rule_numeral"] = (
+    f"WITH {_S.replace('s AS MATERIALIZED (SELECT doc_id, s, id, form, lower(form) AS low', 's AS MATERIALIZED (SELECT doc_id, s, id, coalesce([' + ', '.join(repr(x) for x in NUMERALS) + '][(id * 5 + length(form)) % 9 + 1], form) AS form, lower(coalesce([' + ', '.join(repr(x) for x in NUMERALS) + '][(id * 5 + length(form)) % 9 + 1], form)) AS low')}, "
+    + _ahead("x", "true", f"b.upos IN {_NOMINAL}", "b.upos IN ('ADJ', 'NUM')")
+    + f", m AS (SELECT s.*, x.head AS noun, free AND (low IN {_in(_W['NUMERALS'])} OR regexp_full_match(form, '[0-9]+')) AS mine, NOT (regexp_matches(low, '[ıiuü]nc[ıiuü]$') OR regexp_matches(low, '^(birer|ikişer|üçer|dörtler|beşer|altışar|yedişer|sekizer|dokuzar|onar|yirmişer)$')) AS counted FROM s LEFT JOIN x USING (doc_id, s, id)), "
+    f"l AS (SELECT *, mine AND counted AND coalesce(last_value(CASE WHEN NOT mine THEN rel IN ('nummod', 'flat') AND upos = 'NUM' WHEN NOT counted THEN false WHEN noun IS NOT NULL THEN true END IGNORE NULLS) {_PAST}, false) AS flat FROM m), "
+    f"c AS (SELECT *, last_value(CASE WHEN NOT flat THEN CASE WHEN NOT mine AND rel = 'flat' THEN head ELSE id END END IGNORE NULLS) {_PAST} AS chain FROM l), "
+    "o AS (SELECT doc_id, s, id, CASE WHEN flat OR mine AND noun IS NOT NULL THEN 'NUM' ELSE upos END AS upos, CASE WHEN flat THEN chain WHEN mine AND noun IS NOT NULL THEN noun ELSE head END AS head, "
+    "CASE WHEN flat THEN 'flat' WHEN mine AND noun IS NOT NULL THEN CASE WHEN counted THEN 'nummod' ELSE 'amod' END ELSE rel END AS rel FROM c) "
+    "SELECT doc_id, count(*) AS n, md5(string_agg(concat_ws(':', id, upos, head, rel), chr(10) ORDER BY s, id)) AS digest FROM o GROUP BY doc_id"
+)
+
+
+def feature_columns(labels: str = "labels") -> str:
+    """SQL of a word's features as text, from its labels."""
+    return f"coalesce(nullif(concat_ws('|', {', '.join(f'{chr(39)}{name}={chr(39)} || ' + _last(kind).replace('labels', labels) for name, kind in _FEATURES)}), ''), '_')"
