@@ -36,7 +36,7 @@ def _grouped(letters: np.ndarray):
 def induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All suffixes in order, if the LMS suffixes are given in order; by LMS substrings if these are given in any order."""
     n = len(text)
-    out = np.full(n, -1, dtype=np.int64)
+    out = np.full(n, -1, dtype=np.int32)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     order, letters, first, counts = _grouped(text[lms])
@@ -146,7 +146,7 @@ def permuted_common(text: np.ndarray, order: np.ndarray, ends: np.ndarray, fresh
     before; only the others, and the `fresh` ones, are compared.
     """
     n = len(text)
-    before = np.full(n, -1, dtype=np.int64)
+    before = np.full(n, -1, dtype=np.int32)
     before[order[1:]] = order[:-1]
     own = fresh.copy()
     own[0] = True
@@ -154,7 +154,7 @@ def permuted_common(text: np.ndarray, order: np.ndarray, ends: np.ndarray, fresh
     p = before[1:]
     own[1:] |= (p <= 0) | (text[i - 1] != text[np.maximum(p - 1, 0)])
     at = np.flatnonzero(own)
-    value = np.zeros(n, dtype=np.int64)
+    value = np.zeros(n, dtype=np.int32)
     known = at[before[at] >= 0]
     value[known] = common(text, known, before[known], np.minimum(ends[known] - known, n - before[known]))
     last = np.maximum.accumulate(np.where(own, np.arange(n), 0))

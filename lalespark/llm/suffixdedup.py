@@ -31,9 +31,9 @@ from .suffixarray import permuted_common, suffix_array
 
 WIDTH, GRAM = 50, 24
 #: Segments of an anchor that one task holds at most, rows and bytes that a task sorts at once, sampled documents.
-LARGE, ROWS, SHARD, SAMPLE = 100_000, 400_000, 8 << 20, 10_000
+LARGE, ROWS, SHARD, SAMPLE = 100_000, 200_000, 3 << 20, 10_000
 #: Anchors that are grouped at once, and about as many a part gets.
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 _LOW = np.uint64((1 << 26) - 1)
 _RARE = np.uint64(26)
 

@@ -78,3 +78,49 @@ def as_json(spark: SparkSession) -> DataFrame:
     """A JSON object for each row."""
     cols = [c for c in D.suffixes(spark).columns if c != "place"]
     return D.suffixes(spark).select("kod", F.to_json(F.struct(*cols)).alias("json"))
+
+
+#: Letters of the pieces by which texts are found.
+GRAM = 3
+
+
+def _pieces(text: Column) -> Column:
+    """The empty string and all pieces of up to GRAM letters."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *map(of, range(1, GRAM + 1))))
+
+
+def holders(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """(asked columns, texts columns) where the string `known` of texts holds the string `asked`.
+
+    texts is small: its pieces are an index, in which each asked string looks up its first letters by equality; what is found is
+    verified. So the work follows the hits, not all pairs.
+    """
+    index = texts.withColumn("_g", F.explode(_pieces(F.col("known"))))
+    return asked.withColumn("_g", F.substring("asked", 1, GRAM)).join(F.broadcast(index), "_g").filter(F.contains("known", "asked")).drop("_g")
+
+
+def search_words(spark: SparkSession, words: DataFrame) -> DataFrame:
+    """(word, n, kod): the number of rows that search() finds for each distinct word, and the first one's code."""
+    rows = D.suffixes(spark)
+    texts = rows.select("place", "kod", F.explode(F.array(*[folded(F.col(c)) for c in ("ek", "ornekler", "aciklama")])).alias("known"))
+    asked = words.select("word").filter("word IS NOT NULL").distinct()
+    by_text = holders(asked.withColumn("asked", folded(F.col("word"))), texts).select("word", "place", "kod")
+    by_code = asked.join(F.broadcast(rows.select("place", "kod")), F.upper("word") == F.col("kod")).select("word", "place", "kod")
+    return by_text.unionByName(by_code).groupBy("word").agg(F.countDistinct("place").alias("n"), F.min_by("kod", "place").alias("kod"))
+
+
+def infer_many(spark: SparkSession, queries: DataFrame, table=D.UPOS) -> DataFrame:
+    """infer() for a large table of queries (ek): what lies in a query is found by equality with the query's pieces."""
+    clean = lambda c: F.regexp_replace(F.btrim(F.lower(c), F.lit("-")), "[()/]", "")
+    groups = D.inference(spark, table).select("place", "value", "note", clean(F.col("ek")).alias("known"))
+    asked = queries.select("ek", clean(F.col("ek")).alias("asked")).distinct()
+    longest = groups.agg(F.max(F.length("known"))).first()[0]  # of a table of a few rows
+    n = F.length("asked")
+    inside = lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(longest), n - i + 1)), lambda k: F.substring("asked", i, k))
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), inside)))
+    held = asked.withColumn("known", F.explode(parts)).join(F.broadcast(groups), "known")
+    hit = holders(asked, groups).select("ek", "place", "value", "note").unionByName(held.select("ek", "place", "value", "note"))
+    best = hit.groupBy("ek").agg(F.min_by("value", "place").alias("value"), F.min_by("note", "place").alias("note"))
+    return asked.select("ek").distinct().join(best, "ek", "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import knowledge as K
 from ..sources import derivations as D
-from .base import values
+from .base import SQL_LOWER, lowered, values
 
 ASKED = ["-lIk", "-çI", "-sIz", "-(D)Ir-", "-zzz", "-mAcA", "-leyIn"]
 
@@ -70,7 +72,27 @@ def kb_coverage(spark, sf_dir):
     return K.coverage(spark, (5, 20))
 
 
-QUERIES = {f.__name__: f for f in (kb_search, kb_code, kb_filter, kb_topn, kb_type_dist, kb_voice, kb_upos, kb_deprel, kb_missing, kb_series, kb_json, kb_statistics, kb_rules, kb_coverage)}
+def kb_word_search(spark, sf_dir):
+    """For each word of the documents the suffixes whose text holds it."""
+    return K.search_words(spark, lowered(spark, sf_dir))
+
+
+def _endings(spark, sf_dir):
+    """The endings of two to five letters of the documents' words."""
+    words = lowered(spark, sf_dir).filter("length(word) >= 4")
+    return words.select(F.explode(F.array(*[F.right("word", F.lit(k)) for k in range(2, 6)])).alias("ek")).distinct()
+
+
+def kb_word_upos(spark, sf_dir):
+    """The part of speech that each ending of the documents' words hints at."""
+    return K.infer_many(spark, _endings(spark, sf_dir))
+
+
+def kb_word_deprel(spark, sf_dir):
+    return K.infer_many(spark, _endings(spark, sf_dir), D.DEPREL)
+
+
+QUERIES = {f.__name__: f for f in (kb_search, kb_code, kb_filter, kb_topn, kb_type_dist, kb_voice, kb_upos, kb_deprel, kb_missing, kb_series, kb_json, kb_statistics, kb_rules, kb_coverage, kb_word_search, kb_word_upos, kb_word_deprel)}
 
 _E = f"e(place, kod, ek, taban, turev, sayi, ornekler, tur, aciklama) AS (VALUES {values(D.rows(D.SUFFIXES, (4,)))})"
 _COLS = "kod, ek, taban, turev, CAST(sayi AS INTEGER) AS sayi, ornekler, tur, aciklama"
@@ -105,3 +127,21 @@ ORACLES = {
     "kb_coverage": f"WITH {_E}, r AS (SELECT sayi, row_number() OVER (ORDER BY e.sayi DESC, place) AS k FROM e) SELECT CAST(n AS INTEGER) AS n, round(CAST(sum(sayi) FILTER (WHERE k <= n) AS DOUBLE) * 100 / {D.ENTRIES}, 1) AS covered, CAST(sum(sayi) FILTER (WHERE k > n) AS BIGINT) AS rest FROM r, (VALUES (5), (20)) AS t(n) GROUP BY n",
     "kb_series": f"WITH {_E} SELECT left(kod, 1) AS seri, count(*) AS adet, CAST(sum(sayi) AS BIGINT) AS toplam, array_to_string(list(ek ORDER BY place)[1:5], ', ') || CASE WHEN count(*) > 5 THEN ' ... (+' || (count(*) - 5) || ')' ELSE '' END AS ekler FROM e GROUP BY 1",
 }
+
+
+def _infer_words(table) -> str:
+    flat = [(k, *x) for k, x in enumerate((v, note, ek) for v, note, eks in table for ek in eks)]
+    clean = "regexp_replace(trim(lower({}), '-'), '[()/]', '', 'g')"
+    return (
+        f"WITH {SQL_LOWER}, q AS (SELECT DISTINCT right(word, k) AS ek FROM low, unnest(range(2, 6)) AS u(k) WHERE length(word) >= 4), g0(place, value, note, ek) AS (VALUES {values(flat)}), "
+        f"g AS (SELECT place, value, note, {clean.format('ek')} AS known FROM g0), a AS (SELECT ek, {clean.format('ek')} AS asked FROM q), h AS (SELECT a.ek, place, value, note FROM a JOIN g ON contains(known, asked) OR contains(asked, known)), "
+        "b AS (SELECT ek, arg_min(value, place) AS value, arg_min(note, place) AS note FROM h GROUP BY ek) SELECT q.ek, value, note FROM q LEFT JOIN b ON b.ek = q.ek"
+    )
+
+
+_HELD = " OR ".join(f"contains({_FOLD.format(c)}, {_FOLD.format('low.word')})" for c in ("ek", "ornekler", "aciklama"))
+ORACLES |= {
+    "kb_word_search": f"WITH {_E}, {SQL_LOWER}, h AS (SELECT low.word, place, kod FROM low JOIN e ON upper(low.word) = kod OR {_HELD}) SELECT word, count(*) AS n, arg_min(kod, place) AS kod FROM h GROUP BY word",
+    "kb_word_upos": _infer_words(D.UPOS),
+    "kb_word_deprel": _infer_words(D.DEPREL),
+}

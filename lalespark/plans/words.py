@@ -93,7 +93,25 @@ def stem_frequency(spark, sf_dir):
     return counted.join(analyze_top1(spark, sf_dir).select("word", "stem"), "word").groupBy("stem").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("words"))
 
 
-QUERIES |= {f.__name__: f for f in (dict_words, dict_contains, dict_verbs, find_root, find_root_narrowing, suffix_match_strict, suffix_match_relaxed, suffix_match_known_strict, suffix_match_known_relaxed, analyze_all, analyze_heuristic, analyze_top1, stem_frequency)}
+def _read_words(spark, sf_dir):
+    return search.analyze(distinct_words(spark, sf_dir), dictionary(spark, sf_dir)).filter("rank = 1")
+
+
+def suffix_usage(spark, sf_dir):
+    """How many words of the documents take each suffix of the table, by form and label as read in context of the word."""
+    used = _read_words(spark, sf_dir).select(F.inline("suffixes")).groupBy("form", "label").agg(F.count(F.lit(1)).alias("n"))
+    table_ = suffixes.table(spark).select("form", F.col("label").alias("listed"))
+    return table_.join(used, "form", "full").select("form", "listed", "label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def fsm_words(spark, sf_dir):
+    """The label sequences of the words' best analyses, and whether the automaton accepts them as they are read."""
+    labels = F.reverse(F.transform("suffixes", lambda s: s["label"]))
+    rows = _read_words(spark, sf_dir).select(F.array_join(labels, "+").alias("labels"), suffixes.is_valid_sequence(labels).alias("valid"))
+    return rows.groupBy("labels", "valid").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES |= {f.__name__: f for f in (suffix_usage, fsm_words, dict_words, dict_contains, dict_verbs, find_root, find_root_narrowing, suffix_match_strict, suffix_match_relaxed, suffix_match_known_strict, suffix_match_known_relaxed, analyze_all, analyze_heuristic, analyze_top1, stem_frequency)}
 
 _DICT = (
     f"{SQL_LOWER}, tok AS (SELECT lower(translate(unnest(regexp_extract_all(text, '{TOKEN}')), 'İI', 'iı')) AS word FROM documents), "
@@ -153,3 +171,10 @@ ORACLES |= {
     "analyze_heuristic": f"{analyses(_NO_DICT, _probes, False)} SELECT word, rank, stem, root, lemma, suffixes FROM out",
     "stem_frequency": f"{_ALL}, n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS word FROM documents) GROUP BY word) SELECT stem, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS words FROM out JOIN n USING (word) WHERE rank = 1 GROUP BY stem",
 }
+
+_BY_LABEL = "MAP {" + ", ".join(f"'{x}': [" + ", ".join(f"{{'fr': {suffixes.FROM[s]}, 'bit': {suffixes.BIT[s]}}}" for s in slots) + "]" for x, slots in suffixes.SLOTS_OF.items()) + "}"
+_MOVE = f"struct_pack(s := CASE WHEN {_BY_LABEL}[y.l] IS NULL THEN x.s ELSE CAST(list_sum(list_transform({_BY_LABEL}[y.l], lambda m: CASE WHEN x.s & m.fr <> 0 THEN m.bit ELSE 0 END)) AS INTEGER) END, l := CAST(NULL AS VARCHAR))"
+ORACLES |= {
+    "suffix_usage": f"{_ALL}, used AS (SELECT f AS form, l AS label, count(*) AS n FROM (SELECT unnest(fs) AS f, unnest(ls) AS l FROM out WHERE rank = 1) GROUP BY ALL) SELECT coalesce(forms.form, used.form) AS form, forms.label AS listed, used.label, coalesce(n, 0) AS n FROM forms FULL JOIN used ON used.form = forms.form",
+    "fsm_words": f"{_ALL} SELECT array_to_string(list_reverse(ls), '+') AS labels, list_reduce(list_transform(list_reverse(ls), lambda z: struct_pack(s := {suffixes.START}, l := z)), lambda x, y: {_MOVE}, struct_pack(s := {suffixes.START}, l := CAST(NULL AS VARCHAR))).s <> 0 AS valid, count(*) AS n FROM out WHERE rank = 1 GROUP BY ALL",
+}
