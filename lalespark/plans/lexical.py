@@ -15,6 +15,7 @@ from . import rules as R
 from .base import DICTIONARY, SQL_VOWELS, lowered, values
 from .evaluation import _GOLD, gold
 from .scalar import _LINE
+from .sentence import _CHOSEN as CHOSEN
 from .words import _ALL, _DICT, dictionary
 
 QUERIES, ORACLES = {}, {}
@@ -235,3 +236,21 @@ _OF = "b || array_to_string(list_transform({}, lambda x: '{}' || {}), '')"
 ORACLES["gloss"] = f"{_READ} SELECT word, {_OF.format('ls', '+', _TAG)} AS tagged, {_OF.format('fs', '-', 'x')} AS segmented, {_OF.format('ls', '-', f'upper({_TAG})')} AS gloss FROM g"
 _AT = "coalesce(any_value(t) FILTER (WHERE rank = {}), '—') AS candidate_{}"
 ORACLES["ambiguity"] = f"{_ALL}, g AS (SELECT word, rank, coalesce(root, stem) AS b, ls FROM out), k AS (SELECT word, rank, {_OF.format('ls', '+', _TAG)} AS t FROM g) SELECT word, {', '.join(_AT.format(k, k) for k in (1, 2, 3))} FROM k GROUP BY word"
+
+_BODY_OF = (
+    "'  Kök    : ' || b || CASE WHEN lemma IS NOT NULL AND lemma <> b THEN chr(10) || '  Lemma  : ' || lemma ELSE '' END || chr(10) || '  Ekler  : ' "
+    "|| CASE WHEN len(ls) > 0 THEN array_to_string(list_transform(range(1, len(ls) + 1), lambda j: '-' || fs[j] || ' (' || ls[j] || ')'), ' + ') ELSE '(ek bulunamadı)' END "
+    "|| chr(10) || '  Ayrım  : ' || array_to_string(list_concat([stem], fs), ' + ')"
+)
+ORACLES["word_reports"] = (
+    f"{_ALL}, k AS (SELECT word, rank, {_BODY_OF} AS body FROM (SELECT *, coalesce(root, stem) AS b FROM out)), "
+    f"g AS (SELECT word, count(*) AS n, any_value(body) AS one, string_agg('  ── Çözümleme ' || rank || ' {'─' * 30}' || chr(10) || body || chr(10), chr(10) ORDER BY rank) AS many, {SQL_VOWELS.format(w='word')} AS v FROM k GROUP BY word) "
+    "SELECT word, '  Sözcük : ' || word || chr(10) || CASE WHEN n = 1 THEN one || chr(10) ELSE '  ⚠ ' || n || ' olası çözümleme (doğru olan bağlama göre belirlenir)' || chr(10) || chr(10) || many || chr(10) END "
+    f"|| '  Uyum   :' || chr(10) || {_HARMONY} || chr(10) AS report FROM g"
+)
+#: Lines of five words, each as wide as the longer of its two texts.
+ORACLES["interlinear"] = (
+    f"{CHOSEN}, l AS (SELECT sent_id, w.id, CAST((w.id - 1) // 5 AS INTEGER) AS chunk, {_OF.format('fs', '-', 'x')} AS seg, {_OF.format('ls', '-', f'upper({_TAG})')} AS g "
+    "FROM (SELECT w.*, fs, ls, coalesce(root, o.stem) AS b FROM walk w JOIN out o ON o.word = w.form AND o.rank = w.c + 1 WHERE w.id > 0) w), p AS (SELECT *, CAST(greatest(length(seg), length(g)) + 1 AS INTEGER) AS n FROM l) "
+    "SELECT sent_id, chunk, string_agg(rpad(seg, n, ' '), '' ORDER BY id) AS segments, string_agg(rpad(g, n, ' '), '' ORDER BY id) AS glosses FROM p GROUP BY ALL"
+)
