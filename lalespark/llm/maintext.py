@@ -7,7 +7,7 @@ else the deepest element that holds nearly all; a block in it makes part of the
 only short nodes between content stay: headings that content follows, and list items, table cells and the like beside content,
 or near it by ratios smoothed along the page; not what is mostly links, nor what has a wrapper of its own. Elements that are
 hidden (by the attribute or display:none) or boilerplate by tag never count, nor those with a class, id or role that is one
-of WORDS as a whole, unless they hold <main>, or all articles and no small part of the page, or nearly all content.
+of WORDS or begins or ends with one (comment-list, siteFooter), unless they hold <main>, or all articles and no small part of the page, or nearly all content.
 
 Null or empty html, and pages without text, give an empty string. Extra columns are ignored; repeated rows repeat.
 """
@@ -49,12 +49,29 @@ WORDS = frozenset(
     "disqus footer footnav gdpr header hidden legal login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination paywall popup "
     "promo promoted promotion related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe syndication toolbar widget".split()
 )
+#: Of these only whole names count: parts of names that are as common on an article's own elements.
+WHOLE_ONLY = frozenset("header hidden search legal".split())
+#: Parts that turn a name into its opposite or into a remark about the page.
+NEGATIONS = frozenset("no not non without with has is hide show after before".split())
+_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _BLANK = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+@lru_cache(maxsize=20_000)
+def like_boilerplate(names: str) -> bool:
+    """Whether a class, id or role is one of WORDS, or a compound that begins or ends with one, as comment-list or siteFooter."""
+    for name in names.split():
+        if name.lower() in WORDS:
+            return True
+        parts = [x.lower() for x in _PARTS.findall(name)]
+        if len(parts) > 1 and NEGATIONS.isdisjoint(parts) and not {parts[0], parts[-1]}.isdisjoint(WORDS - WHOLE_ONLY):
+            return True
+    return False
+
+
 def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
     """Whether an element is hidden, and whether it is named like boilerplate."""
     hidden = named = False
@@ -66,7 +83,7 @@ def _signs(tag: str, attributes: str) -> tuple[bool, bool]:
             elif name == "style":
                 hidden = hidden or _NONE.search(value) is not None
             elif name in ("class", "id", "role"):
-                named = named or not WORDS.isdisjoint(value.lower().split())
+                named = named or like_boilerplate(value)
     return hidden, named and tag not in ("main", "article")
 
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from lalespark.llm import negatives, pointintime, suffixarray, suffixdedup
+from lalespark.llm import maintext, negatives, pointintime, suffixarray, suffixdedup
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------------
 
@@ -257,3 +257,25 @@ def test_negatives_prune(monkeypatch):
     for i in (0, 77, 3999):
         want = sorted((-int(v), k) for k, v in enumerate(full[i]))[:5]
         assert sorted(zip((-s[t == i]).tolist(), d[t == i].tolist())) == want
+
+
+# --- main text: compound names ---------------------------------------------------------------------------------------------
+
+PROSE = "The council met on Monday, and it spoke at length about the bridge; nobody, it seems, had asked the people who cross it every day."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><article>{}<div class="comment-list"><div class="comment-body"><p>I like this, and I have read it twice, really.</p></div></div></article></body>',
+        '<body><div>{}</div><div class="comments-area"><p>I disagree, as I always do; but well written, thank you.</p></div></body>',
+        '<body><article>{}</article><div class="ad-slot"><p>Buy our amazing shoes, now cheaper, and faster, than ever before!</p></div></body>',
+        '<body><article>{}<div id="siteFooter"><p>All rights reserved, of course, in all countries.</p></div></article></body>',
+        '<body><div class="post no-sidebar">{}</div><div class="cookieNotice"><p>We use cookies, as everybody does, to please you.</p></div></body>',
+        '<body><div class="post has-comments"><div class="entry-header">{}</div></div><div class="newsletter_signup"><p>Get the news, every day, by mail.</p></div></body>',
+        '<body><div class="post category-social">{}</div><div class="related-posts"><p>Other bridges, other towns, other stories.</p></div></body>',
+    ],
+)
+def test_maintext_compound_names(page):
+    inner = f"<h1>The bridge</h1><p>{PROSE}</p><p>{PROSE}</p>"
+    assert maintext.main_text(page.format(inner)) == f"The bridge {PROSE} {PROSE}"
