@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import token_rows
-from ..operators import annotate as A
 from ..operators import relations as R
 from ..operators import syntax as S
 from ..operators import wordclasses as C
