@@ -30,7 +30,8 @@ from .common import HOT_KEYS, groups, id_back, keyed, met, removed, slices, trim
 from .suffixarray import permuted_common, suffix_array
 
 WIDTH, GRAM = 50, 24
-#: Segments of an anchor that one task holds at most, rows and bytes that a task sorts at once, sampled documents.
+#: Segments of an anchor that one task holds at most, rows and bytes that a task sorts at once (some 80 bytes of arrays for
+#: each), sampled documents.
 LARGE, ROWS, SHARD, SAMPLE = 100_000, 200_000, 3 << 20, 10_000
 #: Anchors that are grouped at once, and about as many a part gets.
 FLUSH = 1_500_000
