@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import glosses as G
 from ..operators import annotate as A
 from ..operators import evaluation as E
-from ..operators import suffixes, tables
+from ..operators import suffixes, tables, wordtests
 from ..operators import wordclasses as C
 from ..operators.search import analyze
 from ..sources import conllu
@@ -77,7 +77,7 @@ def word_tests(spark, sf_dir):
     derived adjective. Over the words of documents and over Turkish roots with endings."""
     roots, ends = (spark.createDataFrame([(x,) for x in own], f"{c} string") for own, c in ((_ROOTS, "r"), (_ENDINGS, "e")))
     made = roots.join(F.broadcast(ends), F.lit(True)).select(F.concat("r", "e").alias("word"))
-    return A.word_tests(lowered(spark, sf_dir).unionByName(made), dictionary(spark, sf_dir))
+    return wordtests.word_tests(lowered(spark, sf_dir).unionByName(made), dictionary(spark, sf_dir))
 
 
 _W = {k: C.words(v) for k, v in vars(C).items() if isinstance(v, str) and k.isupper()}
