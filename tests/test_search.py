@@ -39,7 +39,7 @@ def read(words, upos=None, most=5, known=None, **other):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [5, 1, 2])
+@pytest.mark.parametrize("most", [5, 2])
 def test_search_with_dictionary(spark, dictionary, asked, most):
     known = [r["word"] for r in dictionary.collect()]
     df = spark.createDataFrame([(w,) for w in asked], "word string").repartition(4)
