@@ -14,9 +14,10 @@ Words are runs of ASCII letters, digits and any non-ASCII characters, A-Z in low
 nothing is found; items without words are left out. Items of null id can't be named in a result and are left out of it, but
 the pipeline's stage searches for them like for others. Items are indexed in shards of SHARD items, so a broadcast is
 bounded, one shard after the other, by statistics of all items, so shares don't depend on shards;
-items longer than LONGEST words are cut into parts, which are retrieved like items; where one is, question and answer of the
-whole item are verified against all of the document, and the score is that of the best part. Repeated rows give repeated
-results; extra columns are ignored.
+items longer than LONGEST words are cut into parts, which are retrieved like items. Where one is, question and answer of the
+whole item are verified in its passage and as many words before and after it as the item has before and after the part: the
+same rule as for a short item, which is its only part. The score is that of the best part. Repeated rows give repeated results;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +111,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], stats: Stats | None = None):
         self.items, lists = [], []
-        self.whole: dict[int, tuple[int, list[bytes], list[bytes]]] = {}  # by part: number, question and answer of its long item
+        #: By part of a long item: the item's number, question and answer, and its words before and after the part.
+        self.whole: dict[int, tuple[int, list[bytes], list[bytes], int, int]] = {}
         longs = 0
         for item, text in items:
             tokens, hashes = words(text)
@@ -119,7 +121,7 @@ class Index:
                 whole = (longs, words(q)[0], words(a)[0])
                 longs += 1
                 for lo, hi in cuts(len(tokens)):
-                    self.whole[len(self.items)] = whole
+                    self.whole[len(self.items)] = (*whole, lo, len(tokens) - hi)
                     self.items.append((item, tokens[lo:hi], []))
                     lists.append(terms_of(hashes[lo:hi]))
             elif tokens:
@@ -275,7 +277,10 @@ def _scan(shared, least: float, overlap: float):
                 if alone is not None:
                     total = np.append(0.0, np.cumsum(index.rare[alone]))
                     bound += total[last] - total[first]
-                parted: dict = {}  # by document and long item: a part found in it, with the best score
+                edges = np.searchsorted(doc, np.arange(len(offsets)))
+                # By document, long item and where the item would start, within a stride: first and last word of the part's
+                # passage with the rest of the item around it, and the best part. A copy's parts agree on where it starts.
+                parted: dict = {}
                 could = np.flatnonzero(bound >= least - 1e-6)
                 for p in could.tolist():
                     s, e = int(first[p]), int(last[p])
@@ -290,20 +295,21 @@ def _scan(shared, least: float, overlap: float):
                     passage = [raw[x - start[s] : y - start[s]] for x, y in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True)]
                     for item, score in hits:
                         if item in index.whole:
-                            key = int(doc[s]), index.whole[item][0]
-                            parted[key] = max(parted.get(key, (0.0, 0)), (score, item))
+                            number, _, _, before, after = index.whole[item]
+                            key = int(doc[s]), number, (s - before) // stride
+                            lo_, hi_, part = parted.get(key, (s, e, (0.0, 0)))
+                            parted[key] = min(lo_, s - before), max(hi_, e + after), max(part, (score, item))
                         elif got := index.verify(item, passage, overlap):
                             rows.append((int(ids[lo + doc[s]]), lo + int(doc[s]), index.items[item][0], score, *got))
-                for d in sorted({d for d, _ in parted}):
-                    s, e = np.searchsorted(doc, [d, d + 1]).tolist()
+                for (d, _, _), (s, e, (score, item)) in sorted(parted.items()):
+                    s, e = max(s, int(edges[d])), min(e, int(edges[d + 1]))
                     raw = data[start[s] : end[e - 1]].tobytes().lower()
                     text = [raw[x - start[s] : y - start[s]] for x, y in zip(start[s:e].tolist(), end[s:e].tolist(), strict=True)]
-                    for score, item in [v for k, v in parted.items() if k[0] == d]:
-                        if got := _overlaps(*index.whole[item][1:], text, overlap):
-                            rows.append((int(ids[lo + d]), lo + d, index.items[item][0], score, *got))
+                    if got := _overlaps(*index.whole[item][1:3], text, overlap):
+                        rows.append((int(ids[lo + d]), lo + d, index.items[item][0], score, *got))
             best: dict = {}
             for d, row, item, score, q, a in rows:
-                if (row, item) not in best or best[row, item][2] < score:
+                if (row, item) not in best or best[row, item][2:] < (score, q, a):
                     best[row, item] = (d, item, score, q, a)
             cols = list(zip(*best.values(), strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]

@@ -368,6 +368,22 @@ def test_decontaminate_long(spark):
     assert [(r["doc_id"], r["item_id"], r["question_overlap"], r["answer_overlap"]) for r in out] == [(1, 1, 1.0, 1.0)]
 
 
+@pytest.mark.parametrize("n", [250, 256, 257, 300, 900])
+def test_decontaminate_one_rule(spark, n):
+    """An item of any length counts where its words lie together, with some changed, not where its pieces are scattered."""
+    r = random.Random(n)
+    own = words(r, n, 10**6).split()
+    edited = [w if k % 40 else "changed" for k, w in enumerate(own)]
+    far = lambda: words(r, 4000, 10**5)
+    size = n // 3
+    cut = [" ".join(own[k : k + size]) for k in range(0, n, size)]
+    texts = [f"{far()} {' '.join(own)} {far()}", f"{far()} {' '.join(edited)}", f" {far()} ".join(cut), f"{' '.join(edited)} {far()} {' '.join(own)}", " ".join(own[: n // 2])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")).collect()
+    have = {x["doc_id"]: x["question_overlap"] for x in out}
+    assert set(have) == {0, 1, 3} and have[0] == have[3] == 1.0 and 0.8 <= have[1] < 1 and len(out) == 3
+
+
 def test_decontaminate_shards(spark, monkeypatch):
     """Results, scores included, don't depend on the number of shards."""
     r = random.Random(14)
