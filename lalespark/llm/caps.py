@@ -7,6 +7,11 @@ the score, so none is left without. The books get as large as n allows while ran
 filter in GOAL of the cases, which is measured for each dimension and n; at worst all vectors share one filter. Vectors that
 share a filter are compared exactly, in double precision, and a pair counts at its smallest shared filter only.
 
+Vectors often have a common direction, which would send most of them to the same filters. So for decoding only, the mean may
+be subtracted: it is fitted on a sample of about SAMPLE vectors of each dimension. On pairs made from this sample (a vector turned
+to the least cosine, towards another one or anywhere) the books are fitted once more, with and without the mean, and the
+way with fewest expected pair checks is taken; where filters would cost more than all pairs once, all vectors share one filter.
+
 Equal vectors are collapsed first, by an aggregation; links are found between classes, with multiplicity. A filter of more
 than MOST_GROUP vectors is cut into tiles that meet pairwise. Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths don't either. A null id sorts first. Extra columns are ignored.
@@ -21,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, changes, groups, id_back, removed, tiled, written
+from .common import NULL_ID, changes, groups, id_back, met, removed, tiled, written
 from .components import connected_components, local_labels
 
 LEAST, BLOCKS, FILTERS, BUCKET, SEED = 0.9, 2, 40, 150, 5
 MOST_GROUP = 1500
 #: The share of pairs at the least cosine that have to share a filter, and the pairs it is measured on.
 GOAL, PAIRS = 0.97, 1000
+#: Expected number of vectors of each dimension that the mean and the costs are fitted on.
+SAMPLE = 2048
 
 
 def codebook(dim: int, words: int) -> list[np.ndarray]:
@@ -60,21 +67,35 @@ def decode(x: np.ndarray, book: list[np.ndarray], filters: int = FILTERS) -> np.
     return np.sort(np.take_along_axis(first[:, i] * words + second[:, j], best, 1), axis=1)
 
 
+def turned(x: np.ndarray, to: np.ndarray, least: float) -> np.ndarray:
+    """Unit vectors at cosine `least` to the unit vectors x, towards the rows of `to`."""
+    to = to - (x * to).sum(axis=1, keepdims=True) * x
+    norm = np.linalg.norm(to, axis=1, keepdims=True)
+    return least * x + math.sqrt(max(0.0, 1 - least * least)) * to / np.where(norm > 0, norm, 1)
+
+
+def sharing(x: np.ndarray, y: np.ndarray, book: list[np.ndarray]) -> float:
+    """The share of pairs (x[i], y[i]) that share a filter."""
+    shared = 0
+    for lo in range(0, len(x), 200):
+        both = np.sort(np.concatenate([decode(x[lo : lo + 200], book), decode(y[lo : lo + 200], book)], axis=1), axis=1)
+        shared += int((both[:, 1:] == both[:, :-1]).any(axis=1).sum())
+    return shared / len(x)
+
+
 def recall(dim: int, words: int, least: float) -> float:
     """The share of random pairs at cosine `least` that share a filter."""
     if dim == 1:
         return 1.0
-    r = np.random.default_rng([SEED, dim, BLOCKS])
-    x, y = r.standard_normal((2, PAIRS, dim))
+    x, y = np.random.default_rng([SEED, dim, BLOCKS]).standard_normal((2, PAIRS, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y -= (x * y).sum(axis=1, keepdims=True) * x
-    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    book = codebook(dim, words)
-    shared = 0
-    for lo in range(0, PAIRS, 200):
-        both = np.sort(np.concatenate([decode(x[lo : lo + 200], book), decode(y[lo : lo + 200], book)], axis=1), axis=1)
-        shared += int((both[:, 1:] == both[:, :-1]).any(axis=1).sum())
-    return shared / PAIRS
+    return sharing(x, turned(x, y, least), codebook(dim, words))
+
+
+def load(x: np.ndarray, book: list[np.ndarray]) -> float:
+    """Pair checks that filters of vectors like x cost, as a multiple of all pairs."""
+    held = np.unique(np.concatenate([decode(x[lo : lo + 500], book).ravel() for lo in range(0, len(x), 500)]), return_counts=True)[1]
+    return float((held * (held - 1.0)).sum() / (len(x) * (len(x) - 1.0)))
 
 
 def plan(n: int, dim: int, least: float = LEAST) -> int:
@@ -90,6 +111,48 @@ def plan(n: int, dim: int, least: float = LEAST) -> int:
     return words
 
 
+def fitted(n: int, dim: int, sample: np.ndarray, least: float = LEAST) -> tuple[int, np.ndarray]:
+    """Directions a book, and what is subtracted before decoding, for n vectors like the unit vectors of the sample."""
+    none, most = np.zeros(dim), plan(n, dim, least)
+    if most == 1 or dim == 1 or len(sample) < 2:
+        return most, none
+    r = np.random.default_rng([SEED, dim, BLOCKS, 1])
+    x = sample[r.permutation(len(sample))]
+    first = x[:PAIRS]
+    ends = [turned(first, to, least) for to in (np.roll(x, 1, axis=0)[:PAIRS], r.standard_normal(first.shape))]
+    best = (1.0, 1, none)
+    for shift in (none, sample.mean(axis=0)):
+        words = most
+        while words > 1:
+            book = codebook(dim, words)
+            cost = load(x - shift, book)
+            if cost >= best[0]:
+                break  # smaller books only cost more
+            if min(sharing(first - shift, end - shift, book) for end in ends) >= GOAL:
+                best = (cost, words, shift)
+                break
+            words = words * 4 // 5
+    return best[1], best[2]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def sampled(distinct: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """About SAMPLE unit vectors of each dimension, chosen by a hash of the vector; none where one filter holds all."""
+    share = {dim: min(1.0, SAMPLE / n) for dim, n in sizes.items() if n > BUCKET}
+    if not share:
+        return {}
+    shares = distinct.sparkSession.createDataFrame(list(share.items()), "dim int, share double")
+    drawn = distinct.select("v", F.size("v").alias("dim"), F.xxhash64("v", F.lit(31)).alias("h")).join(F.broadcast(shares), "dim")
+    got = drawn.filter(F.col("h").cast("double") / F.lit(2.0**64) + 0.5 < F.col("share")).select("dim", "h", "v").toArrow().sort_by([("dim", "ascending"), ("h", "ascending")])
+    dims = got.column("dim").to_numpy()
+    at = {dim: np.flatnonzero(dims == dim) for dim in share}
+    return {dim: unit(_matrix(got.slice(int(k[0]), len(k)), "v").astype(np.float64)) for dim, k in at.items() if len(k)}
+
+
 def valid(col: str):
     """Not null, no null or non-finite component, not zero."""
     v = F.col(col)
@@ -97,7 +160,7 @@ def valid(col: str):
     return F.coalesce(good & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _filters(plans: dict[int, int]):
+def _filters(plans: dict[int, tuple[int, np.ndarray]]):
     def run(batches):
         books: dict[int, list[np.ndarray]] = {}
         for b in batches:
@@ -108,11 +171,9 @@ def _filters(plans: dict[int, int]):
                 for dim in np.unique(lengths).tolist():
                     at = np.flatnonzero(lengths == dim)
                     if dim not in books:
-                        books[dim] = codebook(dim, plans[dim])
-                    x = np.array([vectors[i] for i in at], dtype=np.float64)
-                    x /= np.abs(x).max(axis=1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    lists = list(decode(x, books[dim]))
+                        books[dim] = codebook(dim, plans[dim][0])
+                    x = unit(np.array([vectors[i] for i in at], dtype=np.float64))
+                    lists = list(decode(x - plans[dim][1], books[dim]))
                     take = part.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([take.column("rep"), take.column("n"), take.column("v"), pa.array(np.full(len(at), dim), pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "n", "v", "dim", "codes"])
 
@@ -162,9 +223,7 @@ def _verify(least: float):
                 if hi - lo < 2:
                     continue
                 part = t.slice(lo, hi - lo)
-                x = _matrix(part, "v").astype(np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(_matrix(part, "v").astype(np.float64))
                 found = []
                 for k in range(0, len(x), 512):
                     i, j = np.nonzero(x[k : k + 512] @ x.T >= least)
@@ -195,8 +254,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("d"), F.when(valid("embedding"), F.col("embedding")).alias("v"))
     good = rows.filter(F.col("v").isNotNull())
     distinct = written(good.groupBy("v").agg(F.min("d").alias("rep"), F.count(F.lit(1)).alias("n")), "caps-distinct")
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plans = {dim: plan(n, dim, least) for dim, n in sizes.items()}
+    counts = distinct.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows")).collect()
+    sizes, total = {r["dim"]: r["n"] for r in counts}, sum(r["rows"] for r in counts)
+    samples = sampled(distinct, sizes)
+    plans = {dim: fitted(n, dim, samples.get(dim, np.zeros((0, dim))), least) for dim, n in sizes.items()}
     item = vectors.schema["embedding"].dataType.elementType.simpleString()
     coded = distinct.select("rep", "n", "v").mapInArrow(_filters(plans), f"rep long, n long, v array<{item}>, dim int, codes array<int>")
     coded = written(coded, "caps-coded")
@@ -209,6 +270,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = distinct.join(linked, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.join(classes, "v", "left").withColumn("component", F.coalesce("component", "d"))
-    return out.select(id_back().alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), id_back("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))
+    classes = written(classes.select("v", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "caps-classes")
+    for done in (distinct, found):
+        removed(vectors.sparkSession, done)
+    out = met(rows.filter(F.col("v").isNotNull()), classes, ["v"], "n", total).select("d", "n_links", "component")
+    out = out.unionByName(rows.filter(F.col("v").isNull()).select("d", F.lit(0).alias("n_links"), F.col("d").alias("component")))
+    return out.select(id_back().alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), id_back("component").alias("component_id"), (F.col("d") == F.col("component")).alias("kept"))

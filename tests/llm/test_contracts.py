@@ -370,6 +370,21 @@ def test_substring_copies(spark, monkeypatch, hot):
     assert {(x["d"], text[x["t1"], x["t2"]]) for x in substring.copies(keys).collect()} == want
 
 
+def test_warc_hot_payload(spark):
+    """One payload on most pages, of null and repeated ids too."""
+    hot = "<html>" + "not found " * 30
+    rows = [(k, f"u{k}", hot if k % 3 else f"{hot}{k % 30}") for k in range(3000)] + [(None, None, hot), (7, "u7", hot), (5000, "x", "short")]
+    want, first = Counter(), {}
+    for p, _, html in rows:
+        first[html] = min(first.get(html, 10**9), -1 if p is None else p)
+    for p, _, html in rows:
+        raw, own = html.encode(), -1 if p is None else p
+        old = len(raw) >= 100 and own > first[html]
+        want[p, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if old else "response", None if not old or first[html] < 0 else first[html]] += 1
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert Counter((x["page_id"], x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in out.collect()) == want
+
+
 def test_caps_columns(spark):
     rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (2, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("d", "v", "rep", "n", "code", "dim", "codes", "tile", "component", "label")})
@@ -377,6 +392,41 @@ def test_caps_columns(spark):
     assert out == sorted([(0, 2, None, True), (0, 2, None, True), (1, 2, None, False), (2, 1, 2, True), (2, 1, 2, True)], key=str)
 
 
+def leaning(r, n, dim, mean):
+    """Unit vectors with a common direction: two of them have the cosine `mean` on average."""
+    m = r.standard_normal(dim)
+    x = math.sqrt(mean) * m / np.linalg.norm(m) + math.sqrt((1 - mean) / dim) * r.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.2, 0.5, 0.8])
+def test_caps_load(mean):
+    """A common direction costs no more pair checks than all pairs, and up to 0.5 not more than none does."""
+    r = np.random.default_rng(31)
+    x = leaning(r, 2048, 64, mean)
+    words, shift = caps.fitted(20_000, 64, x)
+    book = caps.codebook(64, words)
+    cost = caps.load(x - shift, book)
+    assert cost <= (0.4 if mean <= 0.5 else 1.0)
+    a = leaning(np.random.default_rng(31), 4096, 64, mean)[2048:]  # other rows of the same kind
+    for to in (np.roll(a, 1, axis=0), r.standard_normal(a.shape)):
+        assert caps.sharing(a[:1000] - shift, caps.turned(a, to, 0.9)[:1000] - shift, book) >= 0.96
+
+
+@pytest.mark.parametrize("mean", [0.5, 0.8])
+def test_caps_leaning(spark, mean):
+    """Against all pairs, on vectors with a common direction, near copies among them."""
+    r = np.random.default_rng(32)
+    x = leaning(r, 1500, 64, mean)
+    x = np.concatenate([x, x[:500] + 0.4 * r.standard_normal((500, 64)) / 8, x[:100]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    have = {r["vec_id"]: r["n_links"] for r in caps.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert len(have) == len(x) and all(have[i] <= want[i] for i in have)
+    assert sum(have.values()) >= 0.97 * want.sum() > 400
+
+
 def test_tables_go(spark):
     df = written(spark.range(10), "gone")
     other = spark.range(3)
