@@ -8,7 +8,8 @@ sizes so that a file holds about FILE_BYTES of them.
 
 The reader takes archives of any origin, of one gzip member or one a record or none: it inflates a file piece by piece and
 holds a record at a time, beside the compressed file. A record that is cut off, or anything else that is no record, is an
-error. Reading joins each revisit to its original response again.
+error. Reading joins each revisit to its original response again. A payload that many pages share is joined by broadcast, so
+its revisits stay spread.
 
 Null html is an empty payload. Payloads below LEAST bytes are always responses. A null id sorts first and is written as
 an empty id. Rows of equal id and payload are told apart by nothing: all that share the smallest id are responses, later ids
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_back, shared_dir
+from .common import NULL_ID, id_back, met, shared_dir, written
 
 LEAST = 100
 #: Payload bytes that an archive file holds, about, and those that the reader inflates at once.
@@ -44,9 +45,10 @@ def headers(pages: DataFrame) -> DataFrame:
 
 def resolved(head: DataFrame, least: int = LEAST) -> DataFrame:
     """(p, digest, refers): pages that revisit another one."""
-    long = head.filter(F.col("payload_bytes") >= least).select("p", "digest")
-    first = long.groupBy("digest").agg(F.min("p").alias("refers"), F.max("p").alias("last")).filter("last > refers").drop("last")
-    return long.join(first, "digest").filter("p > refers").select("p", "digest", "refers").distinct()
+    long = written(head.filter(F.col("payload_bytes") >= least).select("p", "digest"), "warc-digests")
+    first = long.groupBy("digest").agg(F.min("p").alias("refers"), F.max("p").alias("last"), F.count(F.lit(1)).alias("pages"))
+    first = first.filter("last > refers").drop("last")
+    return met(long, first, ["digest"], "pages", long.count()).filter("p > refers").select("p", "digest", "refers").distinct()
 
 
 def records(head: DataFrame, revisits: DataFrame) -> DataFrame:
@@ -181,11 +183,13 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    got = read(spark, path)
+    got = written(read(spark, path), "warc-records")
     new = got.filter("record_type = 'response'")
     # A response that others refer to: one row for each id and payload.
     origin = new.filter(F.col("body_bytes") >= LEAST).select(F.col("p").alias("refers"), F.col("body_digest").alias("said"), F.col("body_bytes").alias("full")).distinct()
-    old = got.filter("record_type = 'revisit'").join(origin, ["refers", "said"])
+    old = got.filter("record_type = 'revisit'")
+    often = old.groupBy("refers", "said").agg(F.count(F.lit(1)).alias("pages"))
+    old = met(old, origin.join(often, ["refers", "said"]), ["refers", "said"], "pages", old.count())
     rows = new.select("p", F.col("body_bytes").alias("payload_bytes"), F.col("body_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers"))
     rows = rows.unionByName(old.select("p", F.col("full").alias("payload_bytes"), F.col("said").alias("payload_digest"), "record_type", "refers"))
     return rows.select(id_back("p").alias("page_id"), "payload_bytes", "payload_digest", "record_type", id_back("refers").alias("refers_to"))
