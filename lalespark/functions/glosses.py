@@ -87,9 +87,3 @@ def interlinear(words: DataFrame, width: int = 5) -> DataFrame:
     rows = rows.select("sent_id", "chunk", F.struct("id", F.rpad("s", n, " ").alias("s"), F.rpad("g", n, " ").alias("g")).alias("w"))
     own = rows.groupBy("sent_id", "chunk").agg(F.sort_array(F.collect_list("w")).alias("w"))
     return own.select("sent_id", "chunk", F.array_join(F.transform("w", lambda w: w["s"]), "").alias("segments"), F.array_join(F.transform("w", lambda w: w["g"]), "").alias("glosses"))
-
-
-def compared(analyses: DataFrame, expected: DataFrame) -> DataFrame:
-    """(word, predicted, expected, ok) for expected (word, lemma): the best analysis' lemma against it."""
-    best = analyses.filter("rank = 1").select("word", lemma(F.col("lemma"), F.col("root"), F.col("stem")).alias("predicted"))
-    return expected.select("word", F.col("lemma").alias("expected")).join(best, "word", "left").withColumn("ok", F.coalesce(F.col("predicted") == F.col("expected"), F.lit(False)))
