@@ -18,8 +18,9 @@ MISSING = "_MISSING_"
 
 def _peers():
     """Rows of one sentence with the same place. Tokens meet by windows instead of joins on sentence and id: a join would deal
-    the tokens out anew each time, windows keep the partitioning by sentence."""
-    return W.partitionBy("sent_id").orderBy("_at").rangeBetween(W.currentRow, W.currentRow)
+    the tokens out anew each time, windows keep the partitioning by sentence. A place is a part of its own, so what meets there
+    is gathered once, and no sentence is held."""
+    return W.partitionBy("sent_id", "_at")
 
 
 def merge_ranges(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -38,22 +39,63 @@ def strip_punct(tokens: DataFrame) -> DataFrame:
     """Without PUNCT, ids from 1 again; heads that are gone become 0."""
     place = F.row_number().over(W.partitionBy("sent_id").orderBy("id"))
     left = tokens.filter(F.col("upos") != "PUNCT").withColumn("_new", place)
-    # Each token twice: to ask for its head's new id, and to answer with its own.
-    rows = left.withColumn("_ask", F.explode(F.array(F.lit(True), F.lit(False))))
-    rows = rows.withColumn("_at", F.when(F.col("_ask"), F.col("head")).otherwise(F.col("id")))
-    answer = F.when(~F.col("_ask") & F.col("sent_id").isNotNull() & F.col("id").isNotNull(), F.col("_new"))
-    out = rows.withColumn("_heads", F.collect_list(answer).over(_peers())).filter("_ask").withColumn("_head", F.explode_outer("_heads"))
-    return out.withColumn("id", F.col("_new")).withColumn("head", F.coalesce("_head", F.lit(0))).select(*tokens.columns)
+    # Each token twice: to ask for its head's new id, and, without its other columns, to answer with its own.
+    new = F.when(F.col("sent_id").isNotNull() & F.col("id").isNotNull(), F.col("_new"))
+    others = [c for c in tokens.columns if c not in ("sent_id", "id", "head")]
+    none = lambda c: F.lit(None).cast(left.schema[c].dataType).alias(c)
+    ask = F.struct(F.col("head").alias("_at"), F.lit(True).alias("_ask"), F.col("_new").alias("id"), F.lit(None).cast("int").alias("_own"), *others)
+    answer = F.struct(F.col("id").alias("_at"), F.lit(False).alias("_ask"), F.lit(None).cast("int").alias("id"), new.alias("_own"), *map(none, others))
+    rows = left.select("sent_id", F.inline(F.array(ask, answer))).withColumn("_heads", F.collect_list("_own").over(_peers()))
+    out = rows.filter("_ask").withColumn("_head", F.explode_outer("_heads"))
+    return out.withColumn("head", F.coalesce("_head", F.lit(0))).select(*tokens.columns)
+
+
+_PREDICTED = ("form", "upos", "head", "deprel")
+
+
+def prediction(**columns: Column) -> Column:
+    """A token's prediction, for together(); columns that aren't given are the token's own."""
+    return F.struct(*[columns.get(c, F.col(c)).alias(c) for c in _PREDICTED])
+
+
+def together(gold: DataFrame, pred: DataFrame, commas: DataFrame | None = None) -> DataFrame:
+    """Rows of gold (_own), of predictions (_p) and of places after a comma (_comma), which meet by sentence and id (_at)."""
+    known = F.col("sent_id").isNotNull() & F.col("id").isNotNull()
+    rows = gold.withColumns({"_at": F.col("id"), "_own": F.lit(True)})
+    rows = rows.unionByName(pred.select("sent_id", F.col("id").alias("_at"), F.when(known, prediction()).alias("_p")), allowMissingColumns=True)
+    if commas is None:
+        return rows.withColumn("_comma", F.lit(None).cast("boolean"))
+    after = commas.select("sent_id", (F.col("id") + 1).alias("_at"), F.when(F.col("sent_id").isNotNull(), True).alias("_comma"))
+    return rows.unionByName(after, allowMissingColumns=True)
+
+
+def derived(gold: DataFrame, predicted: Column, comma: Column | None = None) -> DataFrame:
+    """What together() gives, where predictions are made from gold's own tokens: `predicted` is a token's prediction() or null,
+    `comma` whether one follows. So gold is made once. Sentences and ids are known."""
+    kept = [c for c in gold.columns if c != "sent_id"]
+    none = {c: F.lit(None).cast(gold.schema[c].dataType) for c in kept}
+    at = lambda k: (F.col("id") + k).alias("_at")
+    p_type = gold.select(prediction()).schema[0].dataType
+    row = lambda cols, place, own, p, c: F.struct(*[x.alias(n) for n, x in cols.items()], place, F.lit(own).cast("boolean").alias("_own"), p.cast(p_type).alias("_p"), F.lit(c).cast("boolean").alias("_comma"))
+    rows = [row({c: F.col(c) for c in kept}, at(0), True, F.lit(None), None), F.when(predicted.isNotNull(), row(none, at(0), None, predicted, None))]
+    if comma is not None:
+        rows.append(F.when(comma, row(none, at(1), None, F.lit(None), True)))
+    return gold.select("sent_id", F.inline(F.array(*rows))).filter("_at is not null")
 
 
 def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """gold tokens with p_upos, p_head, p_deprel and whether head, deprel, both and upos agree."""
-    known = F.col("sent_id").isNotNull() & F.col("id").isNotNull()
-    p = pred.select("sent_id", "id", F.when(known, F.struct("form", "upos", "head", "deprel")).alias("_p"))
-    rows = gold.withColumn("_own", F.lit(True)).unionByName(p, allowMissingColumns=True).withColumn("_at", F.col("id"))
+    return aligned_rows(together(gold, pred))
+
+
+def aligned_rows(rows: DataFrame) -> DataFrame:
+    """aligned() of together()."""
     both = rows.withColumn("_ps", F.collect_list("_p").over(_peers())).filter("_own").withColumn("_p", F.explode_outer("_ps"))
-    others = [c for c in gold.columns if c not in ("sent_id", "id")]
-    both = both.select("sent_id", "id", *others, *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("form", "upos", "head", "deprel")])
+    return _agreeing(both, [c for c in rows.columns if c not in ("sent_id", "id") and not c.startswith("_")])
+
+
+def _agreeing(both: DataFrame, others: list[str]) -> DataFrame:
+    both = both.select("sent_id", "id", *others, *[F.col(f"_p.{c}").alias(f"p_{c}") for c in _PREDICTED])
     same = lambda c: F.coalesce(F.col(c) == F.col(f"p_{c}"), F.lit(False))
     return both.withColumns({"head_ok": same("head"), "deprel_ok": same("deprel"), "las_ok": same("head") & same("deprel"), "upos_ok": same("upos")})
 
@@ -96,14 +138,20 @@ def conjuncts(gold: DataFrame, pred: DataFrame, commas: DataFrame) -> DataFrame:
     conjunct; else neither. joined: a CCONJ stands after the first of the two, up to the second. Only words with a
     prediction count as a CCONJ. commas: (sent_id, id) of tokens that a comma follows.
     """
-    mine = F.when((F.col("upos") == "CCONJ") & F.col("p_deprel").isNotNull(), 1).otherwise(0)
+    return conjunct_rows(together(gold, pred, commas))
+
+
+def conjunct_rows(rows: DataFrame) -> DataFrame:
+    """conjuncts() of together()."""
+    found = F.count(F.col("_p.deprel")).over(_peers())
+    rows = rows.withColumns({"_ps": F.collect_list("_p").over(_peers()), "_found": found, "_comma": F.max("_comma").over(_peers())})
     # How many CCONJ stand up to each token: whether one stands between two is a difference.
-    al = aligned(gold, pred).withColumn("_mine", mine).withColumn("_upto", F.sum("_mine").over(W.partitionBy("sent_id").orderBy("id")))
-    # A conjunct comes twice: to ask for its head, and as all others do to answer. Commas are asked for in between.
-    before = commas.select("sent_id", (F.col("id") + 1).alias("id"), F.col("sent_id").isNotNull().alias("_after_comma"))
-    asks = (F.col("deprel") == "conj") & F.col("p_deprel").isNotNull()
-    rows = al.withColumn("_asks", asks).unionByName(before, allowMissingColumns=True).withColumn("_at", F.col("id"))
-    rows = rows.withColumn("_comma", F.max(F.nullif("_after_comma", F.lit(False))).over(_peers())).filter("_after_comma is null")
+    mine = F.when(F.col("_own") & (F.col("upos") == "CCONJ"), F.col("_found")).otherwise(0)
+    rows = rows.withColumn("_upto", F.sum(mine).over(W.partitionBy("sent_id").orderBy("_at"))).filter("_own").withColumn("_p", F.explode_outer("_ps"))
+    rows = rows.select("sent_id", "id", "form", "upos", "head", "deprel", "_comma", "_upto", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("upos", "deprel")])
+    rows = rows.withColumn("_mine", F.when((F.col("upos") == "CCONJ") & F.col("p_deprel").isNotNull(), 1).otherwise(0))
+    # A conjunct comes twice: to ask for its head, and as all others do to answer.
+    rows = rows.withColumn("_asks", (F.col("deprel") == "conj") & F.col("p_deprel").isNotNull())
     rows = rows.withColumn("_ask", F.explode(F.when(F.col("_asks"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     rows = rows.withColumn("_at", F.when(F.col("_ask"), F.col("head")).otherwise(F.col("id")))
     own = F.struct(*[F.col(c).alias(f"head_{c}") for c in ("form", "upos", "deprel")], F.col("_upto").alias("_head"))

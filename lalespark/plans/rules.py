@@ -43,8 +43,9 @@ def given(spark, sf_dir):
     parts = lambda n: F.when(F.size(n) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / SIZE).cast("int")), lambda k: F.slice(n, k * SIZE + 1, SIZE)))
     lengths = F.transform(tokens(F.col("text")), lambda w: F.length(w))
     # Sentences are dealt out as the lengths of their words, before they become words with labels.
-    sents = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(let(lengths, parts)).alias("s", "own"))
-    sents = dealt(sents.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("s").cast("string")).alias("sent_id"), "s", "own"), "sent_id")
+    docs = table(spark, sf_dir, "documents")
+    sents = docs.select("doc_id", F.posexplode(let(lengths, parts)).alias("s", "own"))
+    sents = dealt(sents.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("s").cast("string")).alias("sent_id"), "s", "own"), "sent_id", docs)
     rows = sents.select("sent_id", "s", F.posexplode("own").alias("k", "n")).withColumn("i", (F.col("s") * SIZE + F.col("k")) % 997)
     pick = lambda names, k: F.get(F.array(*[F.lit(x) for x in names]), F.expr(CHOICE[k]).cast("int"))
     path = lambda own: F.array(*[F.struct(F.lit("x").alias("form"), F.lit(x).alias("label")) for x in own]).cast("array<struct<form:string,label:string>>")
