@@ -34,6 +34,20 @@ def _past():
     return _at().rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _back():
+    """From a sentence's end: what stands ahead is then a running aggregate. A frame up to the end of an ascending order is
+    made anew for each word."""
+    return Window.partitionBy("sent_id").orderBy(F.desc("id"))
+
+
+def _ahead_of(far: int | None = None):
+    return _back().rowsBetween(-far if far else Window.unboundedPreceding, -1)
+
+
+def _next(c) -> Column:
+    return F.lag(c).over(_back())
+
+
 def _in(c: Column, values) -> Column:
     return F.coalesce(c.isin(*sorted(values)), F.lit(False))
 
@@ -50,7 +64,7 @@ def prepared(tokens: DataFrame) -> DataFrame:
     """Tokens with what rules ask of a word by itself; the columns begin with an underscore."""
     form = F.coalesce("form", F.lit(""))
     path = F.coalesce(F.transform("suffixes", lambda s: s["label"]), F.array().cast("array<string>"))
-    out = tokens.withColumns({"_low": lower(form), "_plain": F.lower(form), "_stem": lower(F.coalesce("lemma", F.lit(""))), "_path": path, "_labels": F.flatten(F.transform(path, lambda x: F.split(x, "/")))})
+    out = tokens.withColumns({"_low": lower(form), "_plain": F.lower(form), "_stem": lower(F.coalesce("lemma", F.lit(""))), "_path": path, "_size": F.size(F.coalesce("suffixes", F.array().cast(tokens.schema["suffixes"].dataType))), "_labels": F.flatten(F.transform(path, lambda x: F.split(x, "/")))})
     free = F.coalesce("deprel", F.lit("_")).isin("_", "dep")
     nominal = _in(F.col("upos"), S.NOMINAL)
     predicative = _in(F.col("deprel"), ("root", "advcl", "acl", "ccomp")) | (_in(F.col("deprel"), ("conj",)) & _in(F.col("upos"), ("VERB",)))
@@ -59,7 +73,7 @@ def prepared(tokens: DataFrame) -> DataFrame:
 
 def ahead(wanted: Column, through: Column, far: int | None = None, value: Column | None = None) -> Column:
     """The id (or value) of the first word after this one that is wanted, if all between may be passed through."""
-    w = _at().rowsBetween(1, far or Window.unboundedFollowing)
+    w = _ahead_of(far)
     at = F.struct(F.col("id").alias("id"), (F.col("id") if value is None else value).alias("v"))
     hit, stop = F.min(F.when(wanted, at)).over(w), F.min(F.when(~wanted & ~through, F.col("id"))).over(w)
     return F.when(hit["id"] < F.coalesce(stop, hit["id"] + 1), hit["v"])
@@ -90,7 +104,7 @@ def _rest() -> Column:
 def _predicate(value: str = "id") -> Column:
     """The nearest predicate to the right, or the root; or a column of it."""
     at = F.struct(F.col("id").alias("at"), F.col(value).alias("v"))
-    after = F.min(F.when(F.col("_pred"), at)).over(_at().rowsBetween(1, Window.unboundedFollowing))
+    after = F.min(F.when(F.col("_pred"), at)).over(_ahead_of())
     root = F.min(F.when(F.col("deprel") == "root", at)).over(_all())
     return F.coalesce(after, root)["v"]
 
@@ -202,7 +216,7 @@ def infinitive():
 
 @_rule
 def temporal():
-    return _rest() & _in(F.col("_low"), S._W["TIMES"]) & (F.size("_path") == 0), _predicate(), F.lit("obl"), None
+    return _rest() & _in(F.col("_low"), S._W["TIMES"]) & (F.col("_size") == 0), _predicate(), F.lit("obl"), None
 
 
 @_rule
@@ -221,16 +235,16 @@ def adjective_or_adverb():
 
 @_rule
 def adverb():
-    right = F.when(_in(F.lead("upos").over(_at()), ("ADJ", "ADV")), F.lead("id").over(_at()))
+    right = F.when(_in(_next("upos"), ("ADJ", "ADV")), _next("id"))
     return _rest() & _in(F.col("upos"), ("ADV",)), F.coalesce(right, _predicate()), F.lit("advmod"), None
 
 
 def adjective(tokens: DataFrame) -> DataFrame:
     rows = prepared(tokens)
     conj = _in(F.col("upos"), ("CCONJ",))
-    rows = rows.withColumn("_joins", conj & _in(F.lead("upos").over(_at()), ("ADJ", "ADV")))
+    rows = rows.withColumn("_joins", conj & _in(_next("upos"), ("ADJ", "ADV")))
     any_noun = ahead(F.col("_noun"), _in(F.col("upos"), S.MODIFIERS) | F.col("_joins"))
-    inflected = ahead(F.col("_nominal") & ((F.size("_path") > 0) | _in(F.col("upos"), ("VERB",))), F.when(conj, F.col("_joins")).otherwise(~_in(F.col("upos"), ("VERB", "ADP"))))
+    inflected = ahead(F.col("_nominal") & ((F.col("_size") > 0) | _in(F.col("upos"), ("VERB",))), F.when(conj, F.col("_joins")).otherwise(~_in(F.col("upos"), ("VERB", "ADP"))))
     adj, located = _in(F.col("upos"), ("ADJ",)), _in(F.col("upos"), ("NOUN",)) & F.col("_plain").rlike(C.SHAPES["located"])
     rows = rows.withColumn("_to", F.when(F.col("_free"), F.when(located, any_noun).when(adj, F.coalesce(inflected, any_noun))))
     on = F.col("_to").isNotNull()

@@ -33,3 +33,10 @@ def test_derived_is_together(spark):
     assert as_set(E.conjunct_rows(got)) == as_set(E.conjuncts(gold, pred, commas)) != []
     got = E.derived(gold, F.when(known, E.prediction(head=head)))
     assert as_set(E.aligned_rows(got)) == as_set(E.aligned(gold, pred)) != []
+
+
+def test_what_stands_ahead_is_a_running_window(spark, sf_dir):
+    """A frame to the end of a sentence is made anew for each word, so its cost grows with the square of the sentence's length."""
+    for name in ("rule_temporal", "rule_adjective", "rule_adjective_or_adverb"):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RowFrame, 1, unboundedfollowing" not in plan and "RowFrame" in plan
