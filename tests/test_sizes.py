@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lalespark.operators import evaluation as E
+from lalespark.operators import syntax
 from lalespark.plans import base
 
 TOKENS = "sent_id long, id int, form string, lemma string, upos string, head int, deprel string"
@@ -40,3 +41,30 @@ def test_what_stands_ahead_is_a_running_window(spark, sf_dir):
     for name in ("rule_temporal", "rule_adjective", "rule_adjective_or_adverb"):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "RowFrame, 1, unboundedfollowing" not in plan and "RowFrame" in plan
+
+
+class Counted(list):
+    """Counts how often it is gone through."""
+
+    times = 0
+
+    def __iter__(self):
+        self.times += 1
+        return super().__iter__()
+
+
+def test_long_sentences_are_gone_through_once():
+    """Neither a rule nor a tree goes through the whole sentence again for each of its words."""
+    kinds = [("ev", ()), ("kapısı", (("sı", "İYELİK_3T"),))]
+    given = lambda n: [syntax.Token.given(k, form, form, suffixes, "NOUN", 0, "_", False) for k, (form, suffixes) in enumerate(kinds * n)]
+    took = []
+    for n in (5, 50):
+        s = syntax.Sentence(given(n), syntax.Lexicon())
+        s.tokens = Counted(s.tokens)
+        syntax.compound_noun(s)
+        assert [t.head for t in s.tokens[:4]] == [2, 0, 4, 0]
+        s.tokens[1].to(0, "root")
+        shown = Counted(s.tokens)
+        assert syntax.tree(shown).splitlines()[0].endswith("kapısı [root]")
+        took.append((s.tokens.times, shown.times))
+    assert took[0] == took[1]
