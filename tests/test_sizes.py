@@ -68,3 +68,14 @@ def test_long_sentences_are_gone_through_once():
         assert syntax.tree(shown).splitlines()[0].endswith("kapısı [root]")
         took.append((s.tokens.times, shown.times))
     assert took[0] == took[1]
+
+
+def test_large_results_are_dealt_by_the_texts(spark, sf_dir, monkeypatch):
+    """Texts of a document's words and lines are aggregated in as many parts as the texts need, whatever the session's number."""
+    monkeypatch.setattr(base, "TASK_BYTES", 5000)
+    many = base.parts(base.table(spark, sf_dir, "documents"))
+    assert many > 32
+    for name, key in (("rule_adjective_or_adverb", "doc_id"),):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if f"Exchange hashpartitioning({key}" in x]
+        assert exchanges and all(f", {many})" in x for x in exchanges)
