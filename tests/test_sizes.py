@@ -75,7 +75,7 @@ def test_large_results_are_dealt_by_the_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(base, "TASK_BYTES", 5000)
     many = base.parts(base.table(spark, sf_dir, "documents"))
     assert many > 32
-    for name, key in (("rule_adjective_or_adverb", "doc_id"),):
+    for name, key in (("rule_adjective_or_adverb", "doc_id"), ("interlinear_given", "segments")):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         exchanges = [x for x in plan.splitlines() if f"Exchange hashpartitioning({key}" in x]
         assert exchanges and all(f", {many})" in x for x in exchanges)
