@@ -70,17 +70,18 @@ def together(gold: DataFrame, pred: DataFrame, commas: DataFrame | None = None)
 
 
 def derived(gold: DataFrame, predicted: Column, comma: Column | None = None) -> DataFrame:
-    """What together() gives, where predictions are made from gold's own tokens: `predicted` is a token's prediction() or null,
-    `comma` whether one follows. So gold is made once. Sentences and ids are known."""
-    kept = [c for c in gold.columns if c != "sent_id"]
-    none = {c: F.lit(None).cast(gold.schema[c].dataType) for c in kept}
-    at = lambda k: (F.col("id") + k).alias("_at")
-    p_type = gold.select(prediction()).schema[0].dataType
-    row = lambda cols, place, own, p, c: F.struct(*[x.alias(n) for n, x in cols.items()], place, F.lit(own).cast("boolean").alias("_own"), p.cast(p_type).alias("_p"), F.lit(c).cast("boolean").alias("_comma"))
-    rows = [row({c: F.col(c) for c in kept}, at(0), True, F.lit(None), None), F.when(predicted.isNotNull(), row(none, at(0), None, predicted, None))]
-    if comma is not None:
-        rows.append(F.when(comma, row(none, at(1), None, F.lit(None), True)))
-    return gold.select("sent_id", F.inline(F.array(*rows))).filter("_at is not null")
+    """Tokens with their prediction (_p) and whether a comma stands before them (_comma), for aligned_rows() and conjunct_rows().
+    `predicted` is a token's prediction() or null, made from gold's own token, `comma` whether one follows. Sentences and ids are
+    known, and ids come once, as strip_punct() gives them: so what has a token's sentence and id is its own prediction, which
+    together() and a meeting of all tokens would only find again."""
+    before = W.partitionBy("sent_id").orderBy("id")
+    after = F.lit(None).cast("boolean") if comma is None else F.when((F.lag("id").over(before) == F.col("id") - 1) & F.lag(comma).over(before), True)
+    return gold.withColumns({"_p": predicted, "_comma": after})
+
+
+def _place(rows: DataFrame) -> bool:
+    """Whether rows still have to meet at their places; those of derived() have."""
+    return "_at" in rows.columns
 
 
 def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def aligned(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def aligned_rows(rows: DataFrame) -> DataFrame:
-    """aligned() of together()."""
-    both = rows.withColumn("_ps", F.collect_list("_p").over(_peers())).filter("_own").withColumn("_p", F.explode_outer("_ps"))
+    """aligned() of together() or derived()."""
+    both = rows if not _place(rows) else rows.withColumn("_ps", F.collect_list("_p").over(_peers())).filter("_own").withColumn("_p", F.explode_outer("_ps"))
     return _agreeing(both, [c for c in rows.columns if c not in ("sent_id", "id") and not c.startswith("_")])
 
 
@@ -142,12 +143,15 @@ def conjuncts(gold: DataFrame, pred: DataFrame, commas: DataFrame) -> DataFrame:
 
 
 def conjunct_rows(rows: DataFrame) -> DataFrame:
-    """conjuncts() of together()."""
-    found = F.count(F.col("_p.deprel")).over(_peers())
-    rows = rows.withColumns({"_ps": F.collect_list("_p").over(_peers()), "_found": found, "_comma": F.max("_comma").over(_peers())})
+    """conjuncts() of together() or derived()."""
     # How many CCONJ stand up to each token: whether one stands between two is a difference.
-    mine = F.when(F.col("_own") & (F.col("upos") == "CCONJ"), F.col("_found")).otherwise(0)
-    rows = rows.withColumn("_upto", F.sum(mine).over(W.partitionBy("sent_id").orderBy("_at"))).filter("_own").withColumn("_p", F.explode_outer("_ps"))
+    upto = lambda own, at: F.sum(F.when(own & (F.col("upos") == "CCONJ"), F.col("_found")).otherwise(0)).over(W.partitionBy("sent_id").orderBy(at))
+    if _place(rows):
+        found = F.count(F.col("_p.deprel")).over(_peers())
+        rows = rows.withColumns({"_ps": F.collect_list("_p").over(_peers()), "_found": found, "_comma": F.max("_comma").over(_peers())})
+        rows = rows.withColumn("_upto", upto(F.col("_own"), "_at")).filter("_own").withColumn("_p", F.explode_outer("_ps"))
+    else:
+        rows = rows.withColumn("_found", F.when(F.col("_p.deprel").isNotNull(), 1).otherwise(0)).withColumn("_upto", upto(F.lit(True), "id"))
     rows = rows.select("sent_id", "id", "form", "upos", "head", "deprel", "_comma", "_upto", *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ("upos", "deprel")])
     rows = rows.withColumn("_mine", F.when((F.col("upos") == "CCONJ") & F.col("p_deprel").isNotNull(), 1).otherwise(0))
     # A conjunct comes twice: to ask for its head, and as all others do to answer.

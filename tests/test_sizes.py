@@ -24,6 +24,13 @@ def test_gold_is_made_once(spark, sf_dir):
         assert plan.count("regexp_extract_all") == 1
 
 
+def test_derived_tokens_come_once(spark, sf_dir):
+    """What is predicted of a token comes with it; only strip_punct has tokens twice, to ask for their heads, without lemmas."""
+    for name in ("confusion_topk", "deprel_recall", "conj_cconj_examples", "conj_connection"):
+        plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate inline(array(") == 1 and "lemma" not in plan
+
+
 def test_derived_is_together(spark):
     rows = [(s, k, f"w{k}", "l", ["CCONJ", "NOUN", "VERB"][(s + k) % 3], (k * 7 + s) % 12, ["conj", "obj"][(s * k) % 2]) for s in range(6) for k in range(1, 11)]
     gold = spark.createDataFrame(rows, TOKENS)
