@@ -1,6 +1,7 @@
 """The search as a relation: documented examples, and the same analyses as those read word by word."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,3 +106,12 @@ def test_search_depth():
 def test_strings(spark):
     got = spark.range(1).select(search.strings(F.lit("arı"), 6)).first()[0]
     assert sorted(got) == sorted(["a", "ar", "arı", "ara"])
+
+
+def test_search_without_dictionary_joins_no_stems(spark):
+    """Nothing is known of stems without a dictionary, so none is looked up; words longer than any search cuts off are as before."""
+    words = ["ev" + e * n for e in ("lerimizden", "nin", "ndan", "yor", "lıyor", "da") for n in (1, 3, 12, 40)]
+    out = search.analyze(spark.createDataFrame([(w,) for w in words], "word string"))
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if re.search(r"stem#\d+ = stem#", x)]
+    assert rows(out) == read(words)
