@@ -20,15 +20,44 @@ def _comment(lines: Column, key: str) -> Column:
     return F.trim(F.regexp_extract(F.try_element_at(own, F.lit(-1)), r"^[^=]*=(.*)$", 1))
 
 
-def texts(blocks: DataFrame) -> DataFrame:
-    """(sent_id, text) of each sentence."""
-    parted = blocks.select(F.split(F.regexp_replace("block", r"^\n+|\r", ""), "\n").alias("lines"))
-    return parted.select(*[F.coalesce(_comment(F.col("lines"), c), F.lit("")).alias(c) for c in ("sent_id", "text")])
+def _lines(block: Column) -> Column:
+    return F.split(F.regexp_replace(block, r"^\n+|\r", ""), "\n")
+
+
+def name(block: Column) -> Column:
+    """The sent_id of a sentence; empty if it has none."""
+    return F.coalesce(_comment(_lines(block), "sent_id"), F.lit(""))
+
+
+def texts(blocks: DataFrame, named: Column | None = None) -> DataFrame:
+    """(sent_id, text) of each sentence. named: what is to stand for its sent_id."""
+    parted = blocks.select(*([] if named is None else [named.alias("_named")]), _lines(F.col("block")).alias("lines"))
+    sent_id, text = (F.coalesce(_comment(F.col("lines"), c), F.lit("")).alias(c) for c in ("sent_id", "text"))
+    return parted.select(sent_id if named is None else F.col("_named").alias("sent_id"), text)
+
+
+def _rows(block: Column, first: str) -> Column:
+    """The columns of those lines whose first one is like `first`, in order."""
+    lines = F.filter(_lines(block), lambda x: (x != "") & ~x.startswith("#"))
+    return F.filter(F.transform(lines, lambda x: F.split(x, "\t")), lambda c: (F.size(c) >= 8) & F.get(c, F.lit(0)).rlike(first))
+
+
+def nested_tokens(block: Column) -> Column:
+    """tokens() of one block, as an array."""
+    kinds = (("id", 0, "int"), ("form", 1, None), ("lemma", 2, None), ("upos", 3, None), ("feats", 5, None), ("head", 6, "int"), ("deprel", 7, None))
+    at = lambda c, k, kind: F.get(c, F.lit(k)) if kind is None else F.get(c, F.lit(k)).cast(kind)
+    return F.transform(_rows(block, r"^\d+$"), lambda c: F.struct(*[at(c, k, kind).alias(n) for n, k, kind in kinds]))
+
+
+def nested_ranges(block: Column) -> Column:
+    """ranges() of one block, as an array of (first, last, surface)."""
+    part = lambda c, k: F.regexp_extract(F.get(c, F.lit(0)), r"^(\d+)-(\d+)$", k).cast("int")
+    return F.transform(_rows(block, r"^\d+-\d+$"), lambda c: F.struct(part(c, 1).alias("first"), part(c, 2).alias("last"), F.get(c, F.lit(1)).alias("surface")))
 
 
 def lines(blocks: DataFrame) -> DataFrame:
     """(sent_id, text, cols): a row for each line of columns, in order; a missing sent_id or text is empty."""
-    parted = blocks.select(F.split(F.regexp_replace("block", r"^\n+|\r", ""), "\n").alias("lines"))
+    parted = blocks.select(_lines(F.col("block")).alias("lines"))
     # Comments are read before lines are exploded, or they would be read again for each line.
     heads = parted.select(F.coalesce(_comment(F.col("lines"), "sent_id"), F.lit("")).alias("sent_id"), F.coalesce(_comment(F.col("lines"), "text"), F.lit("")).alias("text"), F.filter("lines", lambda x: (x != "") & ~x.startswith("#")).alias("lines"))
     return heads.select("sent_id", "text", F.explode("lines").alias("line")).select("sent_id", "text", F.split("line", "\t").alias("cols")).filter(F.size("cols") >= 8)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from lalespark.operators import annotate as A
 from lalespark.operators import batches, syntax
+from lalespark.operators import evaluation as E
 from lalespark.operators.analyzer import Analyzer
 from lalespark.operators.sentences import SentenceReader
 from lalespark.plans.base import DICTIONARY
 from lalespark.plans.sentence import SENTENCES
+from lalespark.sources import conllu
 
 KNOWN = [*DICTIONARY, "taş", "masa", "kalem", "Ali", "etmek", "olmak"]
 #: None of these has a suffix: nouns, names, adverbs, interjections, de/da, light verbs' forms; the second list has all kinds.
@@ -78,3 +80,42 @@ def test_a_word_is_analysed_once(monkeypatch):
     reader.parse(b)
     assert len(b.forms) == 4000 and sorted(asked) == ["de", "kalem", "masa", "taş"]
     assert np.array_equal(b.head.reshape(-1, 4), np.tile([4, 4, 2, 0], (1000, 1)))
+
+
+def test_benchmark_is_done_with_rows(spark):
+    """Ranges, punctuation and alignment within a block's row, against the operators over rows; no token is shuffled."""
+    r, texts, blocks = random.Random(7), [], []
+    for k in range(60):
+        words = r.choices(["taş", "masa", "kalem", "geldi", "ev", "evin", "kapısı", "de"], k=r.randint(1, 9))
+        n, lines = len(words), []
+        for i, w in enumerate(words, 1):
+            if i % 4 == 1 and i < n and k % 2:
+                lines.append(f"{i}-{i + 1}\t{w}{words[i]}\t" + "\t".join("_" * 8))
+            lines.append("\t".join([str(i), w, w, r.choice(["NOUN", "PUNCT", "VERB"]), "_", r.choice(["_", "Case=Nom"]), str(r.randint(0, n + 1)), r.choice(["root", "obl", "nsubj"]), "_", "_"]))
+        r.shuffle(lines)
+        texts.append((f"s{k}", " ".join(words)))
+        blocks.append((f"# sent_id = s{k}\n" + (f"# text = {texts[-1][1]}\n" if k % 7 else "") + "\n".join([*lines, "x", "1.1\tq\tq\tX\t_\t_\t0\troot\t_\t_"]),))
+    df = spark.createDataFrame([*blocks, ("# sent_id = none",)], "block string")
+    known = spark.createDataFrame([(w,) for w in KNOWN], "word string")
+    got = E.benchmark(df, known)
+    gold = E.strip_punct(E.merge_ranges(conllu.tokens(df), conllu.ranges(df)))
+    want = E.aligned(gold, A.annotate(conllu.texts(df), known, known).select("sent_id", "id", "form", "upos", "head", "deprel"))
+    assert got.dtypes == want.dtypes
+    rows = sorted(map(str, want.collect()))
+    assert sorted(map(str, got.collect())) == rows and len(rows) > 100
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conllu_text_shuffles_no_words(spark, sf_dir):
+    plan = __spark_entry__.queries()["parse_conllu"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_nested_blocks_are_blocks(spark):
+    sents = spark.createDataFrame([*((str(k), s) for k, s in enumerate(SENTENCES)), ("none", "..."), ("null", None), ("lines", "taş\r\nmasa geldi")], "sent_id string, text string")
+    known = spark.createDataFrame([(w,) for w in KNOWN], "word string")
+    columns = ["id", "form", "stem", "upos", "feats", "head", "deprel"]
+    renamed = lambda c: "lemma" if c == "stem" else c
+    want = conllu.blocks(A.annotate(sents, known, known).select("sent_id", *[F.col(c).alias(renamed(c)) for c in columns]), sents)
+    got = conllu.nested_blocks(A.nested(sents, known, known, columns), lambda w: F.struct(*[w[c].alias(renamed(c)) for c in columns]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
