@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import syntax as S
 from . import wordclasses as C
-from .search import lower
+from .search import let, lower
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -284,16 +284,21 @@ def apply(tokens: DataFrame, rules: list[str]) -> DataFrame:
 
 def features(suffixes: Column) -> Column:
     """A map of features; of several labels of a kind the last one counts."""
-    labels = F.flatten(F.transform(F.coalesce(suffixes, F.array().cast("array<struct<form:string,label:string>>")), lambda s: F.split(s["label"], "/")))
+    labels = F.flatten(F.transform(suffixes, lambda s: F.when(F.contains(s["label"], F.lit("/")), F.split(s["label"], "/")).otherwise(F.array(s["label"]))))
     numbers = {k: v[1] for k, v in C.PERSON.items()} | {"ÇOĞUL": "Plur"}
     kinds = [
         ("Case", C.CASE), ("Number", numbers), ("Person", {k: v[0] for k, v in C.PERSON.items()}), ("Tense", C.TENSE),
         ("Polarity", {"OLUMSUZLUK": "Neg"}), ("VerbForm", dict.fromkeys(S.PARTICIPLES, "Part") | dict.fromkeys(S.CONVERBS, "Conv")),
     ]
 
-    def one(name: str, kind: dict[str, str]) -> Column:
-        last = F.try_element_at(F.filter(labels, lambda x: x.isin(*sorted(kind))), F.lit(-1))
-        value = F.create_map(*[F.lit(x) for p in sorted(kind.items()) for x in p])[last]
-        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
-
-    return F.map_from_entries(F.array_compact(F.array(*[one(*k) for k in kinds])))
+    # What each label gives, as one map; a fold along the labels keeps the last value of each kind.
+    names = [name for name, _ in kinds]
+    value = lambda label: F.struct(*[F.lit(kind.get(label)).cast("string").alias(name) for name, kind in kinds])
+    known = sorted({x for _, kind in kinds for x in kind})
+    gives = F.create_map(*[x for label in known for x in (F.lit(label), value(label))])
+    step = lambda acc, x: let(gives[x], lambda v: F.struct(*[F.coalesce(v[n], acc[n]).alias(n) for n in names]))
+    pairs = lambda found: F.array_compact(F.array(*[F.when(found[n].isNotNull(), F.struct(F.lit(n).alias("key"), found[n].alias("value"))) for n in names]))
+    # Most words have no suffix.
+    made = F.aggregate(labels, value(None), step, lambda found: F.map_from_entries(pairs(found)))
+    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    return F.when(F.coalesce(F.size(suffixes), F.lit(0)) > 0, made).otherwise(none)

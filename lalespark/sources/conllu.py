@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.search import let
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(block) of each sentence of the files in path."""
@@ -86,8 +88,8 @@ def flat_tokens(text_lines: DataFrame) -> DataFrame:
 
 def feats_text(feats: Column) -> Column:
     """A map of features as text, by name; _ if there are none."""
-    pairs = F.array_sort(F.transform(F.map_entries(feats), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return F.when(F.coalesce(F.size(feats), F.lit(0)) <= 0, "_").otherwise(F.array_join(pairs, "|"))
+    pairs = lambda own: F.array_sort(F.transform(F.map_entries(own), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return let(feats, lambda own: F.when(F.coalesce(F.size(own), F.lit(0)) <= 0, "_").otherwise(F.array_join(pairs(own), "|")))
 
 
 def blocks(tokens: DataFrame, texts: DataFrame | None = None) -> DataFrame:

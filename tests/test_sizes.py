@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from lalespark.operators import evaluation as E
-from lalespark.operators import syntax
+from lalespark.operators import relations, syntax
 from lalespark.plans import base
 
 TOKENS = "sent_id long, id int, form string, lemma string, upos string, head int, deprel string"
@@ -86,3 +86,17 @@ def test_large_results_are_dealt_by_the_texts(spark, sf_dir, monkeypatch):
         plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         exchanges = [x for x in plan.splitlines() if f"Exchange hashpartitioning({key}" in x]
         assert exchanges and all(f", {many})" in x for x in exchanges)
+
+
+def test_features_are_made_once(spark, sf_dir):
+    """A word's labels are read once for all its features and for their text."""
+    plan = __spark_entry__.queries()["token_features"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", /, -1)") == 1
+
+
+def test_features_of_labels(spark):
+    kind = "array<struct<form:string,label:string>>"
+    own = [None, [], ["ÇOĞUL", "BELIRTME"], ["KİŞİ_1T", "ÇOĞUL"], ["İYELİK_2T/TAMLAYAN", "AYRILMA"], ["YAPIM_-lI"], ["OLUMSUZLUK", "GEÇMİŞ_ZAMAN", "KİŞİ_2Ç"], ["SIFAT_FİİL", "ZARF_FİİL_-Ip"]]
+    rows = [(k, None if x is None else [("x", label) for label in x]) for k, x in enumerate(own)]
+    got = {r["k"]: r["f"] for r in spark.createDataFrame(rows, f"k int, s {kind}").select("k", relations.features(F.col("s")).alias("f")).collect()}
+    assert got == {k: syntax.features([("x", label) for label in x or ()]) for k, x in enumerate(own)}
